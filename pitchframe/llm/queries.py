@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pitchframe.llm.byte_bpe import op4_byte_bpe
 from pitchframe.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_byte_bpe": op4_byte_bpe,
 }
 
 ORACLE_SQL = {
