@@ -92,7 +92,8 @@ def exact_groups(
     # the full bytes of every hit: ids are dealt evenly, and equal texts are combined before they move on
     again = state.filter("group_size > 1").select("digest")
     hit_ids = keyed.join(again, "digest", "left_semi").select("doc_id")
-    hits = base.join(hit_ids.filter("doc_id is not null").distinct(), "doc_id", "left_semi")
+    wanted = hit_ids.filter("doc_id is not null").distinct().hint("merge")
+    hits = base.join(wanted, "doc_id", "left_semi")
     hits = hits.unionByName(base.filter("doc_id is null").join(again, "digest", "left_semi"))
     variants = hits.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     texts = variants.groupBy("digest").agg(F.count(F.lit(1)).alias("n_texts"))
