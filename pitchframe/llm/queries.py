@@ -5,8 +5,10 @@ from __future__ import annotations
 from pitchframe.llm.byte_bpe import op4_byte_bpe
 from pitchframe.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from pitchframe.llm.secret_scan import op7_secret_scan
+from pitchframe.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op7_secret_scan": op7_secret_scan,
