@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pitchframe.llm.byte_bpe import op4_byte_bpe
 from pitchframe.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from pitchframe.llm.media_columns import op9_media_columns
 from pitchframe.llm.secret_scan import op7_secret_scan
 from pitchframe.llm.toxicity import op2_toxicity
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op7_secret_scan": op7_secret_scan,
+    "op9_media_columns": op9_media_columns,
 }
 
 ORACLE_SQL = {
