@@ -6,9 +6,11 @@ from pitchframe.llm.byte_bpe import op4_byte_bpe
 from pitchframe.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from pitchframe.llm.media_columns import op9_media_columns
 from pitchframe.llm.secret_scan import op7_secret_scan
+from pitchframe.llm.source_mixing import OP10_SQL, op10_source_mixing
 from pitchframe.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op10_source_mixing": op10_source_mixing,
     "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_byte_bpe": op4_byte_bpe,
@@ -17,5 +19,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op10_source_mixing": OP10_SQL,
     "op3_exact_dedup": OP3_SQL,
 }
