@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pitchframe.llm.byte_bpe import op4_byte_bpe
 from pitchframe.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from pitchframe.llm.line_dedup import OP5_SQL, op5_line_dedup
 from pitchframe.llm.media_columns import op9_media_columns
 from pitchframe.llm.secret_scan import op7_secret_scan
 from pitchframe.llm.source_mixing import OP10_SQL, op10_source_mixing
 from pitchframe.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op5_line_dedup": op5_line_dedup,
     "op10_source_mixing": op10_source_mixing,
     "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
@@ -19,6 +21,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_line_dedup": OP5_SQL,
     "op10_source_mixing": OP10_SQL,
     "op3_exact_dedup": OP3_SQL,
 }
