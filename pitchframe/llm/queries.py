@@ -8,9 +8,11 @@ from pitchframe.llm.line_dedup import OP5_SQL, op5_line_dedup
 from pitchframe.llm.media_columns import op9_media_columns
 from pitchframe.llm.secret_scan import op7_secret_scan
 from pitchframe.llm.source_mixing import OP10_SQL, op10_source_mixing
+from pitchframe.llm.token_counts import op6_token_counts
 from pitchframe.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op6_token_counts": op6_token_counts,
     "op5_line_dedup": op5_line_dedup,
     "op10_source_mixing": op10_source_mixing,
     "op2_toxicity": op2_toxicity,
