@@ -10,8 +10,10 @@ from pitchframe.llm.secret_scan import op7_secret_scan
 from pitchframe.llm.source_mixing import OP10_SQL, op10_source_mixing
 from pitchframe.llm.token_counts import op6_token_counts
 from pitchframe.llm.toxicity import op2_toxicity
+from pitchframe.llm.warc_derivatives import OP8_SQL, op8_warc_derivatives
 
 QUERIES = {
+    "op8_warc_derivatives": op8_warc_derivatives,
     "op6_token_counts": op6_token_counts,
     "op5_line_dedup": op5_line_dedup,
     "op10_source_mixing": op10_source_mixing,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op8_warc_derivatives": OP8_SQL,
     "op5_line_dedup": OP5_SQL,
     "op10_source_mixing": OP10_SQL,
     "op3_exact_dedup": OP3_SQL,
