@@ -25,10 +25,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchframe.llm.common import documents, text_of
+from pitchframe.llm.common import documents, text_batches, text_of
 
-SLICE_BYTES = 1 << 21
-CACHE_PIECES = 1 << 19
+SLICE_BYTES = 1 << 20
+CACHE_PIECES = 1 << 18
 LONG_PIECE = 256
 NONE = np.int64(1 << 40)
 LETTER, NUMBER, OTHER, SPACE, BLANK, EDGE = range(6)
@@ -336,6 +336,7 @@ def with_digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Re
 
 def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode every document, and return the digests of its ids and of what they decode to."""
+    text_batches(docs.sparkSession)
     pairs = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs[text_col]).alias("text"))
     kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_equal boolean"
     return pairs.mapInArrow(lambda batches: with_digests(batches, path), kinds)
@@ -343,6 +344,7 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 def encoded(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids", ends_col: str = "token_ends") -> DataFrame:
     """docs with the ids of each text's tokens and the byte offsets at which they end."""
+    text_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in (ids_col, ends_col)]
     given = docs.select(*kept, text_of(docs[text_col]).alias("__text"))
     made = given.drop("__text")

@@ -36,8 +36,8 @@ def window_keys(lines: Column, window: int = WINDOW) -> Column:
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, mark, removed: the sorted positions of the lines that go, for the rows that lose any."""
     text = text_of(text_col)
-    lines = F.split(text, "\n", -1)
-    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text, F.length(text)).alias("mark"), window_keys(lines, window).alias("keys"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text, F.length(text)).alias("mark"), F.split(text, "\n", -1).alias("lines"))
+    own = own.select("doc_id", "mark", window_keys(F.col("lines"), window).alias("keys"))  # lines: a column, split once
     placed = own.select("doc_id", "mark", F.posexplode("keys").alias("at", "key")).filter("key is not null")
     placed = placed.select("doc_id", "mark", "at", "key.a", "key.b")
     place = F.struct("doc_id", "mark", "at")
@@ -55,17 +55,17 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with their texts without repeated windows, and __lines and __removed, the number of lines before and gone."""
     text = text_of(text_col)
-    gone = removed_lines(docs, id_col, text_col, window).withColumnsRenamed({"doc_id": "__id", "mark": "__mark"})
+    gone = removed_lines(docs, id_col, text_col, window).withColumnsRenamed({"doc_id": "__id", "mark": "__mark", "removed": "__gone"})
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text, F.length(text)) == F.col("__mark"))
     lines = F.split(text, "\n", -1)
-    stay = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("removed", i), x)), lambda x: x.isNotNull())
+    stay = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull())
     return docs.join(gone.hint("merge"), same, "left").select(
         *[
-            F.when(F.col("removed").isNull(), F.col(c)).otherwise(F.array_join(stay, "\n")).alias(c) if c == text_col else docs[c]
+            F.when(F.col("__gone").isNull(), docs[c]).otherwise(F.array_join(stay, "\n")).alias(c) if c == text_col else docs[c]
             for c in docs.columns
         ],
         F.size(lines).cast("long").alias("__lines"),
-        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("__removed"),
+        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("__removed"),
     )
 
 
@@ -75,7 +75,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id",
         F.col("__lines").alias("n_lines"),
-        F.when(F.col("__removed") < 0, 0).otherwise(F.col("__removed")).cast("long").alias("n_removed"),
+        F.col("__removed").alias("n_removed"),
         F.sha2(text_of("text"), 256).alias("kept_sha256"),
     )
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchframe.llm.common import documents, text_of
+from pitchframe.llm.common import documents, text_batches, text_of
 
 WIDTH = 64
 LEVEL = 1  # of deflate: the stored form moves between machines, but time counts more than its last tenth
@@ -90,6 +90,8 @@ def media_store(texts: DataFrame) -> DataFrame:
 
     Copies meet before the shuffle within a task and after it by digest."""
 
+    text_batches(texts.sparkSession)
+
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[str, tuple[int, bytes]] = {}

@@ -9,6 +9,7 @@ Two documents link when 100 * |A & B| >= percent * |A | B| for their sets of dis
 3. Groups that share a token of their prefixes are candidates if their sizes allow a link and if no more tokens come
    before the shared one than the two sets may differ by. In each bucket of a token all groups are first paired with
    one leader, the group that has the fewest rarer tokens, so that a bucket of m groups gives m - 1 pairs.
+   Pairs of groups are then filtered by all that their prefixes show of how they differ.
 4. Pairs are verified on the whole texts of one document of each class. Verified links give components.
 5. What lies in one bucket but in different components is then paired without a leader, all of it, and verified.
    Documents that are in one component already need no further link, so a group of near copies isn't paired with itself.
@@ -33,14 +34,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchframe.llm.byte_bpe import slices
-from pitchframe.llm.common import documents, landed, text_of
+from pitchframe.llm.common import documents, landed, text_batches, text_of
 from pitchframe.llm.components import components
 from pitchframe.llm.shingles import cells, shingle_hashes, shingle_sets
 
 WIDTH, PERCENT = 5, 80
 CELLS, BLOCK = 1 << 22, 1 << 12
 BITMAP_BITS = 1 << 24
-MARKED = "rid long, doc_id long, mark long, n long, class binary, prefix array<long>"
+MARKED = "rid long, doc_id long, mark long, n long, class binary, prefix array<long>, last long"
 
 
 def counted_cells(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -88,6 +89,11 @@ def prefix_size(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def order_keys(h: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Numbers that sort as (rank, hash) does."""
+    return (rank[cells(h, len(rank))].astype(np.uint64) << np.uint64(57) | h >> np.uint64(7)).astype(np.int64)
+
+
 def marked(docs: DataFrame, rank_of, width: int, percent: int) -> DataFrame:
     """docs(doc_id, mark, text) to a row each with its size, its class (a digest of its set) and its prefix."""
 
@@ -99,11 +105,13 @@ def marked(docs: DataFrame, rank_of, width: int, percent: int) -> DataFrame:
                 n = len(offsets) - 1
                 h, bounds = shingle_sets(data, offsets, width, rank)
                 sizes = np.diff(bounds)
-                classes, prefixes = [], []
+                classes, prefixes, lasts = [], [], []
                 for k in range(n):
                     own = h[bounds[k] : bounds[k + 1]]
                     classes.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                    prefixes.append(own[: prefix_size(len(own), percent)].view(np.int64) if len(own) else None)
+                    prefix = own[: prefix_size(len(own), percent)]
+                    prefixes.append(prefix.view(np.int64) if len(own) else None)
+                    lasts.append(int(order_keys(prefix[-1:], rank)[0]) if len(own) else None)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(rid, rid + n), pa.int64()),
@@ -112,8 +120,9 @@ def marked(docs: DataFrame, rank_of, width: int, percent: int) -> DataFrame:
                         pa.array(sizes, pa.int64()),
                         pa.array(classes, pa.binary()),
                         pa.array(prefixes, pa.list_(pa.int64())),
+                        pa.array(lasts, pa.int64()),
                     ],
-                    names=["rid", "doc_id", "mark", "n", "class", "prefix"],
+                    names=["rid", "doc_id", "mark", "n", "class", "prefix", "last"],
                 )
                 rid += n
 
@@ -127,6 +136,31 @@ def may_link(n: Column, m: Column, percent: int, i: Column, j: Column) -> Column
     return sizes & (i + j <= n + m - 2 * shared) & (1 + F.least(n - 1 - i, m - 1 - j) >= shared)
 
 
+def plausible(batches: Iterator[pa.RecordBatch], rank_of, percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of groups whose known parts of their prefixes don't already differ by more than a link allows.
+
+    Columns: four numbers to keep, then for both groups their shared tokens, places, sizes and last keys. Tokens that
+    aren't shared with any group differ for sure; up to the lesser of the last keys all tokens of both are known."""
+    rank = np.frombuffer(rank_of.value, np.uint8)
+    for batch in batches:
+        ta, tb, pa_, pb, na, nb, la, lb = (batch.column(i).to_pylist() for i in range(4, 12))
+        keep = []
+        for k in range(batch.num_rows):
+            known = []
+            a, b = np.array(ta[k], np.int64), np.array(tb[k], np.int64)
+            cut = min(la[k], lb[k])
+            for tokens, places, n, last in ((a, pa_[k], na[k], la[k]), (b, pb[k], nb[k], lb[k])):
+                if last == cut:
+                    known.append(prefix_size(n, percent))
+                else:
+                    within = np.array(places)[order_keys(tokens.view(np.uint64), rank) <= cut]
+                    known.append(int(within.max()) + 1 if len(within) else 0)
+            shared = len(np.intersect1d(a, b, assume_unique=True))
+            least = -(-percent * (na[k] + nb[k]) // (100 + percent))
+            keep.append(sum(known) - 2 * shared <= na[k] + nb[k] - 2 * least)
+        yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["u", "v", "g", "h"]).filter(pa.array(keep, pa.bool_()))
+
+
 def intersections(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     """(a, b, text of a, text of b) to the pairs that link. Texts that repeat in a batch are cut into shingles once."""
     for batch in batches:
@@ -151,19 +185,20 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> None:
         self.width, self.percent = width, percent
+        text_batches(docs.sparkSession)
         text = text_of(text_col)
         self.docs = docs.select(
             F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text, F.length(text)).alias("mark"), text.alias("text")
         )
-        rank = docs.sparkSession.sparkContext.broadcast(ranks(self.docs.select("text"), width).tobytes())
-        self.rows = landed(marked(self.docs, rank, width, percent), "jaccard-rows")
+        self.rank = docs.sparkSession.sparkContext.broadcast(ranks(self.docs.select("text"), width).tobytes())
+        self.rows = landed(marked(self.docs, self.rank, width, percent), "jaccard-rows")
         group = F.sha2(F.concat_ws(",", F.col("n").cast("string"), F.col("prefix").cast("array<string>")), 256)
         worded = self.rows.filter("n > 0").withColumn("group", F.substring(F.unhex(group), 1, 16))
         classes = worded.groupBy("class").agg(
             F.min("rid").alias("cid"), F.min("doc_id").alias("least_id"), F.min(F.struct("rid", "doc_id", "mark")).alias("at"), F.first("group").alias("group")
         )
         self.classes = landed(classes.select("class", "cid", "least_id", "at.doc_id", "at.mark", "group"), "jaccard-classes")
-        groups = worded.groupBy("group").agg(F.min("rid").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        groups = worded.groupBy("group").agg(F.min("rid").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("last").alias("last"))
         self.groups = landed(groups, "jaccard-groups")
         named = self.groups.select("group", "gid", "n")
         self.members = landed(self.classes.select("cid", "group").join(named, "group").select("cid", "gid", "n"), "jaccard-members")
@@ -175,10 +210,24 @@ class JaccardJoin:
         shared = shared.select("token", F.col("lead.gid").alias("lead_gid"), F.col("lead.n").alias("lead_n"), F.col("lead.at").alias("lead_at"))
         return posts.join(shared.hint("merge"), "token")
 
+    def filtered(self, pairs: DataFrame, buckets: DataFrame) -> DataFrame:
+        """pairs(u, v, g, h) without those whose groups g and h can't link by what their prefixes show."""
+        held = buckets.groupBy("gid").agg(F.collect_list("token").alias("tokens"), F.collect_list("at").alias("places"))
+        held = held.join(self.groups.select("gid", "n", "last"), "gid")
+        both = pairs
+        for side in ("g", "h"):
+            own = held.select(F.col("gid").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("tokens", "places", "n", "last")])
+            both = both.join(own.hint("merge"), side)
+        columns = [f"{side}_{c}" for c in ("tokens", "places", "n", "last") for side in ("g", "h")]
+        rank, percent = self.rank, self.percent
+        return both.select("u", "v", "g", "h", *columns).mapInArrow(lambda x: plausible(x, rank, percent), "u long, v long, g long, h long")
+
     def first_pairs(self, buckets: DataFrame) -> DataFrame:
         """Pairs of classes (u < v): of each group with the leaders of its buckets, and of classes within a group."""
         ok = may_link(F.col("n"), F.col("lead_n"), self.percent, F.col("at"), F.col("lead_at"))
         grouped = buckets.filter((F.col("gid") != F.col("lead_gid")) & ok).select("gid", "lead_gid").distinct()
+        grouped = grouped.select(*[F.col(c).alias(a) for c, a in (("gid", "u"), ("lead_gid", "v"), ("gid", "g"), ("lead_gid", "h"))])
+        grouped = self.filtered(grouped, buckets).select(F.col("u").alias("gid"), F.col("v").alias("lead_gid"))
         leads = self.members.groupBy("gid").agg(F.min("cid").alias("lead"))
         inside = self.members.join(leads, "gid").filter("cid <> lead").select(F.col("lead").alias("u"), F.col("cid").alias("v"))
         across = grouped.join(leads, "gid").withColumnRenamed("lead", "u").join(leads.select(F.col("gid").alias("lead_gid"), F.col("lead").alias("v")), "lead_gid")
@@ -188,19 +237,21 @@ class JaccardJoin:
         """All further pairs of classes that share a bucket and are in different components."""
         placed = self.members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
         placed = landed(placed, "jaccard-placed")
-        inside = placed.select(F.lit(1).alias("kind"), F.col("gid").alias("token"), "cid", "root", "n", F.lit(0).alias("at"))
-        across = buckets.select("token", "gid", "at").join(placed, "gid").select(F.lit(0).alias("kind"), "token", "cid", "root", "n", "at")
+        inside = placed.select(F.lit(1).alias("kind"), F.col("gid").alias("token"), "cid", "gid", "root", "n", F.lit(0).alias("at"))
+        across = buckets.select("token", "gid", "at").join(placed, "gid").select(F.lit(0).alias("kind"), "token", "cid", "gid", "root", "n", "at")
         every = across.union(inside)
         by_root = every.groupBy("kind", "token", "root").agg(F.count(F.lit(1)).alias("n"))
         mixed = by_root.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("main")).filter("roots > 1")
         rest = landed(every.join(mixed.select("kind", "token", F.col("main.root").alias("main")).hint("merge"), ["kind", "token"]), "jaccard-rest")
-        a = rest.filter("root <> main").select("kind", "token", *[F.col(c).alias(f"a_{c}") for c in ("cid", "root", "n", "at")])
-        b = rest.select("kind", "token", *[F.col(c).alias(f"b_{c}") for c in ("cid", "root", "n", "at", "main")])
+        a = rest.filter("root <> main").select("kind", "token", *[F.col(c).alias(f"a_{c}") for c in ("cid", "gid", "root", "n", "at")])
+        b = rest.select("kind", "token", *[F.col(c).alias(f"b_{c}") for c in ("cid", "gid", "root", "n", "at", "main")])
         ok = (F.col("kind") == 1) | may_link(F.col("a_n"), F.col("b_n"), self.percent, F.col("a_at"), F.col("b_at"))
         order = (F.col("b_root") == F.col("b_main")) | (F.col("a_cid") < F.col("b_cid"))
         pairs = a.join(b, ["kind", "token"]).filter((F.col("a_root") != F.col("b_root")) & order & ok)
-        pairs = pairs.select(F.least("a_cid", "b_cid").alias("u"), F.greatest("a_cid", "b_cid").alias("v")).distinct()
-        return pairs.join(done, ["u", "v"], "left_anti")
+        pairs = pairs.select("kind", F.least("a_cid", "b_cid").alias("u"), F.greatest("a_cid", "b_cid").alias("v"), F.col("a_gid").alias("g"), F.col("b_gid").alias("h"))
+        pairs = landed(pairs.distinct().join(done, ["u", "v"], "left_anti"), "jaccard-pairs")
+        across = self.filtered(pairs.filter("kind = 0").select("u", "v", "g", "h"), buckets)
+        return across.select("u", "v").union(pairs.filter("kind = 1").select("u", "v")).distinct()
 
     def texts(self, pairs: DataFrame) -> DataFrame:
         """cid and text for the classes of pairs. A bitmap of BITMAP_BITS bits drops most other texts while scanning."""

@@ -38,10 +38,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 def topic_of(text: Column) -> Column:
     """The form of a text: many digits, many marks, or by its number of lines."""
     n = F.length(text)
-    lines = n - F.length(F.translate(text, "\n", ""))
+    lines = n - F.length(F.replace(text, F.lit("\n"), F.lit("")))
     return (
-        F.when((n - F.length(F.translate(text, "0123456789", ""))) * 100 >= n, "numbers")
-        .when((n - F.length(F.translate(text, "!?", ""))) * 50 >= n, "shouting")
+        F.when(F.regexp_count(text, F.lit("[0-9]")) * 100 >= n, "numbers")
+        .when(F.regexp_count(text, F.lit("[!?]")) * 50 >= n, "shouting")
         .when(lines >= 12, "long-form")
         .when(lines >= 3, "article")
         .otherwise("note")
@@ -110,7 +110,11 @@ def drawn(id_col: Column, seed: str = SEED) -> Column:
 
 def with_probability(docs: DataFrame, targets: dict = TARGETS, keep: float = KEEP, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs with __source, __lang, __topic, __tokens, __p and __taken."""
-    own = docs.select("*", *counted(docs, text_col))
+    return with_probability_of_cell(docs.select("*", *counted(docs, text_col)), targets, keep, id_col)
+
+
+def with_probability_of_cell(own: DataFrame, targets: dict = TARGETS, keep: float = KEEP, id_col: str = "doc_id") -> DataFrame:
+    """The same for rows that have been counted already."""
     cells = own.groupBy(*[F.col(f"__{d}").alias(d) for d in DIMS]).agg(F.sum("__tokens").alias("n"))
     cells = landed(calibrated(landed(raked(landed(cells, "mix-cells"), targets), "mix-weights"), keep), "mix-probabilities")
     right = cells.select(*[F.col(d).alias(f"__{d}") for d in DIMS], F.col("p").alias("__p"))
@@ -126,7 +130,8 @@ def mixed(docs: DataFrame, targets: dict = TARGETS, keep: float = KEEP) -> DataF
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: its cell, tokens, probability and whether it is taken."""
-    found = with_probability(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    found = with_probability_of_cell(landed(docs.select("doc_id", *counted(docs)), "mix-counted"))  # texts are read once
     return found.select(
         F.col("doc_id"),
         *[F.col(f"__{d}").alias(d) for d in DIMS],

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchframe.llm.byte_bpe import ByteBpe, slices, vocabulary
-from pitchframe.llm.common import documents, text_of
+from pitchframe.llm.common import documents, text_batches, text_of
 
 NOWHERE = "(none)"
 TAIL = 256
@@ -49,6 +49,7 @@ def section_counts(docs: DataFrame, sections: Column, path: str, id_col: str = "
     """A row for each section of each document: doc_id, section, n_chars, n_tokens, n_crossing.
 
     sections: an array of (name, start, end) in code points."""
+    text_batches(docs.sparkSession)
     given = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), sections.cast(SECTIONS).alias("sections"), text_of(text_col).alias("text")
     )

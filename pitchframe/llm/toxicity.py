@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchframe.llm.common import documents, landed, text_of
+from pitchframe.llm.common import documents, landed, text_batches, text_of
 
 LABEL_ROWS = 200_000
 LEXICON_SIZE = 256
@@ -213,6 +213,7 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
+    text_batches(docs.sparkSession)
     key = F.col(id_col).cast("long")
     own = docs.select(key.alias("doc_id"), text_of(text_col).alias("text"), held_out(key).alias("held_out"))
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter(
