@@ -36,3 +36,9 @@ def spark():
 @pytest.fixture(scope="session")
 def sf_dir() -> str:
     return f"{DATA}/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def matches_dir() -> str:
+    """The smallest tables with several matches and seasons."""
+    return f"{DATA}/sf0.01"
