@@ -12,6 +12,7 @@ from pitchframe.operators import explosive as X
 from pitchframe.operators import physical as Y
 from pitchframe.operators import report as R
 from pitchframe.operators import tracking as T
+from pitchframe.plans import workflows as W
 from pitchframe.plans.surrogates import Registry, actions, performances, tracks
 
 registry = Registry()
@@ -273,3 +274,42 @@ def turn_candidates(spark, sf_dir):
     own = tracks(spark, sf_dir).withColumn("y", F.when(F.col("frame_id") % 20 < 10, F.col("frame_id") % 20 * 0.5).otherwise((20 - F.col("frame_id") % 20) * 0.5))
     own = T.with_kinematics(T.with_segments(T.with_live(own), config.max_gap_seconds), config)
     return X.turns(own, X.ExplosiveConfig(), config.dt)
+
+
+@query("rate_sensitivity", "match_id player_id rate sample_count", "total_distance_m max_speed_kmh", "track_base track_step tracks", KINEMATICS + """,
+       z AS (SELECT match_id, player_id, count(*) AS sample_count, coalesce(sum(step) FILTER (valid AND bip), 0) AS total_distance_m, max(speed) * 3.6e0 AS max_speed_kmh FROM k GROUP BY 1, 2)""",
+       "(SELECT *, 'common' AS rate FROM z UNION ALL SELECT *, 'native' FROM z)")
+def rate_sensitivity(spark, sf_dir):
+    return W.rate_sensitivity(tracks(spark, sf_dir))
+
+
+@query("band_composition", "position_group", "running_distance_m_p60_bip hsr_distance_m_p60_bip sprint_distance_m_p60_bip", "performances", "",
+       "(SELECT position_group, avg(total_distance_m) AS running_distance_m_p60_bip, avg(hsr_distance_m) AS hsr_distance_m_p60_bip, avg(sprint_count) AS sprint_distance_m_p60_bip FROM performances GROUP BY 1)")
+def band_composition(spark, sf_dir):
+    own = performances(spark, sf_dir).withColumnsRenamed({"total_distance_m": "running_distance_m_p60_bip", "hsr_distance_m": "hsr_distance_m_p60_bip", "sprint_count": "sprint_distance_m_p60_bip"})
+    return R.band_composition(own)
+
+
+@query("lineup_enriched", "match_id player_id position_group position_group_lineup uniform_number n", "", "performances",
+       "l AS (SELECT match_id, player_id, min(o_orderkey) AS uniform_number FROM (SELECT 'm' || (o_orderkey % 64) AS match_id, 'p' || o_custkey AS player_id, o_orderkey FROM orders WHERE o_orderkey % 2 = 0) GROUP BY 1, 2)",
+       """(SELECT p.match_id, p.player_id, p.position_group, CASE WHEN l.player_id IS NOT NULL THEN 'bench' END AS position_group_lineup, l.uniform_number, count(*) AS n FROM performances p LEFT JOIN l ON p.match_id = l.match_id AND p.player_id = l.player_id GROUP BY ALL)""")
+def lineup_enriched(spark, sf_dir):
+    lineup = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey % 2 = 0").selectExpr("'m' || (o_orderkey % 64) AS match_id", "'p' || o_custkey AS player_id", "o_orderkey")
+    lineup = lineup.groupBy("match_id", "player_id").agg(F.min("o_orderkey").alias("uniform_number"), F.lit("bench").alias("position_group"))
+    out = W.enriched(performances(spark, sf_dir), lineup)
+    return out.groupBy("match_id", "player_id", "position_group", "position_group_lineup", "uniform_number").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("player_frame_labels", "player_id passes", "", "performances", """
+       z AS (SELECT player_id, season_name, count(*) AS passes, min(position_group) AS g FROM performances GROUP BY 1, 2), f AS (SELECT * FROM z WHERE season_name = 's1' AND passes >= 2),
+       t AS (FROM f ORDER BY passes DESC, player_id LIMIT 6), u AS (FROM f ORDER BY player_id LIMIT 6)""",
+       "(SELECT player_id, passes FROM t UNION SELECT player_id, passes FROM u)")
+def player_frame_labels(spark, sf_dir):
+    own = performances(spark, sf_dir).groupBy("player_id", "season_name").agg(F.count(F.lit(1)).alias("passes"), F.min("position_group").alias("player_position"))
+    own = R.player_frame(own, "s1", 2)
+    return R.labelled_once(own.orderBy(F.desc("passes"), "player_id").limit(6), own.orderBy("player_id").limit(6), ["player_id"])
+
+
+@query("seeded_sample", "event_id")
+def seeded_sample(spark, sf_dir):
+    return R.seeded_sample(actions(spark, sf_dir), "event_id", 50)
