@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitchframe.functions.coerce import ratio
 
+BUCKETS = 1000
+
 
 def average_rank(column: str, by: list[str], descending: bool = False) -> Column:
     """Rank from 1, ties sharing their mean; null for null."""
@@ -22,13 +25,27 @@ def with_rank_percent(df: DataFrame, metrics: list[str], by: list[str]) -> DataF
     return df.withColumns({f"{m}_pct": ratio(average_rank(m, by), F.count(m).over(W.partitionBy(*by))) * 100 for m in metrics})
 
 
+def bucketed(df: DataFrame, column: str, out: str = "bucket", buckets: int = BUCKETS) -> DataFrame:
+    """df with the number of the value's range between approximate quantiles: ranges that no single task has to hold together."""
+    row = df.agg(F.percentile_approx(column, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 10 * buckets).alias("e")).first()
+    splits = [float("-inf"), *sorted(set(row["e"] or [0.0])), float("inf")]
+    return Bucketizer(splits=splits, inputCol=column, outputCol=out, handleInvalid="skip").transform(df).withColumn(out, F.col(out).cast("int"))
+
+
 def rank_sums(scored: DataFrame, target: str, score: str, by: list[str]) -> DataFrame:
-    """auc by group: the share of pairs in order, ties half. Rows are first counted by score, which combines before the shuffle."""
-    counted = scored.groupBy(*by, F.col(score).alias("s")).agg(
+    """auc by group: the share of pairs in order, ties half.
+
+    Rows are first counted by score, which combines before the shuffle; negatives below a score are those of the lower
+    buckets (BUCKETS rows a group) and those below it in its own."""
+    counted = scored.groupBy(*by, F.col(score).cast("double").alias("s")).agg(
         F.count_if(F.col(target)).alias("pos"), F.count_if(~F.col(target)).alias("neg")
     )
-    below = F.coalesce(F.sum("neg").over(W.partitionBy(*by).orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    won = counted.withColumn("won", F.col("pos") * (below + F.col("neg") / 2.0))
+    counted = bucketed(counted, "s")
+    earlier = W.partitionBy(*by).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    lower = counted.groupBy(*by, "bucket").agg(F.sum("neg").alias("n")).withColumn("lower", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    inside = W.partitionBy(*by, "bucket").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
+    placed = counted.withColumn("inside", F.coalesce(F.sum("neg").over(inside), F.lit(0))).join(lower, [*by, "bucket"])
+    won = placed.withColumn("won", F.col("pos") * (F.col("lower") + F.col("inside") + F.col("neg") / 2.0))
     out = won.groupBy(*by).agg(F.sum("won").alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return out.select(*by, ratio(F.col("won"), F.col("p") * F.col("n")).alias("auc"))
 
@@ -59,11 +76,35 @@ def _with_one_row(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.withColumn("__k", F.lit(0)).join(b.withColumn("__k", F.lit(0)), "__k", "left").drop("__k")
 
 
+def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float]:
+    """Linearly interpolated quantiles of a column, exact at any size.
+
+    Counts by bucket tell where each wanted rank lies; only the values of those buckets are then ranked."""
+    own = bucketed(df.select(F.col(column).cast("double").alias("v")).filter("v is not null"), "v")
+    counts = {r["bucket"]: r["count"] for r in own.groupBy("bucket").count().collect()}  # BUCKETS rows at most
+    n = sum(counts.values())
+    if not n:
+        return []
+    places = [share * (n - 1) for share in shares]
+    ranks = sorted({r for h in places for r in (int(h), min(int(h) + 1, n - 1))})
+    where, seen, left = [], 0, list(ranks)
+    for bucket in sorted(counts):
+        while left and left[0] < seen + counts[bucket]:
+            where.append((bucket, left[0] - seen, left.pop(0)))
+        seen += counts[bucket]
+    wanted = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(o).alias("o")) for b, o, _ in where])
+    ranked = own.filter(F.col("bucket").isin(sorted({b for b, *_ in where}))).groupBy("bucket", "v").agg(F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(W.partitionBy("bucket").orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = ranked.withColumn("before", before)
+    hit = F.exists(wanted, lambda w: (w["b"] == F.col("bucket")) & (w["o"] >= F.col("before")) & (w["o"] < F.col("before") + F.col("c")))
+    found = ranked.filter(hit).collect()  # a row for each wanted rank at most
+    value = {r: next(x["v"] for x in found if x["bucket"] == b and x["before"] <= o < x["before"] + x["c"]) for b, o, r in where}
+    return [value[int(h)] + (h - int(h)) * (value[min(int(h) + 1, n - 1)] - value[int(h)]) for h in places]
+
+
 def quantile_edges(df: DataFrame, column: str, bins: int) -> list[float]:
     """Distinct edges of equal-count bins: bins + 1 numbers at most reach the driver."""
-    shares = [i / bins for i in range(bins + 1)]
-    row = df.agg(F.percentile(column, F.array(*map(F.lit, shares))).alias("e")).first()
-    return sorted(set(row["e"] or []))
+    return sorted(set(exact_quantiles(df, column, [i / bins for i in range(bins + 1)])))
 
 
 def quantile_bin(column: Column, edges: list[float]) -> Column:
