@@ -2,8 +2,8 @@
 
 Two documents link when 100 * |A & B| >= percent * |A | B| for their sets of distinct word shingles.
 
-1. A table of CELLS counters over all shingles (summed inside tasks, then by block) ranks hashes: those of frequent cells
-   come last. Any order gives right results; this one keeps passages that many documents share out of prefixes.
+1. A table of CELLS counters over all shingles (summed inside tasks, then by block) ranks hashes: those of lighter cells
+   come first. Any order gives right results; this one keeps passages that documents share out of prefixes.
 2. Every document is sorted by (rank, hash) and cut to its prefix of n - ceil(percent * n / 100) + 1 shingles. Documents
    of one size and prefix make a group; equal sets make a class within it. Groups, not documents, are joined.
 3. Groups that share a token of their prefixes are candidates if their sizes allow a link and if no more tokens come
@@ -11,7 +11,8 @@ Two documents link when 100 * |A & B| >= percent * |A | B| for their sets of dis
    one leader, the group that has the fewest rarer tokens, so that a bucket of m groups gives m - 1 pairs.
    Pairs of groups are then filtered by all that their prefixes show of how they differ.
 4. Pairs are verified on the whole texts of one document of each class. Verified links give components.
-5. What lies in one bucket but in different components is then paired without a leader, all of it, and verified.
+5. What lies in one bucket but in different components is then paired without a leader, all of it, and verified. A
+   bitmap of parities of each set tells most pairs that differ too much while they are joined (an exact bound).
    Documents that are in one component already need no further link, so a group of near copies isn't paired with itself.
    Classes within a group are handled as one more bucket.
 
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,8 @@ from pitchframe.llm.shingles import cells, shingle_hashes, shingle_sets
 WIDTH, PERCENT = 5, 80
 CELLS, BLOCK = 1 << 22, 1 << 12
 BITMAP_BITS = 1 << 24
-MARKED = "rid long, doc_id long, mark long, n long, class binary, prefix array<long>, last long"
+PARITY_BITS = 1024
+MARKED = "rid long, doc_id long, mark long, n long, class binary, prefix array<long>, last long, parity array<long>"
 
 
 def counted_cells(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -69,20 +72,35 @@ def summed_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sums[block] = np.zeros(BLOCK, np.int64)
             sums[block] += counts
     for block, counts in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["block", "counts"])
+        total = pa.array([int(counts.sum())], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([counts.tobytes()], pa.binary()), total], names=["block", "counts", "total"])
+
+
+def ranked_cells(batches: Iterator[pa.RecordBatch], mean: float) -> Iterator[pa.RecordBatch]:
+    """A byte for each cell instead of its count, from the lightest: quarters of the deviation that chance gives, then powers of two.
+
+    A shingle that a few deviations of documents share lies in no light cell, so prefixes hold few such shingles."""
+    deviation = max(1.0, mean**0.5)
+    for batch in batches:
+        packed = []
+        for counts in batch.column(1):
+            z = (np.frombuffer(counts.as_buffer(), np.int64) - mean) / deviation
+            fine = np.clip(np.floor((z + 4) * 4), 0, 31)
+            coarse = np.clip(32 + np.floor(2 * np.log2(np.maximum(z, 4) / 4)), 32, 60)
+            packed.append(np.where(z < 4, fine, coarse).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["block", "ranks"])
 
 
 def ranks(texts: DataFrame, width: int) -> np.ndarray:
-    """The rank of every cell: 0 for what is no more than chance, then by powers of two. CELLS bytes reach the driver."""
+    """The rank of every cell. CELLS bytes reach the driver."""
     kinds = "block int, counts binary"
     parts = texts.mapInArrow(lambda batches: counted_cells(batches, width), kinds)
-    sums = parts.repartition("block").mapInArrow(summed_cells, kinds)
-    out = np.zeros(CELLS, np.int64)
-    for row in sums.toLocalIterator():
-        out[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], np.int64)
-    mean = float(out.mean())
-    chance = 5 * mean**0.5 + 4
-    return np.clip(np.floor(np.log2(np.maximum((out - mean) / chance, 0.5))) + 1, 0, 60).astype(np.uint8)
+    sums = landed(parts.repartition("block").mapInArrow(summed_cells, f"{kinds}, total long"), "jaccard-cells")
+    mean = (sums.agg(F.sum("total")).first()[0] or 0) / CELLS
+    out = np.zeros(CELLS, np.uint8)
+    for row in sums.select("block", "counts").mapInArrow(lambda batches: ranked_cells(batches, mean), "block int, ranks binary").toLocalIterator():
+        out[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["ranks"], np.uint8)
+    return out
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -94,6 +112,21 @@ def order_keys(h: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return (rank[cells(h, len(rank))].astype(np.uint64) << np.uint64(57) | h >> np.uint64(7)).astype(np.int64)
 
 
+def parities(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each set PARITY_BITS bits, each the parity of how many of its hashes fall on it, as rows of 64-bit numbers.
+
+    Two bitmaps differ in no more places than their sets differ in elements."""
+    n = len(bounds) - 1
+    place = (h % np.uint64(PARITY_BITS)).astype(np.int64) + np.repeat(np.arange(n), np.diff(bounds)) * PARITY_BITS
+    odd = (np.bincount(place, minlength=n * PARITY_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, PARITY_BITS), axis=1).view(np.int64)
+
+
+def differing(a: Column, b: Column) -> Column:
+    """In how many places two parity bitmaps differ."""
+    return reduce(Column.__add__, [F.bit_count(F.element_at(a, k).bitwiseXOR(F.element_at(b, k))) for k in range(1, PARITY_BITS // 64 + 1)])
+
+
 def marked(docs: DataFrame, rank_of, width: int, percent: int) -> DataFrame:
     """docs(doc_id, mark, text) to a row each with its size, its class (a digest of its set) and its prefix."""
 
@@ -121,14 +154,20 @@ def marked(docs: DataFrame, rank_of, width: int, percent: int) -> DataFrame:
                         pa.array(classes, pa.binary()),
                         pa.array(prefixes, pa.list_(pa.int64())),
                         pa.array(lasts, pa.int64()),
+                        pa.array(list(parities(h, bounds)), pa.list_(pa.int64())),
                     ],
-                    names=["rid", "doc_id", "mark", "n", "class", "prefix", "last"],
+                    names=["rid", "doc_id", "mark", "n", "class", "prefix", "last", "parity"],
                 )
                 rid += n
 
     return docs.select("doc_id", "mark", "text").mapInArrow(run, MARKED)
 
 
+def may_differ(n: Column, m: Column, percent: int) -> Column:
+    """By how many elements sets of sizes n and m that link differ at most."""
+    return n + m - 2 * F.ceil((n + m) * percent / F.lit(100.0 + percent) - F.lit(1e-9))
+
+
 def may_link(n: Column, m: Column, percent: int, i: Column, j: Column) -> Column:
     """Whether sets of sizes n and m, whose first shared token is at places i and j, can still link."""
     shared = F.ceil((n + m) * percent / F.lit(100.0 + percent) - F.lit(1e-9))  # the least intersection of a link
@@ -195,9 +234,9 @@ class JaccardJoin:
         group = F.sha2(F.concat_ws(",", F.col("n").cast("string"), F.col("prefix").cast("array<string>")), 256)
         worded = self.rows.filter("n > 0").withColumn("group", F.substring(F.unhex(group), 1, 16))
         classes = worded.groupBy("class").agg(
-            F.min("rid").alias("cid"), F.min("doc_id").alias("least_id"), F.min(F.struct("rid", "doc_id", "mark")).alias("at"), F.first("group").alias("group")
+            F.min("rid").alias("cid"), F.min("doc_id").alias("least_id"), F.min(F.struct("rid", "doc_id", "mark")).alias("at"), F.first("group").alias("group"), F.first("parity").alias("parity")
         )
-        self.classes = landed(classes.select("class", "cid", "least_id", "at.doc_id", "at.mark", "group"), "jaccard-classes")
+        self.classes = landed(classes.select("class", "cid", "least_id", "at.doc_id", "at.mark", "group", "parity"), "jaccard-classes")
         groups = worded.groupBy("group").agg(F.min("rid").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("last").alias("last"))
         self.groups = landed(groups, "jaccard-groups")
         named = self.groups.select("group", "gid", "n")
@@ -243,9 +282,11 @@ class JaccardJoin:
         by_root = every.groupBy("kind", "token", "root").agg(F.count(F.lit(1)).alias("n"))
         mixed = by_root.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("main")).filter("roots > 1")
         rest = landed(every.join(mixed.select("kind", "token", F.col("main.root").alias("main")).hint("merge"), ["kind", "token"]), "jaccard-rest")
-        a = rest.filter("root <> main").select("kind", "token", *[F.col(c).alias(f"a_{c}") for c in ("cid", "gid", "root", "n", "at")])
-        b = rest.select("kind", "token", *[F.col(c).alias(f"b_{c}") for c in ("cid", "gid", "root", "n", "at", "main")])
+        rest = landed(rest.join(self.classes.select("cid", "parity").hint("merge"), "cid"), "jaccard-rest")
+        a = rest.filter("root <> main").select("kind", "token", *[F.col(c).alias(f"a_{c}") for c in ("cid", "gid", "root", "n", "at", "parity")])
+        b = rest.select("kind", "token", *[F.col(c).alias(f"b_{c}") for c in ("cid", "gid", "root", "n", "at", "parity", "main")])
         ok = (F.col("kind") == 1) | may_link(F.col("a_n"), F.col("b_n"), self.percent, F.col("a_at"), F.col("b_at"))
+        ok = ok & (differing(F.col("a_parity"), F.col("b_parity")) <= may_differ(F.col("a_n"), F.col("b_n"), self.percent))
         order = (F.col("b_root") == F.col("b_main")) | (F.col("a_cid") < F.col("b_cid"))
         pairs = a.join(b, ["kind", "token"]).filter((F.col("a_root") != F.col("b_root")) & order & ok)
         pairs = pairs.select("kind", F.least("a_cid", "b_cid").alias("u"), F.greatest("a_cid", "b_cid").alias("v"), F.col("a_gid").alias("g"), F.col("b_gid").alias("h"))
