@@ -19,6 +19,11 @@ from pitchframe.llm.common import documents, text_of
 WINDOW = 3
 
 
+def split_once(df: DataFrame, text: Column, out: str) -> DataFrame:
+    """df with the lines of text. The generator keeps the optimiser from splitting again at each use."""
+    return df.select("*", F.explode(F.array(F.split(text, "\n", -1))).alias(out))
+
+
 def window_keys(lines: Column, window: int = WINDOW) -> Column:
     """For each position at which a window starts its two hashes, null if all its lines are blank."""
     last = F.size(lines) - window
@@ -29,16 +34,16 @@ def window_keys(lines: Column, window: int = WINDOW) -> Column:
         blank = F.length(F.trim(F.concat(*parts))) == 0
         return F.when(~blank, F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(window), *parts[::-1]).alias("b")))
 
-    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), key)).otherwise(none)
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), key))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, mark, removed: the sorted positions of the lines that go, for the rows that lose any."""
     text = text_of(text_col)
-    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text, F.length(text)).alias("mark"), F.split(text, "\n", -1).alias("lines"))
-    own = own.select("doc_id", "mark", window_keys(F.col("lines"), window).alias("keys"))  # lines: a column, split once
-    placed = own.select("doc_id", "mark", F.posexplode("keys").alias("at", "key")).filter("key is not null")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text, F.length(text)).alias("mark"), text.alias("text"))
+    own = split_once(own, F.col("text"), "lines").select("doc_id", "mark", window_keys(F.col("lines"), window).alias("keys"))
+    # outer: else keys are computed once more for a filter of empty arrays
+    placed = own.select("doc_id", "mark", F.posexplode_outer("keys").alias("at", "key")).filter("key is not null")
     placed = placed.select("doc_id", "mark", "at", "key.a", "key.b")
     place = F.struct("doc_id", "mark", "at")
     again = (
@@ -57,14 +62,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = text_of(text_col)
     gone = removed_lines(docs, id_col, text_col, window).withColumnsRenamed({"doc_id": "__id", "mark": "__mark", "removed": "__gone"})
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text, F.length(text)) == F.col("__mark"))
-    lines = F.split(text, "\n", -1)
-    stay = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull())
-    return docs.join(gone.hint("merge"), same, "left").select(
-        *[
-            F.when(F.col("__gone").isNull(), docs[c]).otherwise(F.array_join(stay, "\n")).alias(c) if c == text_col else docs[c]
-            for c in docs.columns
-        ],
-        F.size(lines).cast("long").alias("__lines"),
+    names = docs.columns
+    found = split_once(docs.join(gone.hint("merge"), same, "left"), text, "__all")
+    count = F.size("__all")
+    stay = F.transform(F.array_except(F.sequence(F.lit(0), count - 1), F.col("__gone")), lambda i: F.element_at("__all", i + 1))
+    return found.select(
+        *[F.when(F.col("__gone").isNull(), F.col(c)).otherwise(F.array_join(stay, "\n")).alias(c) if c == text_col else F.col(c) for c in names],
+        count.cast("long").alias("__lines"),
         F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("__removed"),
     )
 
