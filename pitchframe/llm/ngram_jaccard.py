@@ -47,18 +47,41 @@ PARITY_BITS = 1024
 MARKED = "rid long, doc_id long, mark long, n long, class binary, prefix array<long>, last long, parity array<long>"
 
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Counts of a block, all of them or, if few aren't 0, those with their places; a first byte tells which and how wide."""
+    wide = int(counts.max() > 255)
+    kind = np.uint32 if wide else np.uint8
+    some = np.flatnonzero(counts)
+    if len(some) * (2 + kind().itemsize) < BLOCK * kind().itemsize:
+        return bytes([2 + wide]) + some.astype(np.uint16).tobytes() + counts[some].astype(kind).tobytes()
+    return bytes([wide]) + counts.astype(kind).tobytes()
+
+
+def add_packed(sums: np.ndarray, packed: memoryview) -> None:
+    """Adds what packed_counts made."""
+    form, body = packed[0], packed[1:]
+    kind = np.uint32 if form & 1 else np.uint8
+    if form < 2:
+        sums += np.frombuffer(body, kind)
+        return
+    n = len(body) // (2 + kind().itemsize)
+    sums[np.frombuffer(body[: 2 * n], np.uint16)] += np.frombuffer(body[2 * n :], kind)
+
+
 def counted_cells(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Counts of all shingles of a task, a row for each block of cells that isn't empty."""
     found = np.zeros(CELLS, np.uint32)
     for batch in batches:
         for _, data, offsets in slices(batch.column(0)):
             _, h = shingle_hashes(data, offsets, width)
-            found += np.bincount(cells(h, CELLS), minlength=CELLS).astype(np.uint32)
+            at, n = np.unique(cells(h, CELLS), return_counts=True)
+            found[at] += n.astype(np.uint32)
     blocks = [(k, b) for k, b in enumerate(found.reshape(-1, BLOCK)) if b.any()]
     for i in range(0, len(blocks), 64):
         some = blocks[i : i + 64]
-        packed = [(b.astype(np.uint8) if b.max() < 256 else b).tobytes() for _, b in some]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array(packed, pa.binary())], names=["block", "counts"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in some], pa.int32()), pa.array([packed_counts(b) for _, b in some], pa.binary())], names=["block", "counts"]
+        )
 
 
 def summed_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,11 +89,9 @@ def summed_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-            raw = np.frombuffer(packed.as_buffer(), np.uint8)
-            counts = raw if len(raw) == BLOCK else raw.view(np.uint32)
             if block not in sums:
                 sums[block] = np.zeros(BLOCK, np.int64)
-            sums[block] += counts
+            add_packed(sums[block], memoryview(packed.as_buffer()).cast("B"))
     for block, counts in sums.items():
         total = pa.array([int(counts.sum())], pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([counts.tobytes()], pa.binary()), total], names=["block", "counts", "total"])

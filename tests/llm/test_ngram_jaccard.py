@@ -1,9 +1,10 @@
 import re
 
+import numpy as np
 import pytest
 from fixtures import KINDS, rows, table
 
-from pitchframe.llm.ngram_jaccard import one_of_each, op1_ngram_jaccard, similar_components
+from pitchframe.llm.ngram_jaccard import BLOCK, add_packed, one_of_each, op1_ngram_jaccard, packed_counts, similar_components
 
 
 def lowered(text):
@@ -65,3 +66,15 @@ def test_an_empty_table_gives_an_empty_table(spark):
     assert similar_components(empty).count() == 0 and one_of_each(empty).count() == 0
     blank = spark.createDataFrame([(1, None, "en", "a", 0), (2, "", "en", "a", 0)], KINDS)
     assert sorted(tuple(r)[3:] for r in similar_components(blank).collect()) == [(0, 1), (0, 2)]
+
+
+@pytest.mark.parametrize("share,most", [(0.001, 9), (0.9, 9), (0.001, 70_000), (0.9, 70_000)])
+def test_packed_counts_add_up(share, most):
+    rng = np.random.default_rng(5)
+    sums, want = np.zeros(BLOCK, np.int64), np.zeros(BLOCK, np.int64)
+    for _ in range(3):
+        counts = (rng.random(BLOCK) < share) * rng.integers(1, most, BLOCK)
+        counts[0] = 1
+        want += counts
+        add_packed(sums, memoryview(packed_counts(counts.astype(np.uint32))))
+    assert (sums == want).all()
