@@ -59,23 +59,30 @@ def counted(docs: DataFrame, text_col: str = "text") -> list[Column]:
     ]
 
 
-def wanted_share(dim: str, target: dict[str, float] | float) -> Column:
-    """The target of a category before all of a dimension are brought to a sum of 1; `m` holds its tokens."""
+def unlisted_tokens(dim: str, target: dict[str, float] | float) -> Column:
+    """An aggregate: the tokens of all categories without a target."""
+    listed = list(target) if isinstance(target, dict) else []
+    return F.sum(F.when(~F.col(dim).isin(listed), F.col("n")))
+
+
+def wanted_share(dim: str, target: dict[str, float] | float, unlisted: int | None) -> Column:
+    """The target of a category before all of a dimension are brought to a sum of 1; those without one share REST."""
     mass = F.sum("n").over(W.partitionBy(dim))
     if not isinstance(target, dict):
         return F.pow(mass.cast("double"), F.lit(float(target)))
     listed = F.lit(None).cast("double")
     for name, share in target.items():
         listed = F.when(F.col(dim) == name, F.lit(float(share))).otherwise(listed)
-    return F.coalesce(listed, F.lit(REST) * mass / F.lit(1e6))
+    return F.coalesce(listed, F.lit(REST) * mass / F.lit(float(unlisted or 1)))
 
 
 def raked(cells: DataFrame, targets: dict[str, dict[str, float] | float], rounds: int = ROUNDS) -> DataFrame:
     """cells(source, lang, topic, n) with w, token weights whose margins meet the targets."""
+    unlisted = cells.agg(*[unlisted_tokens(d, targets[d]).alias(d) for d in DIMS]).first()
     shares = cells.select(
         *DIMS,
         "n",
-        *[wanted_share(d, targets[d]).alias(f"t_{d}") for d in DIMS],
+        *[wanted_share(d, targets[d], unlisted[d]).alias(f"t_{d}") for d in DIMS],
         *[F.count(F.lit(1)).over(W.partitionBy(d)).alias(f"c_{d}") for d in DIMS],
     )
     sums = shares.agg(*[F.sum(F.col(f"t_{d}") / F.col(f"c_{d}")).alias(d) for d in DIMS]).first()

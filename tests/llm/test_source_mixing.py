@@ -2,7 +2,8 @@ from collections import defaultdict
 
 from fixtures import KINDS, rows, table
 
-from pitchframe.llm.source_mixing import DIMS, KEEP, TARGETS, calibrated, mixed, raked, with_probability
+from pitchframe.llm.common import landed
+from pitchframe.llm.source_mixing import DIMS, KEEP, REST, TARGETS, calibrated, mixed, raked, with_probability
 
 
 def test_weights_meet_the_margins(spark):
@@ -46,3 +47,19 @@ def test_rows_keep_their_columns_and_equal_ids_are_drawn_alike(spark):
 def test_an_empty_table_gives_an_empty_table(spark):
     assert mixed(spark.createDataFrame([], KINDS)).count() == 0
     assert DIMS == ["source", "lang", "topic"]
+
+
+def test_categories_without_a_target_share_rest_at_any_size(spark):
+    n = {(s, t, k): 5 + i for i, (s, t, k) in enumerate((s, t, k) for s in "ab" for t in ("en", "de", "", "xx") for k in TARGETS["topic"])}
+
+    def weights(times):
+        given = [(*k, v * times) for k, v in n.items()]
+        found = landed(raked(spark.createDataFrame(given, "source string, lang string, topic string, n long").coalesce(1), TARGETS), "test-weights")
+        shares, rates = defaultdict(float), found.collect()
+        for r in rates:
+            shares[r["lang"]] += r["w"] / sum(x["w"] for x in rates)
+        return shares, {tuple(r[d] for d in DIMS): r["p"] for r in calibrated(found).collect()}
+
+    (shares, small), (_, large) = weights(1), weights(1000)
+    assert abs(shares[""] + shares["xx"] - REST / (0.5 + 0.18 + REST)) < 1e-3
+    assert all(abs(small[k] - large[k]) < 1e-9 for k in n)
