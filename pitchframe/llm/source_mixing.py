@@ -2,9 +2,10 @@
 
 Documents are counted into cells of source, language and topic (tokens, combined before the shuffle). The cells' token
 weights are raked: in ROUNDS rounds they are scaled to the target shares of sources, of languages and of topics in turn,
-by window sums over the small table of cells. A factor then turns weights into probabilities, raised while cells that
-reach 1 leave some of the budget (WATER_ROUNDS), and each document is taken if a hash of its id falls below the
-probability of its cell. Topics are forms that a rule on the text tells (`topic_of`); tokens are words.
+by window sums over the small table of cells. `mixed` fits under the bound that no probability exceeds 1 (`bounded`), so
+that the sample meets the targets as far as categories hold enough. The query op10 follows its SQL (`scaled`): a factor
+turns raked weights into probabilities, raised while cells that reach 1 leave some of the budget (WATER_ROUNDS). Each
+document is taken if a hash of its id falls below the probability of its cell. Topics are forms that a rule on the text tells (`topic_of`); tokens are words.
 
 Defined results: null texts are empty and have no tokens; null source or language is the category ''; categories without
 a target share REST, by their tokens; rows that repeat an id are drawn alike; cells without tokens are taken whole (they
@@ -13,6 +14,8 @@ cost nothing); an empty table gives an empty table; further columns survive in `
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,8 +79,8 @@ def wanted_share(dim: str, target: dict[str, float] | float, unlisted: int | Non
     return F.coalesce(listed, F.lit(REST) * mass / F.lit(float(unlisted or 1)))
 
 
-def raked(cells: DataFrame, targets: dict[str, dict[str, float] | float], rounds: int = ROUNDS) -> DataFrame:
-    """cells(source, lang, topic, n) with w, token weights whose margins meet the targets."""
+def targeted(cells: DataFrame, targets: dict[str, dict[str, float] | float]) -> DataFrame:
+    """cells(source, lang, topic, n) with the target share of each cell's categories, t_source, t_lang and t_topic."""
     unlisted = cells.agg(*[unlisted_tokens(d, targets[d]).alias(d) for d in DIMS]).first()
     shares = cells.select(
         *DIMS,
@@ -86,9 +89,12 @@ def raked(cells: DataFrame, targets: dict[str, dict[str, float] | float], rounds
         *[F.count(F.lit(1)).over(W.partitionBy(d)).alias(f"c_{d}") for d in DIMS],
     )
     sums = shares.agg(*[F.sum(F.col(f"t_{d}") / F.col(f"c_{d}")).alias(d) for d in DIMS]).first()
-    out = shares.select(
-        *DIMS, "n", *[(F.col(f"t_{d}") / F.lit(sums[d] or 1.0)).alias(f"t_{d}") for d in DIMS], F.col("n").cast("double").alias("w")
-    )
+    return shares.select(*DIMS, "n", *[(F.col(f"t_{d}") / F.lit(sums[d] or 1.0)).alias(f"t_{d}") for d in DIMS])
+
+
+def raked(cells: DataFrame, targets: dict[str, dict[str, float] | float], rounds: int = ROUNDS) -> DataFrame:
+    """cells(source, lang, topic, n) with w, token weights whose margins meet the targets."""
+    out = targeted(cells, targets).withColumn("w", F.col("n").cast("double"))
     for _ in range(rounds):
         for d in DIMS:
             # cells without weight stay at 0
@@ -109,6 +115,56 @@ def calibrated(cells: DataFrame, keep: float = KEEP) -> DataFrame:
     return cells.withColumn("p", F.when(F.col("n") == 0, 1.0).otherwise(F.least(F.lit(1.0), F.lit(factor) * F.col("w") / F.col("n"))))
 
 
+def scaled(cells: DataFrame, targets: dict = TARGETS, keep: float = KEEP) -> DataFrame:
+    """cells with p by raking first and one factor after it, as the SQL of op10 has it: clipped cells shift the margins."""
+    return calibrated(landed(raked(cells, targets), "mix-weights"), keep)
+
+
+def most_of(shares: DataFrame, dim: str, budget: float) -> float:
+    """The factor of the targets of a dimension that meets the budget where no category gives more than it holds."""
+    held = shares.groupBy(dim).agg(F.sum("n").cast("double").alias("n"), F.max(f"t_{dim}").alias("t"))
+    factor = budget
+    while True:  # it only rises, and at each turn but the last a further category is full
+        full = F.col("t") * F.lit(factor) > F.col("n")
+        got = held.agg(F.sum(F.when(full, F.col("n"))).alias("n"), F.sum(F.when(~full, F.col("t"))).alias("t")).first()
+        risen = (budget - (got["n"] or 0.0)) / got["t"] if got["t"] else factor
+        if risen <= factor * (1 + 1e-12):
+            return factor
+        factor = risen
+
+
+def bounded(cells: DataFrame, targets: dict = TARGETS, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
+    """cells with p, fitted under p <= 1: the expected tokens meet the budget and the targets of all dimensions.
+
+    p is least(1, u), u a product of factors of categories; in turn each category gets the factor that brings its expected
+    tokens to its target (a Newton step over the cells below 1). A category that holds less than its target is taken
+    whole, and the others of its dimension share what is missing by their targets."""
+    shares = landed(targeted(cells, targets), "mix-shares")
+    budget = keep * float(shares.agg(F.sum("n").alias("n")).first()["n"] or 0)
+    n, u = F.col("n").cast("double"), F.col("u")
+    held = {d: F.sum(n).over(W.partitionBy(d)) for d in DIMS}
+    most = {d: F.col(f"t_{d}") * F.lit(most_of(shares, d, budget)) for d in DIMS}
+    whole = most["source"] >= held["source"]
+    for d in DIMS[1:]:
+        whole = whole | (most[d] >= held[d])
+    out = shares.select(
+        *DIMS, "n", *[F.least(most[d], held[d]).alias(f"t_{d}") for d in DIMS], F.when(whole, 1e9).otherwise(float(keep)).alias("u")
+    )
+    for _ in range(rounds):
+        for d in DIMS:
+            over, t = W.partitionBy(d), F.col(f"t_{d}")
+            out = out.withColumns(
+                {
+                    "full": F.sum(F.when(u >= 1, n).otherwise(0.0)).over(over),
+                    "below": F.sum(F.when(u < 1, n * u).otherwise(0.0)).over(over),
+                }
+            )
+            step = F.when((t > F.col("full")) & (F.col("below") > 0), (t - F.col("full")) / F.col("below"))
+            step = step.otherwise(F.coalesce(F.try_divide(t, F.col("full") + F.col("below")), F.lit(0.0)))
+            out = out.withColumn("u", u * step).drop("full", "below")
+    return out.select(*DIMS, "n", F.when(F.col("n") == 0, 1.0).otherwise(F.least(F.lit(1.0), u)).alias("p"))
+
+
 def drawn(id_col: Column, seed: str = SEED) -> Column:
     """A number of [0, 1) that only the id and the seed decide."""
     text = F.concat(F.lit(seed + ":"), F.coalesce(id_col.cast("string"), F.lit("")))
@@ -120,10 +176,12 @@ def with_probability(docs: DataFrame, targets: dict = TARGETS, keep: float = KEE
     return with_probability_of_cell(docs.select("*", *counted(docs, text_col)), targets, keep, id_col)
 
 
-def with_probability_of_cell(own: DataFrame, targets: dict = TARGETS, keep: float = KEEP, id_col: str = "doc_id") -> DataFrame:
+def with_probability_of_cell(
+    own: DataFrame, targets: dict = TARGETS, keep: float = KEEP, id_col: str = "doc_id", fit: Callable[..., DataFrame] = bounded
+) -> DataFrame:
     """The same for rows that have been counted already."""
     cells = own.groupBy(*[F.col(f"__{d}").alias(d) for d in DIMS]).agg(F.sum("__tokens").alias("n"))
-    cells = landed(calibrated(landed(raked(landed(cells, "mix-cells"), targets), "mix-weights"), keep), "mix-probabilities")
+    cells = landed(fit(landed(cells, "mix-cells"), targets, keep), "mix-probabilities")
     right = cells.select(*[F.col(d).alias(f"__{d}") for d in DIMS], F.col("p").alias("__p"))
     if cells.count() <= BROADCAST_CELLS:
         right = F.broadcast(right)
@@ -138,7 +196,7 @@ def mixed(docs: DataFrame, targets: dict = TARGETS, keep: float = KEEP) -> DataF
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: its cell, tokens, probability and whether it is taken."""
     docs = documents(spark, sf_dir)
-    found = with_probability_of_cell(landed(docs.select("doc_id", *counted(docs)), "mix-counted"))  # texts are read once
+    found = with_probability_of_cell(landed(docs.select("doc_id", *counted(docs)), "mix-counted"), fit=scaled)  # texts are read once
     return found.select(
         F.col("doc_id"),
         *[F.col(f"__{d}").alias(d) for d in DIMS],

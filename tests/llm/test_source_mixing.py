@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 from fixtures import KINDS, rows, table
@@ -63,3 +64,27 @@ def test_categories_without_a_target_share_rest_at_any_size(spark):
     (shares, small), (_, large) = weights(1), weights(1000)
     assert abs(shares[""] + shares["xx"] - REST / (0.5 + 0.18 + REST)) < 1e-3
     assert all(abs(small[k] - large[k]) < 1e-9 for k in n)
+
+
+def test_sample_meets_margins_under_the_bound(spark):
+    rng = random.Random(5)
+    given = []
+    for i in range(900):
+        lang = rng.choices(["en", "de", "fr", "es"], [60, 16, 16, 8])[0]
+        lines = rng.choices([1, 5, 14], [45, 35, 20])[0]
+        given.append((i, "\n".join(["word " * rng.randrange(2, 9)] * lines), lang, rng.choices("abc", [70, 25, 5])[0], 0))
+    found = with_probability(table(spark, given)).collect()
+    whole = sum(r["__tokens"] for r in found)
+    for dim in DIMS:
+        held, kept = defaultdict(float), defaultdict(float)
+        for r in found:
+            held[r[f"__{dim}"]] += r["__tokens"]
+            kept[r[f"__{dim}"]] += r["__tokens"] * r["__p"]
+        target = TARGETS[dim] if isinstance(TARGETS[dim], dict) else {k: v ** TARGETS[dim] for k, v in held.items()}
+        full = set()
+        for _ in held:  # what a category doesn't hold is spread over the others
+            rest = (KEEP * whole - sum(held[k] for k in full)) / sum(target[k] for k in held if k not in full)
+            full |= {k for k in held if target[k] * rest > held[k]}
+        for k in held:
+            assert abs(kept[k] - (held[k] if k in full else target[k] * rest)) < 1e-4 * whole, (dim, k)
+        assert dim != "lang" or full == {"es"}
