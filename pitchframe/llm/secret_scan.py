@@ -27,7 +27,7 @@ HEX = r"[0-9a-f]{24,}"  # the same as whole runs of 24 or more
 KINDS = ["assign", "access", "hex", "owned"]
 LEAST_ASSIGN = 6
 #: Long tokens that aren't base candidates by themselves, and that must hold a small letter, a capital and a digit.
-WIDE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,200}(?![A-Za-z0-9+/_-])"
+WIDE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 
 
 def found_spans(text: Column, pattern: str, kind: str, value: int = 0) -> Column:

@@ -62,3 +62,12 @@ def test_copied_values_are_examples_and_single_ones_are_owned(spark):
 def test_an_empty_table_gives_an_empty_table(spark):
     spans, values = scan(spark.createDataFrame([], KINDS))
     assert spans.count() == 0 and values.count() == 0
+
+
+def test_long_tokens_are_owned_too(spark):
+    rng = random.Random(7)
+    lengths = {0: 200, 1: 201, 2: 300, 3: 5000, 4: 400_000}
+    given = [(i, "key " + "aB3" + "".join(rng.choices("abcXYZ012+/_-", k=n - 3)) + " end", "en", f"owner{i}", 0) for i, n in lengths.items()]
+    spans, _ = scan(table(spark, given))
+    found = {r["doc_id"]: [(x["start"], x["end"]) for x in r["added"] or []] for r in spans.collect()}
+    assert found == {i: [(4, 4 + n)] for i, n in lengths.items()}
