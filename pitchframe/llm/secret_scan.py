@@ -75,6 +75,11 @@ def listed(spans: Column) -> Column:
     )
 
 
+def of_kind(spans: Column, kind: int) -> Column:
+    """How many spans are of a kind."""
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
 def candidates(docs: DataFrame, text: Column) -> DataFrame:
     """docs with `base`, the sorted base spans, and `wide`, the spans of the wider pattern."""
     assign = F.filter(found_spans(text, ASSIGN, "assign", 2), lambda x: F.length(x["value"]) >= LEAST_ASSIGN)
@@ -171,10 +176,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The owner is the source, the repository a language of it."""
     spans, _ = scan(documents(spark, sf_dir), repo=F.concat_ws("/", "source", "lang"))
-    counts = {
-        f"n_{kind}": F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long")
-        for k, kind in enumerate(KINDS[:3])
-    }
+    counts = {f"n_{kind}": of_kind(F.col("base"), k) for k, kind in enumerate(KINDS[:3])}
     both = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
     return spans.select(
         "doc_id",
