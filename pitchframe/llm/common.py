@@ -1,19 +1,29 @@
-"""What the text operators share: shared work folders, reading tables, null-safe text."""
+"""What the text operators share: shared work folders, reading tables, null-safe text, bitmaps of keys."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+BITMAP_BITS = 1 << 24
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session with one machine (a local master) gets a folder of its own; any other is refused, as a
+    machine's own folder is another one on each machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "/tmp/pitchframe-shared"
     context = spark.sparkContext
+    if not found and not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not found:
+        found = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(found)
     return found.rstrip("/")
@@ -31,10 +41,16 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python in batches of so many rows: the memory of a worker must not depend on their lengths."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def text_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of so many rows and about so many bytes at most, whichever comes first.
+
+    One longer text is a batch of its own. The settings are the session's and are only ever lowered: a plan reads them
+    when it runs, which is after the operator has returned it."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    now = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    if now != f"{BATCH_BYTES}b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,3 +63,19 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
+def key_bitmap(keys: DataFrame, key: Column, name: str) -> DataFrame:
+    """One row, bits: array<long> of BITMAP_BITS bits in all, one set for each key (a long). Its size doesn't grow with keys."""
+    slot = F.pmod(key, F.lit(BITMAP_BITS))
+    bit = F.expr("shiftleft(1L, cast(pmod(__slot, 64) as int))")
+    own = keys.select(slot.alias("__slot")).select(F.floor(F.col("__slot") / 64).alias("word"), bit.alias("bits"))
+    words = own.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    every = keys.sparkSession.range(BITMAP_BITS // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    full = words.union(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))  # BITMAP_BITS / 64 rows
+    return landed(full.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("x")).select(F.col("x.bits").alias("bits")), name)
+
+
+def in_bitmap(bitmap: DataFrame, key: Column) -> Column:
+    """Whether the bit of key is set: true for all keys of the bitmap, and for few others while it is sparse."""
+    slot = F.pmod(key, F.lit(BITMAP_BITS))
+    word = F.element_at(bitmap.scalar(), (F.floor(slot / 64) + 1).cast("int"))
+    return F.getbit(word, F.pmod(slot, F.lit(64)).cast("int")) == 1

@@ -1,10 +1,11 @@
-"""Exact deduplication through the state of a stream.
+"""Exact deduplication through the state of a stream. DataFrame functions only.
 
-Arrivals (digest, id, locator of the content) go through a Structured Streaming aggregation whose keyed state lives in
-RocksDB and never expires: one entry a digest, with the largest id seen, its locator and a count. The state is then
-read as a table. Documents whose digest was hit more than once are checked by their full bytes: they are grouped by
-digest and whole text, combined before the shuffle, so that a text that a third of all rows share is one row a task. A
-digest with two different texts (a collision) is split by text.
+Arrivals (digest, id, row, locator of the content) go through a Structured Streaming aggregation whose keyed state lies
+on disk, in RocksDB, and never expires: one entry a digest, with a count and the row of the largest id seen, its locator
+(the file that holds the content) included. The state is then read as a table. Documents whose digest was hit more than
+once are checked by their full bytes: a second scan, which a bitmap of the hit digests filters before anything is
+shuffled, groups them by digest and whole text, combined before the shuffle, so that a text that a third of all rows share
+is one row a task. A digest with two different texts (a collision) is split by text.
 
 Defined results: null texts count as empty; a null id loses to any other id, and rows without an id stay together with
 keep_id null; of rows that repeat both id and text one is kept; an empty table gives an empty table; further columns
@@ -17,30 +18,34 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitchframe.llm.common import documents, landed, text_of, work_dir
+from pitchframe.llm.common import documents, in_bitmap, key_bitmap, landed, text_of, work_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "400",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",  # of each executor
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",  # stores of ended queries are let go soon
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every store sets 4 MB aside
 }
 
 
+ARRIVALS = "doc_id long, row long, digest binary, locator string"
+
+
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
 def digest_state(arrivals_path: str, spark: SparkSession, checkpoint: str, max_bytes: str | None = None) -> DataFrame:
-    """Run the stream over what has arrived and return its state: digest, keep_id, group_size, locator.
+    """Run the stream over what has arrived and return its state: digest, keep_id, keep_row, group_size, locator.
 
     A second call with the same checkpoint reads only new arrivals and goes on with the kept state."""
     before = {k: spark.conf.get(k, None) for k in STATE_CONF}
     for k, v in STATE_CONF.items():
         spark.conf.set(k, v)
     try:
-        reader = spark.readStream.schema("doc_id long, digest binary, locator string")
+        reader = spark.readStream.schema(ARRIVALS)
         if max_bytes:
             reader = reader.option("maxBytesPerTrigger", max_bytes)
         seen = (
@@ -48,7 +53,7 @@ def digest_state(arrivals_path: str, spark: SparkSession, checkpoint: str, max_b
             .groupBy("digest")
             .agg(
                 F.count(F.lit(1)).alias("group_size"),
-                F.max(F.struct("doc_id", "locator")).alias("latest"),
+                F.max(F.struct("doc_id", "row", "locator")).alias("latest"),
             )
         )
         run = (
@@ -72,6 +77,7 @@ def digest_state(arrivals_path: str, spark: SparkSession, checkpoint: str, max_b
     return state.select(
         F.col("key.digest").alias("digest"),
         F.col(f"value.`{latest}`.doc_id").alias("keep_id"),
+        F.col(f"value.`{latest}`.row").alias("keep_row"),
         F.col(f"value.`{size}`").alias("group_size"),
         F.col(f"value.`{latest}`.locator").alias("locator"),
     )
@@ -85,45 +91,39 @@ def exact_groups(
     text = text_of(text_col)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), digest(text).alias("digest"))
     arrivals = work_dir(spark, "exact-arrivals")
-    base.select("doc_id", "digest", F.input_file_name().alias("locator")).write.parquet(arrivals)
-    keyed = spark.read.schema("doc_id long, digest binary, locator string").parquet(arrivals)
+    place = F.monotonically_increasing_id().alias("row")
+    base.select("doc_id", place, "digest", F.input_file_name().alias("locator")).write.parquet(arrivals)
+    keyed = spark.read.schema(ARRIVALS).parquet(arrivals)
     state = digest_state(arrivals, spark, work_dir(spark, "exact-state"), max_bytes)
 
-    # the full bytes of every hit: ids are dealt evenly, and equal texts are combined before they move on
-    again = state.filter("group_size > 1").select("digest")
-    hit_ids = keyed.join(again, "digest", "left_semi").select("doc_id")
-    wanted = hit_ids.filter("doc_id is not null").distinct().hint("merge")
-    hits = base.join(wanted, "doc_id", "left_semi")
-    hits = hits.unionByName(base.filter("doc_id is null").join(again, "digest", "left_semi"))
+    # the full bytes of every hit; a digest that only shares a bit with one is a group of its own
+    again = key_bitmap(state.filter("group_size > 1"), F.xxhash64("digest"), "exact-hits")
+    hits = base.filter(in_bitmap(again, F.xxhash64("digest")))
     variants = hits.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     texts = variants.groupBy("digest").agg(F.count(F.lit(1)).alias("n_texts"))
     split = landed(texts.filter("n_texts > 1").select("digest"), "exact-collisions")
 
-    named = keyed.select("doc_id", "digest").join(state.select("digest", "keep_id", "group_size"), "digest")
+    named = keyed.select("doc_id", "row", "digest").join(state.select("digest", "keep_id", "keep_row", "group_size"), "digest")
+    named = named.withColumn("kept", F.col("row") == F.col("keep_row"))
     if not split.isEmpty():
-        apart = base.join(split, "digest", "left_semi").join(
-            variants.join(split, "digest", "left_semi"), ["digest", "text"]
-        )
-        named = named.join(split, "digest", "left_anti").unionByName(
-            apart.select("digest", "doc_id", "keep_id", "group_size")
-        )
-    first = F.row_number().over(W.partitionBy("doc_id", "digest", "keep_id").orderBy("group_size"))
-    twins = named.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    named = named.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    many = landed(twins, "exact-twins")
-    if not many.isEmpty():
-        named = named.withColumn("kept", F.col("kept") & (first == 1))
+        apart = base.join(split, "digest", "left_semi").join(variants.join(split, "digest", "left_semi"), ["digest", "text"])
+        first = F.row_number().over(W.partitionBy("digest", "text", "doc_id").orderBy(F.lit(1)))
+        apart = apart.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (first == 1))
+        named = named.join(split, "digest", "left_anti").unionByName(apart, allowMissingColumns=True)
     return named.select("doc_id", "keep_id", "group_size", "kept", "digest")
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with their columns, that exact deduplication keeps."""
+    """The rows of docs, with their columns, that exact deduplication keeps. Rows without a copy aren't shuffled."""
     groups = exact_groups(docs, id_col, text_col)
-    kept = groups.filter("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
-    one = docs.withColumns({"__id": F.col(id_col).cast("long"), "__digest": sha256(text_of(text_col))})
-    one = one.dropDuplicates(["__id", "__digest"])
-    same = one["__id"].eqNullSafe(kept["__id"]) & (one["__digest"] == kept["__digest"])
-    return one.join(kept, same, "left_semi").select(*docs.columns)
+    many = landed(groups.filter("group_size > 1").select("doc_id", "digest", "keep_id"), "exact-copies")
+    gone = many.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__of"))
+    own = docs.withColumns({"__id": F.col(id_col).cast("long"), "__digest": sha256(text_of(text_col))})
+    copied = in_bitmap(key_bitmap(many, F.xxhash64("digest"), "exact-bitmap"), F.xxhash64("__digest"))
+    one = own.filter(copied).dropDuplicates(["__id", "__digest"])
+    same = F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__digest") == F.col("__of"))
+    one = one.join(gone.hint("merge"), same, "left_anti")
+    return own.filter(~copied).select(*docs.columns).unionAll(one.select(*docs.columns))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 Every run of three consecutive lines is hashed (128 bits); windows are counted over the whole corpus, combined before
 the shuffle, and the first occurrence of a repeated window (smallest id, then position) stays. The lines that any later
-occurrence covers are removed: covered positions of a document merge into one set.
+occurrence covers are removed: covered positions of a document merge into one set. A bitmap of the documents that lose
+lines tells the others while they are read, so that texts which stay as they are never cross a shuffle.
 
 Defined results: null texts are empty; texts of fewer than three lines have no windows and stay as they are; windows of
-blank lines only don't count; rows that repeat both id and text are one occurrence and are treated alike; null ids come
+blank lines only (of spaces; a tab counts as text) don't count; rows that repeat both id and text are one occurrence and are treated alike; null ids come
 first; an empty table gives an empty table; further columns survive in `deduplicated`.
 """
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchframe.llm.common import documents, text_of
+from pitchframe.llm.common import documents, in_bitmap, key_bitmap, landed, text_of
 
 WINDOW = 3
 
@@ -59,18 +60,24 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with their texts without repeated windows, and __lines and __removed, the number of lines before and gone."""
-    text = text_of(text_col)
-    gone = removed_lines(docs, id_col, text_col, window).withColumnsRenamed({"doc_id": "__id", "mark": "__mark", "removed": "__gone"})
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text, F.length(text)) == F.col("__mark"))
-    names = docs.columns
-    found = split_once(docs.join(gone.hint("merge"), same, "left"), text, "__all")
+    text, names = text_of(text_col), docs.columns
+    gone = landed(removed_lines(docs, id_col, text_col, window), "lines-removed")
+    own = docs.withColumn("__mark", F.xxhash64(text, F.length(text)))
+    losing = in_bitmap(key_bitmap(gone, F.col("mark"), "lines-bitmap"), F.col("__mark"))
+    same = F.col(id_col).eqNullSafe(F.col("__gone.doc_id")) & (F.col("__mark") == F.col("__gone.mark"))
+    found = own.filter(losing).join(gone.select(F.struct("*").alias("__gone")).hint("merge"), same, "left")
+    found = split_once(found, text, "__all")
     count = F.size("__all")
-    stay = F.transform(F.array_except(F.sequence(F.lit(0), count - 1), F.col("__gone")), lambda i: F.element_at("__all", i + 1))
-    return found.select(
-        *[F.when(F.col("__gone").isNull(), F.col(c)).otherwise(F.array_join(stay, "\n")).alias(c) if c == text_col else F.col(c) for c in names],
+    stay = F.transform(F.array_except(F.sequence(F.lit(0), count - 1), F.col("__gone.removed")), lambda i: F.element_at("__all", i + 1))
+    kept = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
+    changed = found.select(
+        *[kept.alias(c) if c == text_col else F.col(c) for c in names],
         count.cast("long").alias("__lines"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("__removed"),
+        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone.removed")).cast("long").alias("__removed"),
     )
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    whole = own.filter(~losing).select(*names, lines.cast("long").alias("__lines"), F.lit(0).cast("long").alias("__removed"))
+    return whole.unionAll(changed)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
