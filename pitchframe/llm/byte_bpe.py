@@ -8,6 +8,10 @@ without walking the text. The pieces are slices of the UTF-8 buffer; equal piece
 and a bounded cache of merged pieces). Token ends are kept as byte offsets, so that any run of tokens can be decoded or
 attributed to a place in its document.
 
+Which code points are letters, numbers or white space is asked of the tokenizer library whose ids are to be met, once on
+the driver, and goes to all tasks with the job: classes don't depend on what a machine has installed, nor on the age of
+another library's Unicode tables.
+
 Defined results: null texts count as empty; an empty text has no tokens; ids follow the rank file, no special tokens.
 Memory is bounded by SLICE_BYTES of text at a time (one longer document is taken alone).
 """
@@ -22,8 +26,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pitchframe.llm.common import documents, text_batches, text_of
 
@@ -32,8 +37,6 @@ CACHE_PIECES = 1 << 16
 LONG_PIECE = 256
 NONE = np.int64(1 << 40)
 LETTER, NUMBER, OTHER, SPACE, BLANK, EDGE = range(6)
-# The code points of the White_Space property.
-WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 # The contractions of the public pattern, by their letters after the apostrophe.
 CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
 # States of the automaton: outside a contraction, one or two of its letters left, just behind it.
@@ -42,22 +45,32 @@ OUTSIDE, ONE_LEFT, TWO_LEFT, BEHIND = range(4)
 _made: dict = {}
 
 
-def code_point_classes() -> np.ndarray:
-    """The class of every code point, from the Unicode tables of an installed library, once a worker."""
-    if "classes" not in _made:
+def matching(pattern: str) -> np.ndarray:
+    """The code points that a pattern of the tokenizer library matches: with one token a byte, all else is left out."""
+    import tiktoken
+
+    each = tiktoken.Encoding("classes", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    found = []
+    for start in range(0, 0x110000, 0x800):
+        if not 0xD800 <= start < 0xE000:
+            found.append(each.decode_bytes(each.encode_ordinary("".join(map(chr, range(start, start + 0x800))))))
+    return np.frombuffer(b"".join(found).decode().encode("utf-32-le"), np.uint32)
+
+
+def class_runs() -> tuple[np.ndarray, np.ndarray]:
+    """The classes of all code points as runs: their first code points and their classes. Some thousand numbers."""
+    if "runs" not in _made:
         table = np.full(0x110000, OTHER, np.uint8)
-        kinds = [(LETTER, regex.compile(r"\p{L}+")), (NUMBER, regex.compile(r"\p{N}+"))]
-        for start in range(0, 0x110000, 0x800):  # a part at a time: a worker keeps what it once took
-            if 0xD800 <= start < 0xE000:
-                continue
-            part = "".join(map(chr, range(start, start + 0x800)))
-            for kind, pattern in kinds:
-                for run in pattern.finditer(part):
-                    table[start + run.start() : start + run.end()] = kind
-        table[WHITE_SPACE] = BLANK
+        for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (BLANK, r"\s")):
+            table[matching(pattern)] = kind
         table[0x20] = SPACE
-        _made["classes"] = table
-    return _made["classes"]
+        starts = np.flatnonzero(np.append(True, table[1:] != table[:-1])).astype(np.uint32)
+        _made["runs"] = starts, table[starts]
+    return _made["runs"]
+
+
+def class_table(runs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    return np.repeat(runs[1], np.diff(np.append(runs[0], 0x110000)))
 
 
 def _start_rule() -> np.ndarray:
@@ -118,13 +131,13 @@ def scanned(codes: np.ndarray, width: int = 256) -> np.ndarray:
     return COMPOSED[(before.astype(np.uint16) << 8)[None, :] | grid].T.reshape(-1)[:n]
 
 
-def piece_starts(data: bytes, row_starts: np.ndarray) -> np.ndarray:
+def piece_starts(data: bytes, row_starts: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Byte offsets at which pieces start. row_starts: byte offsets of the documents that aren't empty."""
     points = np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     raw = np.frombuffer(data, np.uint8)
     at = None if len(points) == len(raw) else np.flatnonzero((raw & 0xC0) != 0x80)
     first = row_starts if at is None else np.searchsorted(at, row_starts)
-    kind = code_point_classes()[points]
+    kind = classes[points]
     around = np.full(len(kind) + 2, EDGE, np.uint8)
     around[1:-1] = kind
     before, after = around[:-2].copy(), around[2:].copy()
@@ -194,7 +207,8 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class ByteBpe:
     """A vocabulary of ranks with its cache of merged pieces."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, runs: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        self.classes = class_table(runs or class_runs())
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.parts = {rank: part for part, rank in self.ranks.items()}
@@ -212,10 +226,10 @@ class ByteBpe:
         self.cache: dict[bytes, bytes] = {}
 
     @classmethod
-    def at(cls, path: str) -> ByteBpe:
+    def at(cls, path: str, runs: tuple[np.ndarray, np.ndarray] | None = None) -> ByteBpe:
         """One for each Python worker."""
         if ("bpe", path) not in _made:
-            _made["bpe", path] = cls(path)
+            _made["bpe", path] = cls(path, runs)
         return _made["bpe", path]
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -265,7 +279,7 @@ class ByteBpe:
         offsets = np.asarray(offsets, np.int64)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        starts = piece_starts(data, offsets[:-1][offsets[1:] > offsets[:-1]])
+        starts = piece_starts(data, offsets[:-1][offsets[1:] > offsets[:-1]], self.classes)
         bounds = np.append(starts, len(data)).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
         coded = pieces.dictionary_encode()
@@ -315,76 +329,72 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, bytes, np.ndarray]]:
         i = j
 
 
-def with_digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to doc_id, n_tokens, ids_sha256, decoded_sha256, decoded_equal."""
-    bpe = ByteBpe.at(path)
-    for batch in batches:
-        counts, digests, decoded, equal = [], [], [], []
-        for _, data, offsets in slices(batch.column(1)):
-            ids, before = bpe.encode(data, offsets)
-            little = ids.astype("<u4")
-            for k in range(len(offsets) - 1):
-                own = little[before[k] : before[k + 1]]
-                back = bpe.decode(own)
-                counts.append(len(own))
-                digests.append(hashlib.sha256(own.tobytes()).hexdigest())
-                decoded.append(hashlib.sha256(back).hexdigest())
-                equal.append(back == data[offsets[k] : offsets[k + 1]])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string()), pa.array(equal, pa.bool_())],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_equal"],
-        )
-
-
-def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode every document, and return the digests of its ids and of what they decode to."""
-    text_batches(docs.sparkSession)
-    pairs = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs[text_col]).alias("text"))
-    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_equal boolean"
-    return pairs.mapInArrow(lambda batches: with_digests(batches, path), kinds)
-
-
-def encoded(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids", ends_col: str = "token_ends") -> DataFrame:
-    """docs with the ids of each text's tokens and the byte offsets at which they end."""
+def encoded(
+    docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids", ends_col: str = "token_ends", keep: list[str] | None = None
+) -> DataFrame:
+    """docs (or its columns keep) with the ids of each text's tokens and the byte offsets at which they end."""
     text_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in (ids_col, ends_col)]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in (ids_col, ends_col)]
     given = docs.select(*kept, text_of(docs[text_col]).alias("__text"))
-    made = given.drop("__text")
-    kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in made.schema] + [f"`{ids_col}` array<int>", f"`{ends_col}` array<long>"])
+    kinds = given.drop("__text").schema.add(ids_col, T.ArrayType(T.IntegerType())).add(ends_col, T.ArrayType(T.IntegerType()))
+    runs = class_runs()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe.at(path)
+        bpe = ByteBpe.at(path, runs)
         for batch in batches:
             for i, data, offsets in slices(batch.column(batch.num_columns - 1)):
                 ids, before = bpe.encode(data, offsets)
                 ends = bpe.token_ends(ids)
-                counts = np.diff(before)
-                ends = ends - np.repeat(np.append(0, ends)[before[:-1]], counts)
-                rows = batch.slice(i, len(offsets) - 1)
+                ends = ends - np.repeat(np.append(0, ends)[before[:-1]], np.diff(before))
                 bounds = pa.array(before, pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *rows.columns[:-1],
-                        pa.ListArray.from_arrays(bounds, pa.array(ids.astype(np.int32))),
-                        pa.ListArray.from_arrays(bounds, pa.array(ends, pa.int64())),
-                    ],
-                    names=[*kept, ids_col, ends_col],
-                )
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (ids, ends)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, len(offsets) - 1).columns[:-1], *lists], names=[*kept, ids_col, ends_col])
 
     return given.mapInArrow(run, kinds)
 
 
-def decoded(docs: DataFrame, path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
-    """docs with the text that their token ids stand for."""
-    from pyspark.sql import functions as F
-    from pyspark.sql.functions import pandas_udf
+def runs_of(ids: pa.Array) -> Iterator[np.ndarray]:
+    """The ids of each document of a batch; none for a null."""
+    flat = ids.values.to_numpy(zero_copy_only=False)
+    bounds = ids.offsets.to_numpy()
+    for a, b, there in zip(bounds[:-1], bounds[1:], ids.is_valid().to_pylist()):
+        yield flat[a:b] if there else flat[:0]
+
+
+def decoded(ids: Column, path: str) -> Column:
+    """The bytes that token ids stand for."""
+
+    @F.arrow_udf("binary")
+    def bytes_of(ids: pa.Array) -> pa.Array:
+        bpe = ByteBpe.at(path, runs)
+        return pa.array(map(bpe.decode, runs_of(ids)), pa.binary())
+
+    runs = class_runs()
+    return bytes_of(ids)
+
+
+def id_digests(ids: Column) -> Column:
+    """SHA-256 (lowercase hex) of ids as little-endian unsigned 32-bit numbers."""
+
+    @F.arrow_udf("string")
+    def digest(ids: pa.Array) -> pa.Array:
+        return pa.array((hashlib.sha256(own.astype("<u4").tobytes()).hexdigest() for own in runs_of(ids)), pa.string())
+
+    return digest(ids)
 
-    @pandas_udf("string")
-    def text(ids):
-        bpe = ByteBpe.at(path)
-        return ids.map(lambda x: bpe.decode(np.asarray(x, np.int64)).decode("utf-8", "replace") if x is not None else "")
 
-    return docs.withColumn(text_col, text(F.col(ids_col)))
+def token_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every document encoded and decoded again: doc_id, n_tokens, ids_sha256, decoded_sha256, token_ids, token_ends."""
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    found = encoded(own, path, keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        id_digests(F.col("token_ids")).alias("ids_sha256"),
+        F.sha2(decoded(F.col("token_ids"), path), 256).alias("decoded_sha256"),
+        "token_ids",
+        "token_ends",
+    )
 
 
 def vocabulary() -> str:
@@ -394,5 +404,5 @@ def vocabulary() -> str:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document: doc_id, n_tokens, ids_sha256, decoded_sha256, decoded_equal."""
-    return token_digests(documents(spark, sf_dir), vocabulary())
+    """Every document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return token_rows(documents(spark, sf_dir), vocabulary()).drop("token_ids", "token_ends")

@@ -7,7 +7,8 @@ boundary goes to the section that holds most of its code points, the earlier one
 touches goes to the section NOWHERE.
 
 Defined results: null texts are empty and have sections of no tokens; sections mustn't overlap and are sorted by start;
-a null list of sections is an empty one; rows that repeat each keep their rows; further columns are ignored.
+a null list of sections is an empty one; rows that repeat each keep their rows; an empty table gives an empty table; a
+text of any length is encoded whole, in one slice of its own if it is longer than a slice; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchframe.llm.byte_bpe import ByteBpe, slices, vocabulary
+from pitchframe.llm.byte_bpe import ByteBpe, class_runs, slices, vocabulary
 from pitchframe.llm.common import documents, text_batches, text_of
 
 NOWHERE = "(none)"
@@ -54,8 +55,10 @@ def section_counts(docs: DataFrame, sections: Column, path: str, id_col: str = "
         F.col(id_col).cast("long").alias("doc_id"), sections.cast(SECTIONS).alias("sections"), text_of(text_col).alias("text")
     )
 
+    runs = class_runs()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe.at(path)
+        bpe = ByteBpe.at(path, runs)
         for batch in batches:
             for i, data, offsets in slices(batch.column(2)):
                 n = len(offsets) - 1
