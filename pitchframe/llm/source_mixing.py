@@ -1,11 +1,14 @@
 """Mixing sources to target weights by iterative proportional fitting. DataFrame functions only.
 
-Documents are counted into cells of source, language and topic (tokens, combined before the shuffle). The cells' token
-weights are raked: in ROUNDS rounds they are scaled to the target shares of sources, of languages and of topics in turn,
-by window sums over the small table of cells. `mixed` fits under the bound that no probability exceeds 1 (`bounded`), so
-that the sample meets the targets as far as categories hold enough. The query op10 follows its SQL (`scaled`): a factor
-turns raked weights into probabilities, raised while cells that reach 1 leave some of the budget (WATER_ROUNDS). Each
-document is taken if a hash of its id falls below the probability of its cell. Topics are forms that a rule on the text tells (`topic_of`); tokens are words.
+Documents are counted into cells of source, language and topic (tokens, combined before the shuffle). Each category of a
+dimension has a goal: its target share of the KEEP of all tokens, at most what it holds; what a category lacks is spread
+over the others of its dimension by their targets. The cells' token weights are then raked to the goals of sources, of
+languages and of topics in turn, under the bound that no document is taken more than once (p <= 1): a cell that is full
+stays full, and the rest of its category is scaled to what is left of the goal. Sums by category combine before they
+move, so no task holds all cells of a language. Each document is taken if a hash of its id falls below the probability
+of its cell. Topics are forms that a rule on the text tells (`topic_of`); tokens are words.
+
+`margins` gives the goal and the expected tokens of every category, and tells which targets the tables can't meet.
 
 Defined results: null texts are empty and have no tokens; null source or language is the category ''; categories without
 a target share REST, by their tokens; rows that repeat an id are drawn alike; cells without tokens are taken whole (they
@@ -14,10 +17,7 @@ cost nothing); an empty table gives an empty table; further columns survive in `
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitchframe.llm.common import documents, landed, text_of
@@ -31,8 +31,7 @@ TARGETS: dict[str, dict[str, float] | float] = {
 }
 REST = 0.02
 KEEP = 0.7  # of all tokens
-ROUNDS = 8
-WATER_ROUNDS = 6
+ROUNDS = 6  # the margins then miss their goals by less than 1e-4 of the kept tokens on the given tables
 SEED = "mix-1"
 BROADCAST_CELLS = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,109 +61,73 @@ def counted(docs: DataFrame, text_col: str = "text") -> list[Column]:
     ]
 
 
-def unlisted_tokens(dim: str, target: dict[str, float] | float) -> Column:
-    """An aggregate: the tokens of all categories without a target."""
-    listed = list(target) if isinstance(target, dict) else []
-    return F.sum(F.when(~F.col(dim).isin(listed), F.col("n")))
-
-
-def wanted_share(dim: str, target: dict[str, float] | float, unlisted: int | None) -> Column:
-    """The target of a category before all of a dimension are brought to a sum of 1; those without one share REST."""
-    mass = F.sum("n").over(W.partitionBy(dim))
+def share_of(dim: str, target: dict[str, float] | float, unlisted: float) -> Column:
+    """The target share of a category that holds `held` tokens, before those of its dimension are brought to a sum of 1."""
     if not isinstance(target, dict):
-        return F.pow(mass.cast("double"), F.lit(float(target)))
+        return F.pow("held", F.lit(float(target)))
     listed = F.lit(None).cast("double")
     for name, share in target.items():
         listed = F.when(F.col(dim) == name, F.lit(float(share))).otherwise(listed)
-    return F.coalesce(listed, F.lit(REST) * mass / F.lit(float(unlisted or 1)))
-
-
-def targeted(cells: DataFrame, targets: dict[str, dict[str, float] | float]) -> DataFrame:
-    """cells(source, lang, topic, n) with the target share of each cell's categories, t_source, t_lang and t_topic."""
-    unlisted = cells.agg(*[unlisted_tokens(d, targets[d]).alias(d) for d in DIMS]).first()
-    shares = cells.select(
-        *DIMS,
-        "n",
-        *[wanted_share(d, targets[d], unlisted[d]).alias(f"t_{d}") for d in DIMS],
-        *[F.count(F.lit(1)).over(W.partitionBy(d)).alias(f"c_{d}") for d in DIMS],
-    )
-    sums = shares.agg(*[F.sum(F.col(f"t_{d}") / F.col(f"c_{d}")).alias(d) for d in DIMS]).first()
-    return shares.select(*DIMS, "n", *[(F.col(f"t_{d}") / F.lit(sums[d] or 1.0)).alias(f"t_{d}") for d in DIMS])
-
-
-def raked(cells: DataFrame, targets: dict[str, dict[str, float] | float], rounds: int = ROUNDS) -> DataFrame:
-    """cells(source, lang, topic, n) with w, token weights whose margins meet the targets."""
-    out = targeted(cells, targets).withColumn("w", F.col("n").cast("double"))
-    for _ in range(rounds):
-        for d in DIMS:
-            # cells without weight stay at 0
-            out = out.withColumn("w", F.coalesce(F.try_divide(F.col("w") * F.col(f"t_{d}"), F.sum("w").over(W.partitionBy(d))), F.lit(0.0)))
-    return out.select(*DIMS, "n", "w")
+    return F.coalesce(listed, F.lit(REST) * F.col("held") / F.lit(unlisted or 1.0))
 
 
-def calibrated(cells: DataFrame, keep: float = KEEP) -> DataFrame:
-    """cells with p, the probability of their documents: a factor times w / n, 1 at most, that meets the budget."""
-    total = cells.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
-    budget = keep * float(total["n"] or 0)
-    factor = budget / total["w"] if total["w"] else 0.0
-    for _ in range(WATER_ROUNDS):
-        full = F.col("w") * F.lit(factor) >= F.col("n")
-        got = cells.agg(F.sum(F.when(full, F.col("n"))).alias("n"), F.sum(F.when(~full, F.col("w"))).alias("w")).first()
-        if got["w"]:
-            factor = (budget - float(got["n"] or 0)) / got["w"]
-    return cells.withColumn("p", F.when(F.col("n") == 0, 1.0).otherwise(F.least(F.lit(1.0), F.lit(factor) * F.col("w") / F.col("n"))))
-
-
-def scaled(cells: DataFrame, targets: dict = TARGETS, keep: float = KEEP) -> DataFrame:
-    """cells with p by raking first and one factor after it, as the SQL of op10 has it: clipped cells shift the margins."""
-    return calibrated(landed(raked(cells, targets), "mix-weights"), keep)
-
-
-def most_of(shares: DataFrame, dim: str, budget: float) -> float:
-    """The factor of the targets of a dimension that meets the budget where no category gives more than it holds."""
-    held = shares.groupBy(dim).agg(F.sum("n").cast("double").alias("n"), F.max(f"t_{dim}").alias("t"))
-    factor = budget
+def goals(cells: DataFrame, dim: str, target: dict[str, float] | float, budget: float) -> DataFrame:
+    """The categories of a dimension: held (tokens), share (of the targets), goal (tokens to take), whole (all of it is to be taken)."""
+    held = cells.groupBy(dim).agg(F.sum("n").cast("double").alias("held"))
+    listed = list(target) if isinstance(target, dict) else []
+    unlisted = held.filter(~F.col(dim).isin(listed)).agg(F.sum("held")).first()[0] or 0.0
+    held = landed(held.withColumn("share", share_of(dim, target, unlisted)), "mix-categories")
+    factor = budget / (held.agg(F.sum("share")).first()[0] or 1.0)
     while True:  # it only rises, and at each turn but the last a further category is full
-        full = F.col("t") * F.lit(factor) > F.col("n")
-        got = held.agg(F.sum(F.when(full, F.col("n"))).alias("n"), F.sum(F.when(~full, F.col("t"))).alias("t")).first()
+        full = F.col("share") * F.lit(factor) > F.col("held")
+        got = held.agg(F.sum(F.when(full, F.col("held"))).alias("n"), F.sum(F.when(~full, F.col("share"))).alias("t")).first()
         risen = (budget - (got["n"] or 0.0)) / got["t"] if got["t"] else factor
         if risen <= factor * (1 + 1e-12):
-            return factor
+            break
         factor = risen
+    most = F.col("share") * F.lit(factor)
+    return held.select("*", F.least(most, F.col("held")).alias("goal"), (most >= F.col("held")).alias("whole"))
 
 
-def bounded(cells: DataFrame, targets: dict = TARGETS, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
-    """cells with p, fitted under p <= 1: the expected tokens meet the budget and the targets of all dimensions.
+def fitted(cells: DataFrame, targets: dict = TARGETS, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
+    """cells(source, lang, topic, n) with p: the expected tokens of each category meet its goal, and no p exceeds 1.
 
     p is least(1, u), u a product of factors of categories; in turn each category gets the factor that brings its expected
-    tokens to its target (a Newton step over the cells below 1). A category that holds less than its target is taken
-    whole, and the others of its dimension share what is missing by their targets."""
-    shares = landed(targeted(cells, targets), "mix-shares")
-    budget = keep * float(shares.agg(F.sum("n").alias("n")).first()["n"] or 0)
+    tokens to its goal (a Newton step over the cells below 1)."""
+    budget = keep * float(cells.agg(F.sum("n")).first()[0] or 0)
+    out, whole = cells, F.lit(False)
+    for d in DIMS:
+        own = goals(cells, d, targets[d], budget).select(d, F.col("goal").alias(f"g_{d}"), F.col("whole").alias(f"w_{d}"))
+        out, whole = out.join(own, d), whole | F.col(f"w_{d}")
     n, u = F.col("n").cast("double"), F.col("u")
-    held = {d: F.sum(n).over(W.partitionBy(d)) for d in DIMS}
-    most = {d: F.col(f"t_{d}") * F.lit(most_of(shares, d, budget)) for d in DIMS}
-    whole = most["source"] >= held["source"]
-    for d in DIMS[1:]:
-        whole = whole | (most[d] >= held[d])
-    out = shares.select(
-        *DIMS, "n", *[F.least(most[d], held[d]).alias(f"t_{d}") for d in DIMS], F.when(whole, 1e9).otherwise(float(keep)).alias("u")
-    )
+    out = landed(out.select(*DIMS, "n", *[f"g_{d}" for d in DIMS], F.when(whole, 1e9).otherwise(float(keep)).alias("u")), "mix-start")
     for _ in range(rounds):
         for d in DIMS:
-            over, t = W.partitionBy(d), F.col(f"t_{d}")
-            out = out.withColumns(
-                {
-                    "full": F.sum(F.when(u >= 1, n).otherwise(0.0)).over(over),
-                    "below": F.sum(F.when(u < 1, n * u).otherwise(0.0)).over(over),
-                }
+            sums = out.groupBy(d).agg(
+                F.sum(F.when(u >= 1, n).otherwise(0.0)).alias("full"), F.sum(F.when(u < 1, n * u).otherwise(0.0)).alias("below")
             )
-            step = F.when((t > F.col("full")) & (F.col("below") > 0), (t - F.col("full")) / F.col("below"))
-            step = step.otherwise(F.coalesce(F.try_divide(t, F.col("full") + F.col("below")), F.lit(0.0)))
-            out = out.withColumn("u", u * step).drop("full", "below")
+            goal = F.col(f"g_{d}")
+            step = F.when((goal > F.col("full")) & (F.col("below") > 0), (goal - F.col("full")) / F.col("below"))
+            step = step.otherwise(F.coalesce(F.try_divide(goal, F.col("full") + F.col("below")), F.lit(0.0)))
+            out = landed(out.join(sums, d).withColumn("u", u * step).drop("full", "below"), "mix-step")
     return out.select(*DIMS, "n", F.when(F.col("n") == 0, 1.0).otherwise(F.least(F.lit(1.0), u)).alias("p"))
 
 
+def margins(cells: DataFrame, targets: dict = TARGETS, keep: float = KEEP) -> DataFrame:
+    """For cells with p: dim, category, held, target, goal and expected tokens; short tells that the target can't be met."""
+    budget = keep * float(cells.agg(F.sum("n")).first()[0] or 0)
+    found = None
+    for d in DIMS:
+        own = goals(cells, d, targets[d], budget)
+        shares = F.lit(budget / (own.agg(F.sum("share")).first()[0] or 1.0)) * F.col("share")
+        taken = cells.groupBy(d).agg(F.sum(F.col("n") * F.col("p")).alias("expected"))
+        own = own.join(taken, d).select(
+            F.lit(d).alias("dim"), F.col(d).alias("category"), "held", shares.alias("target"), "goal", "expected", (shares > F.col("held")).alias("short")
+        )
+        found = own if found is None else found.unionAll(own)
+    return found
+
+
 def drawn(id_col: Column, seed: str = SEED) -> Column:
     """A number of [0, 1) that only the id and the seed decide."""
     text = F.concat(F.lit(seed + ":"), F.coalesce(id_col.cast("string"), F.lit("")))
@@ -176,12 +139,10 @@ def with_probability(docs: DataFrame, targets: dict = TARGETS, keep: float = KEE
     return with_probability_of_cell(docs.select("*", *counted(docs, text_col)), targets, keep, id_col)
 
 
-def with_probability_of_cell(
-    own: DataFrame, targets: dict = TARGETS, keep: float = KEEP, id_col: str = "doc_id", fit: Callable[..., DataFrame] = bounded
-) -> DataFrame:
+def with_probability_of_cell(own: DataFrame, targets: dict = TARGETS, keep: float = KEEP, id_col: str = "doc_id") -> DataFrame:
     """The same for rows that have been counted already."""
     cells = own.groupBy(*[F.col(f"__{d}").alias(d) for d in DIMS]).agg(F.sum("__tokens").alias("n"))
-    cells = landed(fit(landed(cells, "mix-cells"), targets, keep), "mix-probabilities")
+    cells = landed(fitted(landed(cells, "mix-cells"), targets, keep), "mix-probabilities")
     right = cells.select(*[F.col(d).alias(f"__{d}") for d in DIMS], F.col("p").alias("__p"))
     if cells.count() <= BROADCAST_CELLS:
         right = F.broadcast(right)
@@ -196,7 +157,7 @@ def mixed(docs: DataFrame, targets: dict = TARGETS, keep: float = KEEP) -> DataF
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: its cell, tokens, probability and whether it is taken."""
     docs = documents(spark, sf_dir)
-    found = with_probability_of_cell(landed(docs.select("doc_id", *counted(docs)), "mix-counted"), fit=scaled)  # texts are read once
+    found = with_probability_of_cell(landed(docs.select("doc_id", *counted(docs)), "mix-counted"))  # texts are read once
     return found.select(
         F.col("doc_id"),
         *[F.col(f"__{d}").alias(d) for d in DIMS],
@@ -206,44 +167,53 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def mixing_sql(docs: str = "documents", columns: str = "") -> str:
-    """The same in DuckDB, rounds written out. columns: further columns of docs to return, each with a comma before it."""
+def mixing_sql(docs: str = "documents") -> str:
+    """The same in DuckDB, rounds written out. Goals are found without a loop: categories in the order in which they fill."""
 
     def share(d: str) -> str:
         target = TARGETS[d]
-        mass = f"sum(n) OVER (PARTITION BY {d})"
         if not isinstance(target, dict):
-            return f"pow(({mass})::DOUBLE, {float(target)})"
+            return f"pow(held, {float(target)})"
         cases = " ".join(f"WHEN {d} = '{k}' THEN {v}::DOUBLE" for k, v in target.items())
-        return f"CASE {cases} ELSE {REST}::DOUBLE * ({mass})::DOUBLE / 1e6 END"
+        names = ", ".join(f"'{k}'" for k in target)
+        return f"CASE {cases} ELSE {REST}::DOUBLE * held / sum(held) FILTER ({d} NOT IN ({names})) OVER () END"
 
     lines = "length(t) - length(replace(t, chr(10), ''))"
+    budget = f"({KEEP}::DOUBLE * (SELECT sum(n) FROM c)::DOUBLE)"
     ctes = [
         f"""b AS (SELECT *, coalesce(text, '') AS t FROM {docs})""",
-        f"""d AS (SELECT * EXCLUDE (source, lang), source AS own_source, lang AS own_lang, coalesce(source, '') AS source,
-        coalesce(lang, '') AS lang,
+        f"""d AS (SELECT * EXCLUDE (source, lang), coalesce(source, '') AS source, coalesce(lang, '') AS lang,
         CASE WHEN (length(t) - length(translate(t, '0123456789', ''))) * 100 >= length(t) THEN 'numbers'
              WHEN (length(t) - length(translate(t, '!?', ''))) * 50 >= length(t) THEN 'shouting'
              WHEN {lines} >= 12 THEN 'long-form' WHEN {lines} >= 3 THEN 'article' ELSE 'note' END AS topic,
         len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM b)""",
         "c AS (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS n FROM d GROUP BY ALL)",
-        "s AS (SELECT *, " + ", ".join(f"{share(d)} AS t_{d}, count(*) OVER (PARTITION BY {d}) AS c_{d}" for d in DIMS) + " FROM c)",
-        "w0 AS (SELECT source, lang, topic, n, " + ", ".join(f"t_{d} / (SELECT sum(t_{d} / c_{d}) FROM s) AS t_{d}" for d in DIMS) + ", n::DOUBLE AS w FROM s)",
     ]
+    for d in DIMS:
+        ctes += [
+            f"h_{d} AS (SELECT {d}, sum(n)::DOUBLE AS held FROM c GROUP BY {d})",
+            f"s_{d} AS (SELECT *, {share(d)} AS share FROM h_{d})",
+            # the factor that holds if exactly the categories before this one are full
+            f"o_{d} AS (SELECT *, held / share AS fills, ({budget} - (sum(held) OVER o - held)) / (sum(share) OVER () - (sum(share) OVER o - share)) AS factor"
+            f" FROM s_{d} WINDOW o AS (ORDER BY held / share, {d} ROWS UNBOUNDED PRECEDING))",
+            f"f_{d} AS (SELECT max(factor) FILTER (factor <= fills) AS f FROM o_{d})",
+            f"g_{d} AS (SELECT {d}, least(share * f, held) AS g_{d}, share * f >= held AS w_{d} FROM s_{d}, f_{d})",
+        ]
+    ctes.append(
+        f"u0 AS (SELECT c.*, g_source, g_lang, g_topic, CASE WHEN w_source OR w_lang OR w_topic THEN 1e9::DOUBLE ELSE {KEEP}::DOUBLE END AS u"
+        " FROM c JOIN g_source USING (source) JOIN g_lang USING (lang) JOIN g_topic USING (topic))"
+    )
     k = 0
     for _ in range(ROUNDS):
         for d in DIMS:
-            ctes.append(f"w{k + 1} AS MATERIALIZED (SELECT * EXCLUDE (w), coalesce(w * t_{d} / nullif(sum(w) OVER (PARTITION BY {d}), 0), 0) AS w FROM w{k})")
+            ctes += [
+                f"m{k} AS (SELECT *, sum(CASE WHEN u >= 1 THEN n ELSE 0 END::DOUBLE) OVER (PARTITION BY {d}) AS full_,"
+                f" sum(CASE WHEN u < 1 THEN n * u ELSE 0 END) OVER (PARTITION BY {d}) AS below FROM u{k})",
+                f"u{k + 1} AS MATERIALIZED (SELECT * EXCLUDE (u, full_, below), u * CASE WHEN g_{d} > full_ AND below > 0 THEN (g_{d} - full_) / below"
+                f" ELSE coalesce(g_{d} / nullif(full_ + below, 0), 0) END AS u FROM m{k})",
+            ]
             k += 1
-    budget = f"{KEEP}::DOUBLE * (SELECT sum(n) FROM c)::DOUBLE"
-    ctes.append(f"f0 AS MATERIALIZED (SELECT {budget} / sum(w) AS f FROM w{k})")
-    for i in range(WATER_ROUNDS):
-        full = f"w * (SELECT f FROM f{i}) >= n"
-        ctes.append(
-            f"f{i + 1} AS MATERIALIZED (SELECT coalesce(({budget} - coalesce(sum(n) FILTER ({full}), 0)::DOUBLE)"
-            f" / nullif(sum(w) FILTER (NOT ({full})), 0), (SELECT f FROM f{i})) AS f FROM w{k})"
-        )
-    ctes.append(f"p AS (SELECT source, lang, topic, CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, (SELECT f FROM f{WATER_ROUNDS}) * w / n) END AS p FROM w{k})")
+    ctes.append(f"p AS (SELECT source, lang, topic, CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, u) END AS p FROM u{k})")
     ctes.append(
         "mixed AS (SELECT d.*, p.p, ('0x' || substr(md5('" + SEED + ":' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::UBIGINT::DOUBLE"
         " / 4503599627370496.0 < p.p AS taken FROM d JOIN p USING (source, lang, topic))"

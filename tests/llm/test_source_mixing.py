@@ -1,90 +1,133 @@
 import random
 from collections import defaultdict
 
+import pytest
 from fixtures import KINDS, rows, table
+from pyspark.sql import functions as F
 
 from pitchframe.llm.common import landed
-from pitchframe.llm.source_mixing import DIMS, KEEP, REST, TARGETS, calibrated, mixed, raked, with_probability
-
-
-def test_weights_meet_the_margins(spark):
-    n = {(s, t, k): 100 + 37 * i for i, (s, t, k) in enumerate((s, t, k) for s in "abc" for t in ("en", "de", "fr", "es") for k in TARGETS["topic"])}
-    cells = spark.createDataFrame([(*k, v) for k, v in n.items()], "source string, lang string, topic string, n long")
-    found = raked(cells, TARGETS, rounds=40).collect()
-    whole = sum(r["w"] for r in found)
-    for dim in ("lang", "topic"):
-        sums, wanted = defaultdict(float), TARGETS[dim]
-        for r in found:
-            sums[r[dim]] += r["w"] / whole
-        for name, share in wanted.items():
-            assert abs(sums[name] - share / sum(wanted.values())) < 1e-6
-    tempered = defaultdict(float)
+from pitchframe.llm.source_mixing import DIMS, KEEP, REST, ROUNDS, TARGETS, counted, drawn, fitted, margins, mixed, op10_source_mixing, with_probability
+
+CELLS = "source string, lang string, topic string, n long"
+
+
+def wanted(n, dim):
+    """Target shares of the categories of a dimension, from tokens by cell."""
+    held = defaultdict(float)
+    for cell, tokens in n.items():
+        held[cell[DIMS.index(dim)]] += tokens
+    target = TARGETS[dim]
+    if not isinstance(target, dict):
+        shares = {k: v**target for k, v in held.items()}
+    else:
+        rest = sum(v for k, v in held.items() if k not in target)
+        shares = {k: target.get(k, REST * v / rest if rest else 0.0) for k, v in held.items()}
+    return held, {k: v / sum(shares.values()) for k, v in shares.items()}
+
+
+def goals_of(n, dim):
+    """What the sample should take of each category: its share of the kept tokens, what is missing spread over the others."""
+    held, shares = wanted(n, dim)
+    goal, open_, left = {}, dict(shares), KEEP * sum(held.values())
+    while open_:
+        scale = left / sum(open_.values())
+        full = [k for k, v in open_.items() if v * scale >= held[k]]
+        if not full:
+            return goal | {k: v * scale for k, v in open_.items()}
+        for k in full:
+            goal[k] = held[k]
+            left -= held[k]
+            del open_[k]
+    return goal
+
+
+def raked(n, rounds=40):
+    """Plain iterative proportional fitting under p <= 1: each margin's factor by bisection, no Newton step."""
+    u = dict.fromkeys(n, KEEP)
+    for _ in range(rounds):
+        for d, dim in enumerate(DIMS):
+            for category, goal in goals_of(n, dim).items():
+                own = [k for k in n if k[d] == category]
+                low, high = 0.0, 1e9
+                for _ in range(80):
+                    middle = (low * high) ** 0.5 if low else high / 1e6
+                    low, high = (middle, high) if sum(n[k] * min(1, u[k] * middle) for k in own) < goal * (1 - 1e-12) else (low, middle)
+                for k in own:
+                    u[k] = min(u[k] * high, 1e9)
+    return {k: min(1.0, v) for k, v in u.items()}
+
+
+def cells_of(spark, n, times=1):
+    return spark.createDataFrame([(*k, v * times) for k, v in n.items()], CELLS).coalesce(2)
+
+
+def given_cells(seed=3, es=0.08):
+    """Tokens near the targets; Spanish is short of its own, and two languages have none."""
+    rng = random.Random(seed)
+    langs = {"en": 0.55, "de": 0.2, "fr": 0.2, "es": es, "": 0.03, "xx": 0.01}
+    return {
+        (s, t, k): round(100_000 * share * lang * form * rng.uniform(0.7, 1.3))
+        for s, share in (("a", 0.6), ("b", 0.3), ("c", 0.1)) for t, lang in langs.items() for k, form in TARGETS["topic"].items()
+    }
+
+
+def test_probabilities_equal_those_of_plain_raking(spark):
+    n = given_cells()
+    want = raked(n)
+    found = {tuple(r[d] for d in DIMS): r["p"] for r in fitted(cells_of(spark, n), rounds=ROUNDS).collect()}
+    assert set(found) == set(n) and all(abs(found[k] - want[k]) < 1e-4 for k in n)
+
+
+def test_margins_meet_their_goals_and_tell_what_is_short(spark):
+    n = given_cells(5)
+    found = margins(landed(fitted(cells_of(spark, n)), "test-cells")).collect()
+    whole = sum(n.values())
     for r in found:
-        tempered[r["source"]] += r["n"]
-    norm = sum(v ** TARGETS["source"] for v in tempered.values())
-    for s, v in tempered.items():
-        assert abs(sum(r["w"] for r in found if r["source"] == s) / whole - v ** TARGETS["source"] / norm) < 1e-6
+        goal, (held, shares) = goals_of(n, r["dim"])[r["category"]], wanted(n, r["dim"])
+        assert abs(r["goal"] - goal) < 1e-6 * whole and abs(r["expected"] - goal) < 1e-4 * whole
+        assert r["short"] == (shares[r["category"]] * KEEP * whole > held[r["category"]])
+    assert abs(sum(r["expected"] for r in found if r["dim"] == "lang") - KEEP * whole) < 1e-3 * whole
 
 
-def test_probabilities_meet_the_budget(spark):
-    cells = spark.createDataFrame([("a", "en", "note", 100, 400.0), ("b", "en", "note", 900, 100.0), ("c", "en", "note", 0, 0.0)], "source string, lang string, topic string, n long, w double")
-    found = {r["source"]: r["p"] for r in calibrated(cells).collect()}
-    assert found["a"] == 1.0 and found["c"] == 1.0
-    assert abs(100 + 900 * found["b"] - KEEP * 1000) < 1e-6
+@pytest.mark.parametrize("times", [100, 10_000_000])
+def test_size_changes_nothing(spark, times):
+    n = given_cells(9)
+    small, large = ({tuple(r[d] for d in DIMS): r["p"] for r in fitted(cells_of(spark, n, t), rounds=2).collect()} for t in (1, times))
+    assert all(abs(small[k] - large[k]) < 1e-9 for k in n)
+
+
+def test_query_meets_its_targets(spark):
+    """On the given tables: every feasible margin within 1 per cent, weighed by the probabilities that the query returns."""
+    found = op10_source_mixing(spark, "/root/testdata/sf0.01").collect()
+    n, kept = defaultdict(float), defaultdict(float)
+    for r in found:
+        cell = tuple(r[d] for d in DIMS)
+        n[cell] += r["n_tokens"]
+        for d in DIMS:
+            kept[d, r[d]] += r["n_tokens"] * r["probability"]
+    for d in DIMS:
+        for category, goal in goals_of(n, d).items():
+            assert abs(kept[d, category] - goal) <= 0.01 * goal + 1, (d, category)
 
 
 def test_rows_keep_their_columns_and_equal_ids_are_drawn_alike(spark):
     df = table(spark)
     found = mixed(df)
     assert found.columns == df.columns
-    drawn = defaultdict(set)
+    seen = defaultdict(set)
     for r in with_probability(df).collect():
-        drawn[r["doc_id"], r["text"]].add(r["__taken"])
+        seen[r["doc_id"], r["text"]].add(r["__taken"])
         assert 0 <= r["__p"] <= 1
-    assert all(len(v) == 1 for v in drawn.values())
+    assert all(len(v) == 1 for v in seen.values())
     assert {r["doc_id"] for r in found.collect()} <= {i for i, *_ in rows()}
 
 
-def test_an_empty_table_gives_an_empty_table(spark):
-    assert mixed(spark.createDataFrame([], KINDS)).count() == 0
-    assert DIMS == ["source", "lang", "topic"]
-
+def test_draws_are_even(spark):
+    share = spark.range(20_000).select((drawn(F.col("id")) < 0.3).cast("int").alias("x")).agg(F.avg("x")).first()[0]
+    assert abs(share - 0.3) < 0.02
 
-def test_categories_without_a_target_share_rest_at_any_size(spark):
-    n = {(s, t, k): 5 + i for i, (s, t, k) in enumerate((s, t, k) for s in "ab" for t in ("en", "de", "", "xx") for k in TARGETS["topic"])}
 
-    def weights(times):
-        given = [(*k, v * times) for k, v in n.items()]
-        found = landed(raked(spark.createDataFrame(given, "source string, lang string, topic string, n long").coalesce(1), TARGETS), "test-weights")
-        shares, rates = defaultdict(float), found.collect()
-        for r in rates:
-            shares[r["lang"]] += r["w"] / sum(x["w"] for x in rates)
-        return shares, {tuple(r[d] for d in DIMS): r["p"] for r in calibrated(found).collect()}
-
-    (shares, small), (_, large) = weights(1), weights(1000)
-    assert abs(shares[""] + shares["xx"] - REST / (0.5 + 0.18 + REST)) < 1e-3
-    assert all(abs(small[k] - large[k]) < 1e-9 for k in n)
-
-
-def test_sample_meets_margins_under_the_bound(spark):
-    rng = random.Random(5)
-    given = []
-    for i in range(900):
-        lang = rng.choices(["en", "de", "fr", "es"], [60, 16, 16, 8])[0]
-        lines = rng.choices([1, 5, 14], [45, 35, 20])[0]
-        given.append((i, "\n".join(["word " * rng.randrange(2, 9)] * lines), lang, rng.choices("abc", [70, 25, 5])[0], 0))
-    found = with_probability(table(spark, given)).collect()
-    whole = sum(r["__tokens"] for r in found)
-    for dim in DIMS:
-        held, kept = defaultdict(float), defaultdict(float)
-        for r in found:
-            held[r[f"__{dim}"]] += r["__tokens"]
-            kept[r[f"__{dim}"]] += r["__tokens"] * r["__p"]
-        target = TARGETS[dim] if isinstance(TARGETS[dim], dict) else {k: v ** TARGETS[dim] for k, v in held.items()}
-        full = set()
-        for _ in held:  # what a category doesn't hold is spread over the others
-            rest = (KEEP * whole - sum(held[k] for k in full)) / sum(target[k] for k in held if k not in full)
-            full |= {k for k in held if target[k] * rest > held[k]}
-        for k in held:
-            assert abs(kept[k] - (held[k] if k in full else target[k] * rest)) < 1e-4 * whole, (dim, k)
-        assert dim != "lang" or full == {"es"}
+def test_an_empty_table_gives_an_empty_table(spark):
+    empty = spark.createDataFrame([], KINDS)
+    assert mixed(empty).count() == 0
+    assert empty.select(*counted(empty)).count() == 0
