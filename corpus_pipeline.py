@@ -29,7 +29,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return byte_bpe.token_digests(docs, byte_bpe.vocabulary())
+    return byte_bpe.token_rows(docs, byte_bpe.vocabulary())
 
 
 STAGES = [
