@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
-1. Lexicon: words and word beginnings of labelled training documents are counted by documents with and without the label
-   (equal texts once), and by how many different words go before them in toxic ones (a small bitmap that combines before
+1. Lexicon: words and word beginnings of labelled training documents are counted by documents with and without the label,
+   and by how many different words go before them in toxic ones (a small bitmap that combines before
    the shuffle): evidence shrinks by how often it only repeats, so that a word of one much-copied document counts little.
    Entries that tell toxic documents apart beyond chance make the lexicon, LEXICON_SIZE at most, the strongest first.
 2. Voters: SEEDS and PATTERNS know no labels; the lexicon is dealt by its rates to TIERS voters (8 entries, 8, 16, 32, ...),
@@ -26,11 +26,13 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,7 @@ from pitchframe.llm.common import documents, landed, text_batches, text_of
 LABEL_ROWS = 200_000
 LEXICON_SIZE = 256
 STEMS = (4, 5)
+SUMS = 50_000
 LEAST_GAIN, LEAST_RATIO = 10.0, 4.0  # twice the log-likelihood ratio (chance gives 10 to one word in 600), and of rates
 TIERS = 6
 #: Rates at which a label is 1 by what a document is, (0, 1): estimated between these, as labels err less than voters do.
@@ -86,25 +89,48 @@ class Model:
         return 2 * len(self.lexicon) + len(SEEDS) + len(PATTERNS)
 
 
+def counted_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, toxic) to counts by entry: documents with it by label, those that hold it twice, and a bitmap of words before it.
+
+    Sums of a task are given out whenever they hold many entries."""
+    split = re.compile(r"[^\W_]+")
+    sums: dict[str, list[int]] = {}
+
+    def out() -> pa.RecordBatch:
+        columns = [pa.array(list(sums), pa.string()), *[pa.array([v[k] for v in sums.values()], pa.int64()) for k in range(5)]]
+        return pa.RecordBatch.from_arrays(columns, names=["entry", "pos", "neg", "pos2", "neg2", "slots"])
+
+    for batch in batches:
+        for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
+            own: dict[str, int] = {}  # the slot of the word before its first place; below 0 if there are more places
+            before = ""
+            for word in split.findall(text.as_py().lower()):
+                slot = zlib.crc32(before.encode()) & 63
+                for entry in (word, *[f"{word[:n]}*" for n in STEMS if len(word) >= n]):
+                    own[entry] = slot if entry not in own else -1 - (own[entry] if own[entry] >= 0 else -1 - own[entry])
+                before = word
+            for entry, slot in own.items():
+                held = sums.setdefault(entry, [0, 0, 0, 0, 0])
+                held[0 if toxic else 1] += 1
+                held[2 if toxic else 3] += slot < 0
+                if toxic:
+                    bit = 1 << (slot if slot >= 0 else -1 - slot)
+                    held[4] |= bit - (1 << 64) if bit >> 63 else bit
+        if len(sums) > SUMS:
+            yield out()
+            sums.clear()
+    if sums:
+        yield out()
+
+
 def mined_lexicon(labelled: DataFrame) -> list[str]:
     """labelled(text, toxic) to the strongest words and word beginnings."""
-    each = labelled.groupBy("text").agg(F.max("toxic").alias("toxic"))
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    own = landed(each.select((F.col("toxic") == 1).alias("toxic"), F.monotonically_increasing_id().alias("row"), words.alias("words")), "toxicity-words")
-    totals = own.agg(F.count_if("toxic").alias("pos"), F.count_if(~F.col("toxic")).alias("neg")).first()
+    totals = labelled.agg(F.count_if("toxic").alias("pos"), F.count_if(~F.col("toxic")).alias("neg")).first()
     if not totals["pos"]:
         return []
-    lined = own.select("toxic", "row", "words", F.posexplode("words").alias("at", "word"))
-    before = F.when(F.col("at") > 0, F.element_at("words", F.col("at").cast("int"))).otherwise("")
-    entries = [F.col("word")] + [F.when(F.length("word") >= n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in STEMS]
-    lined = lined.select("toxic", "row", before.alias("before"), F.explode(F.array(*entries)).alias("entry")).filter("entry is not null")
-    slot = F.expr("shiftleft(1L, cast(pmod(xxhash64(before), 64) as int))")
-    held = lined.groupBy("entry", "row", "toxic").agg(F.bit_or(slot).alias("slots"), F.count(F.lit(1)).alias("n"))  # a row for each entry of a document
-    toxic, again = F.col("toxic"), F.col("n") >= 2
-    counted = held.groupBy("entry").agg(
-        F.count_if(toxic).alias("pos"), F.count_if(~toxic).alias("neg"), F.count_if(toxic & again).alias("pos2"), F.count_if(~toxic & again).alias("neg2"),
-        F.bit_count(F.bit_or(F.when(toxic, F.col("slots")).otherwise(F.lit(0).cast("long")))).alias("slots"),
-    )
+    parts = labelled.select("text", "toxic").mapInArrow(counted_entries, "entry string, pos long, neg long, pos2 long, neg2 long, slots long")
+    sums = [F.sum(c).alias(c) for c in ("pos", "neg", "pos2", "neg2")]
+    counted = parts.groupBy("entry").agg(*sums, F.bit_count(F.bit_or("slots")).alias("slots"))
     share = totals["pos"] / (totals["pos"] + totals["neg"])
     # different words before it, by the places of the bitmap that are still free
     apart = -64 * F.log(1 - F.least(F.col("slots"), F.lit(63)) / 64)
@@ -267,7 +293,7 @@ def trained(
         known = known.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int((1 << 30) * LABEL_ROWS / n))
     known = F.broadcast(known.groupBy("__id").agg(F.max("__label").alias("__label")))  # LABEL_ROWS at most
     own = docs.select(key.alias("__id"), text.alias("text"))
-    lexicon = mined_lexicon(own.join(known, "__id").select("text", F.col("__label").alias("toxic")))
+    lexicon = mined_lexicon(own.join(known, "__id").select("text", (F.col("__label") == 1).alias("toxic")))
     size = len(lexicon)
     found = docs.select(*(keep or []), key.alias("__id"), held_out(key).alias("__held"), features_udf(lexicon)(text).alias("__features"))
     found = landed(found, "toxicity-features")
