@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchframe.llm.common import documents, landed, text_batches, text_of
+from pitchframe.llm.common import documents, in_bitmap, key_bitmap, landed, text_batches, text_of
 
 LABEL_ROWS = 200_000
 LEXICON_SIZE = 256
@@ -276,10 +276,8 @@ def fitted_label_model(masks: np.ndarray, counts: np.ndarray, voters: int = VOTE
     return posterior, Model(prior=float(prior), rates=rates.tolist(), label_rates=labels.tolist(), correlations=correlations.tolist(), parents=parents)
 
 
-def trained(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None
-) -> tuple[Model, DataFrame]:
-    """The model, and every row: __id, __held, __features and the columns keep of docs. Texts go to Python once."""
+def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
+    """The model, and a row for every row: __id, __mark (a hash of the text), __held, __features. Texts go to Python once."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
@@ -295,7 +293,8 @@ def trained(
     own = docs.select(key.alias("__id"), text.alias("text"))
     lexicon = mined_lexicon(own.join(known, "__id").select("text", (F.col("__label") == 1).alias("toxic")))
     size = len(lexicon)
-    found = docs.select(*(keep or []), key.alias("__id"), held_out(key).alias("__held"), features_udf(lexicon)(text).alias("__features"))
+    mark = F.xxhash64(text, F.length(text)).alias("__mark")
+    found = docs.select(key.alias("__id"), mark, held_out(key).alias("__held"), features_udf(lexicon)(text).alias("__features"))
     found = landed(found, "toxicity-features")
 
     learnt = found.filter("not __held").select("__id", "__features", votes(F.col("__features"), size).alias("mask"))
@@ -337,9 +336,18 @@ def score(features: Column, model: Model) -> Column:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with their columns, whose score is below THRESHOLD."""
-    model, found = trained(docs, labels, id_col, text_col, keep=docs.columns)
-    return found.filter(score(F.col("__features"), model) < THRESHOLD).select(*docs.columns)
+    """The rows of docs, with their columns, whose score is below THRESHOLD.
+
+    A bitmap of the toxic rows is asked while docs are read again; only rows that it holds are shuffled."""
+    model, found = trained(docs, labels, id_col, text_col)
+    toxic = found.filter(score(F.col("__features"), model) >= THRESHOLD).select(F.struct("__id", "__mark").alias("__toxic")).distinct()
+    toxic = landed(toxic, "toxicity-rows")
+    text = text_of(text_col)
+    own = docs.withColumn("__mark", F.xxhash64(text, F.length(text)))
+    maybe = in_bitmap(key_bitmap(toxic, F.col("__toxic.__mark"), "toxicity-bitmap"), F.col("__mark"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__toxic.__id")) & (F.col("__mark") == F.col("__toxic.__mark"))
+    rest = own.filter(maybe).join(toxic.hint("merge"), same, "left_anti")
+    return own.filter(~maybe).select(*docs.columns).unionAll(rest.select(*docs.columns))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
