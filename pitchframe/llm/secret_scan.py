@@ -2,7 +2,7 @@
 
 Candidates are found in every whole text: the three base kinds, and a wider pattern of long mixed tokens. Every
 candidate value is hashed; the hashes are counted by distinct repositories and owners, combined before each shuffle.
-A value that many owners hold is an example that was copied; one that a single owner holds and that looks live (long,
+A value that many owners hold, or twice as many repositories, is an example that was copied; one that a single owner holds and that looks live (long,
 of mixed characters) is that owner's credential. Wide candidates that turn out to be such credentials are added to the
 spans as kind `owned`; base spans always stay.
 
@@ -10,7 +10,7 @@ Spans are of whole matches, in code points, end exclusive. A regular expression
 is split by the same expression: the lengths of the parts between matches and of the matches add up to places.
 
 Defined results: null texts count as empty; a null owner or repository counts as one of its own; rows that repeat an id
-each get their row; an empty table gives an empty table; further columns are ignored.
+each get their row, and those that repeat its text too count its places once; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -109,8 +109,9 @@ def ownership(held: DataFrame, copied_from: int) -> DataFrame:
         F.sum("n").alias("n_places"),
         F.max("live").alias("live"),
     )
+    copied = (F.col("n_owners") >= copied_from) | (F.col("n_repos") >= 2 * copied_from)
     standing = (
-        F.when(F.col("n_owners") >= copied_from, "example")
+        F.when(copied, "example")
         .when((F.col("n_owners") == 1) & F.col("live"), "owned")
         .otherwise("unclear")
     )
@@ -158,11 +159,13 @@ def scan(
     placed = every.select("doc_id", "mark", "start", "kind", "end", "digest").join(
         values.select("digest", "standing"), "digest"
     )
-    added = (F.col("kind") == KINDS.index("owned")) & (F.col("standing") == "owned")
-    rows = placed.groupBy("doc_id", "mark").agg(
-        F.array_sort(F.collect_set(F.when(added, F.struct("start", "kind", "end")))).alias("added"),
-        F.count_if((F.col("standing") == "owned") & (F.col("kind") < KINDS.index("owned"))).alias("n_owned"),
-        F.count_if((F.col("standing") == "example") & (F.col("kind") < KINDS.index("owned"))).alias("n_example"),
+    base = F.col("kind") < KINDS.index("owned")
+    added = ~base & (F.col("standing") == "owned")
+    place = F.struct("start", "kind", "end")
+    rows = placed.groupBy("doc_id", "mark").agg(  # sets: rows that repeat id and text have the same places
+        F.array_sort(F.collect_set(F.when(added, place))).alias("added"),
+        F.size(F.collect_set(F.when(base & (F.col("standing") == "owned"), place))).cast("long").alias("n_owned"),
+        F.size(F.collect_set(F.when(base & (F.col("standing") == "example"), place))).cast("long").alias("n_example"),
     )
     alone = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     spans = marked.select("doc_id", "mark", alone.alias("base"))

@@ -71,3 +71,38 @@ def test_long_tokens_are_owned_too(spark):
     spans, _ = scan(table(spark, given))
     found = {r["doc_id"]: [(x["start"], x["end"]) for x in r["added"] or []] for r in spans.collect()}
     assert found == {i: [(4, 4 + n)] for i, n in lengths.items()}
+
+
+WIDE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+
+
+def all_spans(given):
+    """Row by row: base spans and those of wide values that one owner holds alone, by plain counting."""
+    values, wide = {}, []
+    for _, text, _, owner, _ in given:
+        own = [(m.start(), 3, m.end()) for m in WIDE.finditer(text) if all(re.search(p, m[0]) for p in ("[a-z]", "[A-Z]", "[0-9]"))]
+        wide.append(own)
+        hits = [(m[2], owner) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+        hits += [(m[0], owner) for _, pattern, least in PLAIN for m in pattern.finditer(text) if len(m[0]) >= least]
+        for value, who in hits + [(text[a:b], owner) for a, _, b in own]:
+            values.setdefault(value, set()).add(who)
+    live = lambda v: len(v) >= 16 and len(set(v)) >= 8 and re.search("[0-9]", v) and re.search("[A-Za-z]", v)
+    out = []
+    for (i, text, *_), own in zip(given, wide):
+        mine = [(a, k, b) for a, k, b in own if len(values[text[a:b]]) == 1 and live(text[a:b])]
+        out.append((i, str(sorted(brute(text) + mine))))
+    return sorted(out)
+
+
+def test_all_spans_equal_brute_force_and_repeated_rows_count_once(spark):
+    rng = random.Random(3)
+    mixed = lambda: "".join(rng.choices("abcXYZ0123456789+/_-", k=rng.randrange(15, 60)))
+    pool = [mixed() for _ in range(12)]
+    given = [(i, " ".join([planted(i), mixed(), rng.choice(pool), rng.choice(pool)]), "en", f"s{i % 7}", 0) for i in range(120)]
+    given += given[:5]  # rows that repeat
+    spans, _ = scan(table(spark, given))
+    found = spans.collect()
+    ours = sorted((r["doc_id"], str(sorted((x["start"], x["kind"], x["end"]) for x in [*r["base"], *(r["added"] or [])]))) for r in found)
+    assert ours == all_spans(given)
+    once, _ = scan(table(spark, given[5:]))
+    assert {(r["doc_id"], r["n_owned"], r["n_example"]) for r in found} == {(r["doc_id"], r["n_owned"], r["n_example"]) for r in once.collect()}
