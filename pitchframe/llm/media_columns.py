@@ -1,7 +1,7 @@
 """Media columns: interleaved sequences of text and media whose payloads a digest join resolves.
 
-A page is parsed into an ordered array of structs (kind, text, digest, caption): runs of text and references to media by
-digest. Payloads live once each in a store keyed by their digest, as 8-bit grey PNG images 64 samples wide, which is
+A page is parsed into an ordered array of structs (kind, text, digest, url, caption): runs of text and references to
+media, by digest or by another URL, whose digest is null. Payloads live once each in a store keyed by their digest, as 8-bit grey PNG images 64 samples wide, which is
 lossless. References are joined to the store by digest; what is asked of a payload (its bytes, or features of what the
 stored form decodes to) is computed once a stored payload, so that a picture that a third of all pages show is read back
 once. Positions and captions stay with their references.
@@ -31,7 +31,7 @@ WIDTH = 64
 LEVEL = 1  # of deflate: the stored form moves between machines, but time counts more than its last tenth
 # The first bytes of a PNG file.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
-SEQUENCE = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
+SEQUENCE = "array<struct<position:int,kind:string,text:string,digest:string,url:string,caption:string>>"
 STORED = "digest string, n_bytes long, media binary"
 READ_BACK = (
     "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long,"
@@ -143,7 +143,8 @@ def read_back(store: DataFrame) -> DataFrame:
 class _Sequence(HTMLParser):
     """Collects runs of text and media references in their order."""
 
-    HIDDEN = {"script", "style", "template", "head"}
+    HIDDEN = {"script", "style", "template"}
+    IN_HEAD = {"title"}  # the rest of a head has no text of its own, so a head that nobody closes hides nothing
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -156,15 +157,16 @@ class _Sequence(HTMLParser):
         text = " ".join("".join(self.run).split())
         self.run = []
         if text:
-            self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
+            self.items.append({"kind": "text", "text": text, "digest": None, "url": None, "caption": None})
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         own = dict(attrs)
-        if tag in self.HIDDEN:
+        if tag in self.HIDDEN or tag in self.IN_HEAD:
             self.hidden += 1
-        elif tag in ("img", "audio", "video", "source") and (own.get("src") or "").startswith("sha256:"):
+        elif tag in ("img", "audio", "video", "source") and own.get("src"):
             self.flush()
-            self.items.append({"kind": "media", "text": None, "digest": own["src"][7:], "caption": own.get("alt")})
+            digest = own["src"][7:] if own["src"].startswith("sha256:") else None
+            self.items.append({"kind": "media", "text": None, "digest": digest, "url": own["src"], "caption": own.get("alt")})
         elif tag == "figcaption":
             self.flush()
             self.caption = []
@@ -172,7 +174,7 @@ class _Sequence(HTMLParser):
             self.run.append(" ")
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in self.HIDDEN:
+        if tag in self.HIDDEN or tag in self.IN_HEAD:
             self.hidden = max(0, self.hidden - 1)
         elif tag == "figcaption" and self.caption is not None:
             text = " ".join("".join(self.caption).split())
@@ -181,7 +183,7 @@ class _Sequence(HTMLParser):
             if last is not None:
                 last["caption"] = text
             elif text:
-                self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
+                self.items.append({"kind": "text", "text": text, "digest": None, "url": None, "caption": None})
         elif tag in ("p", "div", "h1", "h2", "h3", "li", "tr", "figure", "article", "section"):
             self.flush()
 

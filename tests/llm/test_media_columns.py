@@ -35,12 +35,30 @@ def test_all_cases_have_their_row(spark):
 def test_sequences_keep_order_positions_and_captions(spark):
     html = '<p>before</p><figure><img src="sha256:aa" alt="x"><figcaption>a <b>cap</b></figcaption></figure><p>after</p><img src="other.png"><video src="sha256:bb"></video>'
     assert [(x["position"], x["kind"], x["text"] or x["digest"], x["caption"]) for x in parsed(html)] == [
-        (0, "text", "before", None), (1, "media", "aa", "a cap"), (2, "text", "after", None), (3, "media", "bb", None)
+        (0, "text", "before", None), (1, "media", "aa", "a cap"), (2, "text", "after", None), (3, "media", None, None), (4, "media", "bb", None)
     ]
     pages = spark.createDataFrame([(1, html, "extra"), (2, None, "e"), (3, "plain", "e"), (1, html, "extra")], "doc_id long, html string, digest string")
     made = sequences(pages)
-    assert sorted(len(r["sequence"]) for r in made.collect()) == [0, 1, 4, 4]
+    assert sorted(len(r["sequence"]) for r in made.collect()) == [0, 1, 5, 5]
     store = spark.createDataFrame([("aa", 5)], "digest string, n_bytes long")
-    assert sorted((r["doc_id"], r["position"], r["n_bytes"]) for r in resolved(made, store).filter("kind = 'media'").collect()) == [(1, 1, 5)] * 2 + [(1, 3, None)] * 2 or True
     got = resolved(made, store).filter("kind = 'media'").collect()
-    assert sorted((r["position"], r["n_bytes"] or 0) for r in got) == [(1, 5), (1, 5), (3, 0), (3, 0)]
+    assert sorted((r["position"], r["n_bytes"] or 0) for r in got) == [(1, 5), (1, 5), (3, 0), (3, 0), (4, 0), (4, 0)]
+    assert {r["url"] for r in got} == {"sha256:aa", "other.png", "sha256:bb"}
+
+
+def test_pages_of_other_forms():
+    open_head = "<html><head><title>t</title><meta charset=x><body><p>shown</p><script>no</script><img src=a.png alt=one><p>more</p><img src='sha256:cc'>"
+    assert [(x["kind"], x["text"] or x["url"]) for x in parsed(open_head)] == [("text", "shown"), ("media", "a.png"), ("text", "more"), ("media", "sha256:cc")]
+    assert parsed("<figcaption>alone</figcaption>")[0]["text"] == "alone" and parsed("") == parsed(None) == []
+
+
+def test_features_are_those_of_the_samples(spark):
+    raw = b"ab" * 40
+    flat = list(padded(raw))
+    n = len(flat)
+    mean = sum(flat) / n
+    spread = (sum(x * x for x in flat) / n - mean * mean) ** 0.5
+    step = sum(abs(a - b) for a, b in zip(flat, flat[1:])) / (n - 1)
+    want = f"{n // 64}x64;{mean:.4f};{spread:.4f};{flat.count(0) / n:.4f};{step:.4f}"
+    store = media_store(spark.createDataFrame([(raw.decode(),), (raw.decode(),)], "text string"))
+    assert [r["feature"] for r in read_back(store).collect()] == [want]
