@@ -2,8 +2,8 @@
 
 Every response yields one metadata record (title, language, number of links, and the source's own headers) and one
 conversion record (its plain text). Both refer to the response by its identifier, target and date, name each other as
-concurrent, and carry digests of their blocks and of the payload they come from. Identifiers derive from content, so
-that a task that runs again makes the same records.
+concurrent, and carry digests of their blocks and of the payload they come from. Identifiers derive from the page's id,
+target and content, so that a task that runs again makes the same records, and two captures of one page have two.
 
 Defined results: a null page is an empty payload with an empty text; a null target is ''; rows that repeat give equal
 records; an empty table gives none; further columns are ignored.
@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 # Elements that aren't shown, those that end a line, and the named characters that are turned back.
-HIDDEN = ["script", "style", "head", "nav", "template"]
+HIDDEN = ["script", "style", "template"]
 BREAKS = "p|div|br|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|table|article|section|header|footer|figure|blockquote|pre"
 NAMED = [("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
 #: Patterns in their order, each with what it leaves; read alike by Spark and by the SQL below.
 TO_TEXT = [
-    (r"(?is)<!--.*?-->", ""),
-    *[(rf"(?is)<{tag}\b.*?</{tag}>", "\n" if tag == "nav" else "") for tag in HIDDEN],
+    # in one pass; what isn't closed goes to the end of the page, so that no start is tried twice
+    ("(?is)" + "|".join([r"<!--.*?(?:-->|\z)", *[rf"<{tag}\b.*?(?:</{tag}>|\z)" for tag in HIDDEN], r"<head\b.*?</head>"]), ""),
+    (r"(?is)<nav\b.*?</nav>", "\n"),
     (rf"(?i)</?(?:{BREAKS})\b[^>]*>", "\n"),
     (r"<[^>]*>", ""),
     (r"[ \t\r]+", " "),
@@ -57,7 +58,7 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     digest = F.concat(F.lit("sha256:"), F.sha2(payload, 256))
     return pages.select(F.col(id_col).alias("page_id"), target.alias("target_uri"), payload.alias("payload"), digest.alias("payload_digest")).select(
         "page_id",
-        identifier(F.lit("response"), F.col("target_uri"), F.col("payload_digest")).alias("record_id"),
+        identifier(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("target_uri"), F.col("payload_digest")).alias("record_id"),
         "target_uri",
         F.lit(DATE).alias("date"),
         F.create_map(
@@ -152,7 +153,7 @@ def _sql() -> str:
     return f"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages),
 r AS (SELECT *, 'sha256:' || sha256(payload) AS payload_digest FROM p),
-q AS (SELECT *, {urn("'response'", "target_uri", "payload_digest")} AS refers_to FROM r),
+q AS (SELECT *, {urn("'response'", "coalesce(page_id::VARCHAR, '')", "target_uri", "payload_digest")} AS refers_to FROM r),
 s AS (SELECT *, {urn("'metadata'", "refers_to")} AS m, {urn("'conversion'", "refers_to")} AS c, {text} AS text,
       'title: ' || trim(regexp_extract(payload, {quoted(TITLE)}, 1)) || {end} || 'language: '
       || regexp_extract(payload, {quoted(LANGUAGE)}, 1) || {end} || 'links: '
