@@ -48,9 +48,3 @@ def table(spark, given=None, clashing: bool = True):
 
     df = spark.createDataFrame(rows() if given is None else given, KINDS).repartition(3)
     return df.withColumns({c: F.lit(f"extra {c}") for c in CLASHING}) if clashing else df
-
-
-def same_columns_rows(a, b) -> bool:
-    from collections import Counter
-
-    return Counter(map(tuple, a)) == Counter(map(tuple, b))
