@@ -128,15 +128,26 @@ def calibration(df: DataFrame, target: str, score: str, bins: int) -> DataFrame:
     )
 
 
-def smallest_mode(column: str, by: list[str], df: DataFrame) -> DataFrame:
-    """The commonest value of each group, the smallest of several."""
-    return df.groupBy(*by).agg(F.mode(column, True).alias(column))
+def with_average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
+    """df with the rank of a known column over the whole table, ties sharing their mean, without a task that holds all rows.
+
+    Equal values are counted first; those of lower ranges (BUCKETS rows) and lower ones of the own range come before."""
+    values = bucketed(df.groupBy(F.col(column).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c")), "__v", "__b")
+    earlier = W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)  # over BUCKETS rows at most
+    lower = values.groupBy("__b").agg(F.sum("__c").alias("n")).select("__b", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__l"))
+    inside = F.coalesce(F.sum("__c").over(W.partitionBy("__b").orderBy("__v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranks = values.withColumn("__i", inside).join(lower, "__b").select("__v", (F.col("__l") + F.col("__i") + (F.col("__c") + 1) / F.lit(2.0)).alias(out))
+    return df.withColumn("__v", F.col(column).cast("double")).join(ranks, "__v").drop("__v")
 
 
 def agreement(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     """n, pearson, spearman (average ranks), mean difference, MAE and RMSE of two columns, where both are known."""
     both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    both = both.withColumns({"__ra": average_rank(a, by), "__rb": average_rank(b, by), "__d": F.col(a) - F.col(b)})
+    if by:
+        both = both.withColumns({"__ra": average_rank(a, by), "__rb": average_rank(b, by)})
+    else:
+        both = with_average_rank(with_average_rank(both, a, "__ra"), b, "__rb")
+    both = both.withColumn("__d", F.col(a) - F.col(b))
     return both.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.corr(a, b).alias("pearson"),

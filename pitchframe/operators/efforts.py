@@ -88,5 +88,3 @@ def sensitivity(frame: DataFrame, mask: Column, config: TrackingConfig, dips: tu
             out = found if out is None else out.unionByName(found)
     return out
 
-
-__all__ = ["SEGMENT", "counted", "efforts", "frame_percentile", "peak_percentile", "peaks", "sensitivity", "with_effort_ids"]

@@ -119,8 +119,8 @@ def season_split(df: DataFrame, train: list[str], test: list[str], column: str =
 def last_matches_split(df: DataFrame, n: int, column: str = "match_id") -> DataFrame:
     """The last n matches by id, one at least, are the test side. The ids that are last are ranked, not all rows."""
     ids = df.select(column).distinct()
-    last = ids.orderBy(F.desc(column)).limit(max(1, n)).withColumn("split", F.lit("test"))
-    return df.join(F.broadcast(last), column, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    last = ids.orderBy(F.desc(column)).limit(max(1, n)).withColumn("split", F.lit("test"))  # n may grow with the matches: no hint
+    return df.join(last, column, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
 def last_third_split(df: DataFrame, column: str = "match_id") -> DataFrame:
@@ -139,12 +139,12 @@ def evaluated(scored: DataFrame, target: str, score: str, clip: float | None = N
     return binary_scores(scored.filter("split <> 'unused'"), target, score, ["split"], clip)
 
 
-def compared(split: DataFrame, numbers: list[str], flags: list[str], labels: list[str], target: str, configs: dict[str, ModelConfig], out: str) -> tuple[str, dict[str, Trained], DataFrame]:
+def compared(split: DataFrame, numbers: list[str], flags: list[str], labels: list[str], target: str, configs: dict[str, ModelConfig], out: str, clip: float | None = None) -> tuple[str, dict[str, Trained], DataFrame]:
     """All models with their scores on the test side; the best by log-loss, then Brier score."""
     models, rows = {}, None
     for name, config in configs.items():
         models[name], scored = train_and_score(split, numbers, flags, labels, target, config, out)
-        own = evaluated(scored, target, out).withColumn("model", F.lit(name))
+        own = evaluated(scored, target, out, clip).withColumn("model", F.lit(name))
         rows = own if rows is None else rows.unionByName(own)
     best = rows.filter("split = 'test'").orderBy(F.asc_nulls_last("log_loss"), "brier", "model").first()["model"]
     return best, models, rows
@@ -210,14 +210,6 @@ def location_surface(model: Trained, shots: DataFrame, nx: int = 90, ny: int = 7
     return model.scored(with_shot_features(grid), out).select("shot_x", "shot_y", out)
 
 
-def match_order(df: DataFrame) -> DataFrame:
-    """Each match's number in the order of ids."""
-    ids = df.select("match_id").distinct()
-    return ids.withColumn("order", F.row_number().over(W.orderBy("match_id")))
-
-
 def spread(scored: DataFrame, score: str) -> DataFrame:
     return scored.agg(*[f(score).alias(n) for n, f in (("least", F.min), ("mean", F.avg), ("deviation", F.stddev_samp), ("most", F.max))], F.count(score).alias("n"))
 
-
-__all__ = ["Trained", "calibration", "coefficients", "compared", "evaluated", "location_surface", "ratio", "trained", "two_heads"]

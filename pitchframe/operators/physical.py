@@ -180,6 +180,16 @@ def p60_rates(rows: DataFrame, columns: list[str], exposure: str = "bip_minutes"
     return rows.filter(good).withColumns({f"{c}{suffix}": F.col(c) * window / F.col(exposure) for c in columns})
 
 
+def p30_rates(rows: DataFrame, columns: list[str], phase: str = "tip", **more) -> DataFrame:
+    """Volumes by 30 minutes of a phase (tip or otip), guarded by the phase's own minutes."""
+    return p60_rates(rows, columns, f"{phase}_minutes", 30.0, f"_p30_{phase}", **more)
+
+
+def p90_rates(rows: DataFrame, columns: list[str], **more) -> DataFrame:
+    """Volumes by 90 minutes played."""
+    return p60_rates(rows, columns, "played_minutes", 90.0, "_p90", **more)
+
+
 def eligible(rows: DataFrame, least_minutes: float = 60.0) -> DataFrame:
     return rows.filter(F.col("played_minutes") >= least_minutes)
 
@@ -236,6 +246,11 @@ def league(rows: DataFrame, metrics: list[str], by: list[str], kind: str = "outf
     return out.withColumns({"population": F.lit(kind), "weighting": F.lit(f"{weighting}_weighted")})
 
 
+def league_rates(rows: DataFrame, columns: list[str], by: list[str], **more) -> DataFrame:
+    """The league's means of all guarded rates by 60 live minutes of the given volumes."""
+    return league(p60_rates(rows, columns), [f"{c}_p60_bip" for c in columns], by, **more)
+
+
 def league_variants(rows: DataFrame, metrics: list[str], by: list[str], **more) -> DataFrame:
     """Both populations under both weightings."""
     parts = [league(rows, metrics, by, kind, weighting, **more) for kind in ("all", "outfield") for weighting in ("performance", "player")]
@@ -265,5 +280,3 @@ def coverage(frame: DataFrame) -> DataFrame:
         r("__sl", "__lr").alias("detected_share_live"),
     )
 
-
-__all__ = ["TRACK", "benchmark", "coverage", "group_percentiles", "league", "league_variants", "player_matches", "profiles"]

@@ -17,6 +17,10 @@ from pitchframe.operators import value_chain as V
 from pitchframe.sources import sinks
 
 
+#: Completion estimates are held this far from 0 and 1 where they are scored.
+CLIP = 1e-6
+
+
 @dataclass
 class Run:
     """Fitted objects and result tables by name."""
@@ -59,7 +63,7 @@ def shot_run(shots: DataFrame, train: list[str], test: list[str], configs: dict[
 def pass_run(passes: DataFrame, train: list[str], test: list[str], configs: dict[str, M.ModelConfig] = M.PASS_MODELS, columns: tuple[list[str], list[str], list[str]] = (P.PASS_NUMBERS, P.PASS_FLAGS, P.PASS_LABELS)) -> Run:
     """Completion expectation: compared models, passes above expectation by team and player, types of passes."""
     split = M.season_split(P.with_pass_features(P.modelled_passes(passes)), train, test)
-    best, models, metrics = M.compared(split, *columns, "pass_completed", configs, "model_xpass")
+    best, models, metrics = M.compared(split, *columns, "pass_completed", configs, "model_xpass", CLIP)
     scored = P.with_pass_type(P.above_expectation(models[best].scored(split.filter("split <> 'unused'"), "model_xpass")))
     return Run(
         {**models, "best": models[best]},

@@ -17,8 +17,8 @@ DATA = "/root/testdata"
 def spark():
     top = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     conf = {
-        "spark.master": "local[8]",
-        "spark.sql.shuffle.partitions": "8",
+        "spark.master": "local[4]",
+        "spark.sql.shuffle.partitions": "4",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
