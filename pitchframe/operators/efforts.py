@@ -9,24 +9,53 @@ from pyspark.sql import functions as F
 from pitchframe.operators.tracking import EPS, KMH, SEGMENT, TRACK, TrackingConfig
 
 
-def with_effort_ids(frame: DataFrame, mask: Column, dt: float, dip: float = 0.0, keys: list[str] = TRACK, segment: str = "segment_id", order: list[str] = ["timestamp"]) -> DataFrame:
-    """__effort: the number of the effort that a row lies in, dips that are merged included; null outside.
+def effort_kinds(
+    frame: DataFrame, kinds: dict[str, Column], dt: float, dips: tuple[float, ...] = (0.0,), shares: dict[str, Column] | None = None,
+    peak: Column | None = None, keys: list[str] = TRACK, segment: str = "segment_id", order: list[str] = ["timestamp"],
+) -> DataFrame:
+    """A row for each kind (a mask), dip and effort: first and last moment, samples, seconds above, peak, shares of flags.
 
-    Gaps and islands: runs of equal mask within a segment, then chains of runs across one short dip."""
+    Gaps and islands of all masks in one order of the segment: runs of equal mask first, then, on the few rows of runs,
+    chains of runs across one short dip. The frame is read and sorted once, however many kinds and dips there are."""
     w = W.partitionBy(*keys, segment).orderBy(*order)
-    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    rows = frame.withColumn("__on", F.coalesce(mask, F.lit(False)))
-    turned = F.coalesce(F.col("__on") != F.lag("__on").over(w), F.lit(True)).cast("int")
-    rows = rows.withColumn("__turn", turned).withColumn("__run", F.sum("__turn").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    by_run = W.partitionBy(*keys, segment, "__run")
-    rows = rows.withColumns({"__len": F.count(F.lit(1)).over(by_run), "__runs": F.max("__run").over(whole), "__first_on": F.first("__on").over(whole)})
-    # a dip between two runs of the same segment is merged if it is short
-    inner = ~F.col("__on") & (F.col("__run") > 1) & (F.col("__run") < F.col("__runs"))
-    joined = inner & (F.col("__len") * dt <= dip + EPS) if dip > 0 else F.lit(False)
-    rows = rows.withColumn("__in", F.col("__on") | joined)
-    opened = (F.col("__in") & ~F.coalesce(F.lag("__in").over(w), F.lit(False))).cast("int")
-    rows = rows.withColumn("__open", opened).withColumn("__effort", F.when(F.col("__in"), F.sum("__open").over(w.rowsBetween(W.unboundedPreceding, 0))))
-    return rows.drop("__turn", "__run", "__len", "__runs", "__first_on", "__in", "__open")
+    number = {k: i for i, k in enumerate(kinds)}
+    rows = frame.withColumns(
+        {
+            **{f"__s_{k}": F.coalesce(v, F.lit(False)).cast("int") for k, v in (shares or {}).items()},
+            **{f"__on{i}": F.coalesce(kinds[k], F.lit(False)) for k, i in number.items()},
+            "__peak": peak if peak is not None else F.lit(None).cast("double"),
+        }
+    )
+    rows = rows.withColumns({f"__turn{i}": F.coalesce(F.col(f"__on{i}") != F.lag(f"__on{i}").over(w), F.lit(True)).cast("int") for i in number.values()})
+    rows = rows.withColumns({f"__run{i}": F.sum(f"__turn{i}").over(w.rowsBetween(W.unboundedPreceding, 0)) for i in number.values()})
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"__on{i}").alias("on"), F.col(f"__run{i}").alias("run")) for k, i in number.items()])
+    at = F.col(order[0]).alias("__time")
+    rows = rows.select(*keys, segment, at, "__peak", *[f"__s_{k}" for k in shares or {}], F.explode(each).alias("__e"))
+    if max(dips) <= 0:
+        rows = rows.filter("__e.on")  # no dip is merged, so what lies between efforts isn't needed
+    runs = rows.groupBy(*keys, segment, F.col("__e.kind").alias("kind"), F.col("__e.run").alias("__run"), F.col("__e.on").alias("__on")).agg(
+        F.min("__time").alias("__first"), F.max("__time").alias("__last"), F.count(F.lit(1)).alias("__len"), F.max("__peak").alias("__peak"),
+        *[F.sum(f"__s_{k}").alias(f"__s_{k}") for k in shares or {}],
+    )
+    runs = runs.withColumn("dip", F.explode(F.array(*[F.lit(float(d)) for d in dips])))
+    chain = W.partitionBy(*keys, segment, "kind", "dip").orderBy("__run")
+    # a run below the threshold lies between two above it unless it is the first or the last
+    inner = F.lag("__run").over(chain).isNotNull() & F.lead("__run").over(chain).isNotNull()
+    runs = runs.withColumn("__in", F.col("__on") | (inner & (F.col("dip") > 0) & (F.col("__len") * dt <= F.col("dip") + EPS)))
+    # runs that nothing lies between (dips were left out) are apart: their numbers aren't neighbours
+    before = F.lag("__in").over(chain) & (F.lag("__run").over(chain) == F.col("__run") - 1)
+    runs = runs.withColumn("__open", (F.col("__in") & ~F.coalesce(before, F.lit(False))).cast("int"))
+    runs = runs.withColumn("effort", F.sum("__open").over(chain.rowsBetween(W.unboundedPreceding, 0))).filter("__in")
+    return runs.groupBy(*keys, segment, "kind", "dip", "effort").agg(
+        F.min("__first").alias("first"), F.max("__last").alias("last"), F.sum("__len").alias("samples"),
+        (F.coalesce(F.sum(F.when(F.col("__on"), F.col("__len"))), F.lit(0)) * dt).alias("above_seconds"), F.max("__peak").alias("peak"),
+        *[(F.sum(f"__s_{k}") / F.sum("__len")).alias(f"{k}_share") for k in shares or {}],
+    )
+
+
+def effort_seconds(dt: float, rule: str) -> Column:
+    """What an effort's least duration is held against: its span, or the samples above the threshold."""
+    return (F.col("samples") - 1) * dt if rule == "span" else F.col("above_seconds")
 
 
 def efforts(
@@ -35,16 +64,8 @@ def efforts(
     order: list[str] = ["timestamp"],
 ) -> DataFrame:
     """A row for each effort: first and last moment, seconds above the threshold, shares of flags over its whole span."""
-    extra = {f"__s_{k}": F.coalesce(v, F.lit(False)).cast("double") for k, v in (shares or {}).items()}
-    rows = frame.withColumns({**extra, "__peak": peak if peak is not None else F.lit(None).cast("double")})
-    rows = with_effort_ids(rows, mask, dt, dip, keys, segment, order).filter("__effort is not null")
-    found = rows.groupBy(*keys, segment, F.col("__effort").alias("effort")).agg(
-        F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count(F.lit(1)).alias("samples"),
-        (F.count_if("__on") * dt).alias("above_seconds"), F.max("__peak").alias("peak"),
-        *[F.avg(f"__s_{k}").alias(f"{k}_share") for k in shares or {}],
-    )
-    seconds = (F.col("samples") - 1) * dt if rule == "span" else F.col("above_seconds")
-    return found.filter(seconds >= least - EPS)
+    found = effort_kinds(frame, {"": mask}, dt, (dip,), shares, peak, keys, segment, order).drop("kind", "dip")
+    return found.filter(effort_seconds(dt, rule) >= least - EPS)
 
 
 def counted(frame: DataFrame, mask: Column, config: TrackingConfig, live: dict[str, Column], name: str, least: float | None = None) -> DataFrame:
@@ -79,12 +100,8 @@ def frame_percentile(frame: DataFrame, config: TrackingConfig, by: list[str], sp
 
 
 def sensitivity(frame: DataFrame, mask: Column, config: TrackingConfig, dips: tuple[float, ...] = (0.0, 0.1, 0.2, 0.3)) -> DataFrame:
-    """Numbers of efforts under both duration rules and several dips."""
-    out = None
-    for rule in ("samples", "span"):
-        for dip in dips:
-            found = efforts(frame, mask, config.dt, config.effort_min_seconds, dip, rule).groupBy("match_id", "player_id").agg(F.count(F.lit(1)).alias("efforts"))
-            found = found.select("match_id", "player_id", F.lit(rule).alias("rule"), F.lit(dip).alias("dip_seconds"), "efforts")
-            out = found if out is None else out.unionByName(found)
-    return out
-
+    """Numbers of efforts under both duration rules and several dips, all from one pass over the samples."""
+    found = effort_kinds(frame, {"": mask}, config.dt, dips)
+    rules = F.array(*[F.struct(F.lit(r).alias("rule"), effort_seconds(config.dt, r).alias("seconds")) for r in ("samples", "span")])
+    found = found.withColumn("__r", F.explode(rules)).filter(F.col("__r.seconds") >= config.effort_min_seconds - EPS)
+    return found.groupBy("match_id", "player_id", F.col("__r.rule").alias("rule"), F.col("dip").alias("dip_seconds")).agg(F.count(F.lit(1)).alias("efforts"))

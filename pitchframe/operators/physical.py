@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pitchframe.functions.coerce import has, number, number_or_null, ratio, require
 from pitchframe.functions.stats import with_rank_percent
-from pitchframe.operators.efforts import counted, frame_percentile, peak_percentile
+from pitchframe.operators.efforts import effort_kinds, effort_seconds, frame_percentile
 from pitchframe.operators.tracking import EPS, KMH, TRACK, TrackingConfig
 
 BAND_EPS = 1e-4
@@ -90,7 +90,7 @@ def with_phases(frame: DataFrame) -> DataFrame:
 def player_matches(frame: DataFrame, config: TrackingConfig = TrackingConfig()) -> DataFrame:
     """A row a player and match: exposure, distances by band and phase, efforts, peaks and rates.
 
-    Volumes come from one aggregation; each kind of effort adds one more, all partitioned by track."""
+    Volumes come from one aggregation, all kinds of efforts and their peaks from one more, both partitioned by track."""
     frame = with_phases(frame)
     bands = speed_bands(F.col("speed_mps"), config)
     rows = frame.withColumns({f"__{k}": v for k, v in bands.items()})
@@ -122,19 +122,21 @@ def player_matches(frame: DataFrame, config: TrackingConfig = TrackingConfig())
     )
     lives = {"": F.col("is_bip"), "_tip": F.col("tip"), "_otip": F.col("otip")}
     accel, hard = F.col("acceleration_mps2"), config.high_acceleration_mps2
-    parts = [
-        counted(rows, on("running") & valid, config, {"": lives[""]}, "running_count"),
-        counted(rows, on("hsr") & valid, config, lives, "hsr_count"),
-        counted(rows, on("sprint") & valid, config, lives, "sprint_count"),
-        counted(rows, accel > hard, config, {"": lives[""]}, "high_acceleration_count", config.high_acceleration_min_seconds),
-        counted(rows, accel < -hard, config, {"": lives[""]}, "high_deceleration_count", config.high_acceleration_min_seconds),
-        peak_percentile(rows, config),
-        peak_percentile(rows, config, least=0.7, name="psv99_activity_min07_kmh"),
-        frame_percentile(rows, config, ["match_id", "player_id"]),
-    ]
-    out = base
-    for part in parts:
-        out = out.join(part, ["match_id", "player_id"], "left")
+    masks = {
+        "running": on("running") & valid, "hsr": on("hsr") & valid, "sprint": on("sprint") & valid, "high_acceleration": accel > hard,
+        "high_deceleration": accel < -hard, "peak": F.col("raw_speed_mps") > config.psv_min_kmh * KMH,
+    }
+    found = effort_kinds(rows, masks, config.dt, (config.effort_dip_seconds,), {f"live{k}": v for k, v in lives.items()}, F.col("raw_speed_mps"))
+    lasting = lambda kind, least: (F.col("kind") == kind) & (effort_seconds(config.dt, config.effort_rule) >= least - EPS)
+    enough = lambda k: F.col(f"live{k}_share") >= config.effort_live_share - EPS
+    peak = lambda least: F.percentile(F.when(lasting("peak", least) & (F.col("peak") <= config.psv_max_kmh * KMH), F.col("peak")), config.psv_percentile / 100) / KMH
+    counted = [("running", "", config.effort_min_seconds), *[(b, k, config.effort_min_seconds) for b in ("hsr", "sprint") for k in lives]]
+    counted += [(k, "", config.high_acceleration_min_seconds) for k in ("high_acceleration", "high_deceleration")]
+    kinds = found.groupBy("match_id", "player_id").agg(
+        *[F.count_if(lasting(kind, least) & enough(k)).alias(f"{kind}_count{k}") for kind, k, least in counted],
+        peak(0.0).alias("psv99_kmh"), peak(0.7).alias("psv99_activity_min07_kmh"),
+    )
+    out = base.join(kinds, ["match_id", "player_id"], "left").join(frame_percentile(rows, config, ["match_id", "player_id"]), ["match_id", "player_id"], "left")
     counts = [c for c in out.columns if "_count" in c and c not in base.columns]
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
     out = out.withColumns({f"high_intensity_count{k}": F.col(f"hsr_count{k}") + F.col(f"sprint_count{k}") for k in lives})
