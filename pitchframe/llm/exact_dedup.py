@@ -2,10 +2,10 @@
 
 Arrivals (digest, id, row, locator of the content) go through a Structured Streaming aggregation whose keyed state lies
 on disk, in RocksDB, and never expires: one entry a digest, with a count and the row of the largest id seen, its locator
-(the file that holds the content) included. The state is then read as a table. Documents whose digest was hit more than
-once are checked by their full bytes: a second scan, which a bitmap of the hit digests filters before anything is
-shuffled, groups them by digest and whole text, combined before the shuffle, so that a text that a third of all rows share
-is one row a task. A digest with two different texts (a collision) is split by text.
+(the file that holds the content) included. The state is then written as a table, so that its stores are opened only
+once. Documents whose digest was hit more than once are checked by their full bytes: a second scan, which a bitmap of the
+hit digests filters before anything is shuffled, groups them by digest and whole text, combined before the shuffle, so that
+a text that a third of all rows share is one row a task. A digest with two different texts (a collision) is split by text.
 
 Defined results: null texts count as empty; a null id loses to any other id, and rows without an id stay together with
 keep_id null; of rows that repeat both id and text one is kept; an empty table gives an empty table; further columns
@@ -24,7 +24,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",  # of each executor
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",  # of each executor
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",  # of each store; a full one goes to disk
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",  # else every entry is read before it is written
     "spark.sql.streaming.stateStore.maintenanceInterval": "10s",  # stores of ended queries are let go soon
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every store sets 4 MB aside
 }
@@ -37,6 +39,21 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def state_rows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The kept state as a table."""
+    state = spark.read.format("statestore").load(checkpoint)
+    kinds = {f.name: f.name for f in state.schema["value"].dataType.fields}
+    size = next(n for n in kinds if n.startswith("count"))
+    latest = next(n for n in kinds if n.startswith("max"))
+    return state.select(
+        F.col("key.digest").alias("digest"),
+        F.col(f"value.`{latest}`.doc_id").alias("keep_id"),
+        F.col(f"value.`{latest}`.row").alias("keep_row"),
+        F.col(f"value.`{size}`").alias("group_size"),
+        F.col(f"value.`{latest}`.locator").alias("locator"),
+    )
+
+
 def digest_state(arrivals_path: str, spark: SparkSession, checkpoint: str, max_bytes: str | None = None) -> DataFrame:
     """Run the stream over what has arrived and return its state: digest, keep_id, keep_row, group_size, locator.
 
@@ -64,23 +81,13 @@ def digest_state(arrivals_path: str, spark: SparkSession, checkpoint: str, max_b
             .start()
         )
         run.awaitTermination()
+        return landed(state_rows(spark, checkpoint), "exact-groups")  # read once, under the same bounds of memory
     finally:
         for k, v in before.items():
             if v is None:
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
-    state = spark.read.format("statestore").load(checkpoint)
-    kinds = {f.name: f.name for f in state.schema["value"].dataType.fields}
-    size = next(n for n in kinds if n.startswith("count"))
-    latest = next(n for n in kinds if n.startswith("max"))
-    return state.select(
-        F.col("key.digest").alias("digest"),
-        F.col(f"value.`{latest}`.doc_id").alias("keep_id"),
-        F.col(f"value.`{latest}`.row").alias("keep_row"),
-        F.col(f"value.`{size}`").alias("group_size"),
-        F.col(f"value.`{latest}`.locator").alias("locator"),
-    )
 
 
 def exact_groups(
