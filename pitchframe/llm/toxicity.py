@@ -104,7 +104,8 @@ def counted_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
             own: dict[str, int] = {}  # the slot of the word before its first place; below 0 if there are more places
             before = ""
-            for word in split.findall(text.as_py().lower()):
+            for found in split.finditer(text.as_py().lower()):
+                word = found.group()
                 slot = zlib.crc32(before.encode()) & 63
                 for entry in (word, *[f"{word[:n]}*" for n in STEMS if len(word) >= n]):
                     own[entry] = slot if entry not in own else -1 - (own[entry] if own[entry] >= 0 else -1 - own[entry])
@@ -116,9 +117,9 @@ def counted_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 if toxic:
                     bit = 1 << (slot if slot >= 0 else -1 - slot)
                     held[4] |= bit - (1 << 64) if bit >> 63 else bit
-        if len(sums) > SUMS:
-            yield out()
-            sums.clear()
+            if len(sums) > SUMS:
+                yield out()
+                sums.clear()
     if sums:
         yield out()
 
