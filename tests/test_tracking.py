@@ -206,3 +206,65 @@ def test_settings_are_checked():
     for bad in ({"estimator": "none"}, {"sample_hz": 0.0}, {"max_speed_kmh": 20.0}, {"psv_percentile": 0.0}, {"butter_cutoff_hz": 9.0}):
         with pytest.raises(ValueError):
             replace(CONFIG, **bad)
+
+
+def brute_explosive(rows, config, dt):
+    """(family, target, onset, end) of one track by plain loops; rows: (time, segment, speed, acceleration, heading, valid)."""
+    walk, out, n = config.walk_kmh / 3.6, [], max(2, round(config.heading_seconds / dt))
+
+    def crossing(i, limit):
+        (t0, _, v0, *_), (t, _, v, *_) = rows[i - 1], rows[i]
+        return t0 + (limit - v0) / max(v - v0, 1e-12) * (t - t0) if i and v0 is not None and v is not None and v0 < limit <= v else None
+
+    def following(at, limit):
+        return next(((i, crossing(i, limit)) for i in range(at + 1, len(rows)) if crossing(i, limit) is not None), None)
+
+    starts = []
+    on = [bool(r[5] and r[3] is not None and r[3] > config.acceleration_mps2) for r in rows]
+    for i, r in enumerate(rows):
+        if on[i] and not (i and on[i - 1] and rows[i - 1][1] == r[1]):
+            end = next((j for j in range(i, len(rows)) if not on[j] or rows[j][1] != r[1]), len(rows))
+            slow = [j for j in range(i + 1) if rows[j][1] == r[1] and rows[j][0] >= r[0] - config.lookback_seconds - 1e-7 and rows[j][2] is not None and rows[j][2] < walk]
+            if (end - i) * dt >= config.acceleration_seconds - 1e-9 and slow and (onset := following(slow[-1], walk)):
+                starts.append(("time_to_speed", *onset, rows[onset[0]][1]))
+    mean = lambda part: np.arctan2(np.mean([np.sin(r[4]) for r in part]), np.mean([np.cos(r[4]) for r in part]))
+    sharp = []
+    for i in range(n, len(rows) - n):
+        pre, post = rows[i - n : i], rows[i + 1 : i + n + 1]
+        if all(r[5] and r[2] >= walk for r in pre + post) and pre[0][1] == post[-1][1]:
+            d = mean(pre) - mean(post)
+            angle = np.degrees(abs(np.arctan2(np.sin(d), np.cos(d))))
+            if angle >= config.turn_degrees:
+                new = not sharp or i - sharp[-1][-1][0] >= max(1, round(config.cooldown_seconds / dt))
+                sharp = [*sharp, []] if new else sharp
+                sharp[-1].append((i, angle))
+    for cluster in sharp:
+        at = max(cluster, key=lambda c: (c[1], -c[0]))[0]
+        fast = next((j for j in range(at, len(rows)) if rows[j][1] == rows[at][1] and rows[j][2] is not None and rows[j][2] >= walk), None)
+        if fast is not None:
+            starts.append(("post_cod_time_to_speed", fast, rows[fast][0], rows[at][1]))
+    for family, at, onset, segment in starts:
+        for target, kmh in (("hsr", config.hsr_kmh), ("sprint", config.sprint_kmh)):
+            hit = following(at, kmh / 3.6)
+            if hit and rows[hit[0]][1] == segment and hit[1] - onset <= config.most_seconds + 1e-9:
+                out.append((family, target, round(onset, 6), round(hit[1], 6)))
+    return sorted(out)
+
+
+def test_explosive_efforts_against_plain_loops(spark):
+    rng, rows = np.random.default_rng(5), []
+    for player in ("a", "b", "c"):
+        speed = np.abs(np.cumsum(rng.normal(0, 0.45, 900)))
+        speed = np.where(speed > 9, 18 - speed, speed).clip(0, 9)
+        heading = np.cumsum(rng.normal(0, 0.25, 900) + (rng.random(900) < 0.03) * rng.uniform(-2.5, 2.5, 900))
+        x, y = np.cumsum(speed * np.cos(heading) * 0.1), np.cumsum(speed * np.sin(heading) * 0.1)
+        rows += [("m", player, 1, round(i * 0.1 + 5 * (i > 500), 3), float(x[i]), float(y[i]), "alive") for i in range(900)]
+    df = spark.createDataFrame(rows, "match_id string, player_id string, period_id int, timestamp double, x double, y double, ball_state string")
+    physical, config = replace(CONFIG, estimator="central"), X.ExplosiveConfig(acceleration_mps2=1.0, acceleration_seconds=0.3)
+    frame = T.prepared(df, physical)
+    found, wanted = X.explosive_efforts(frame, physical, config).collect(), []
+    for player in ("a", "b", "c"):
+        track = frame.filter(F.col("player_id") == player).orderBy("timestamp").select("timestamp", "segment_id", "speed_mps", "acceleration_mps2", F.atan2("vy", "vx"), "valid_interval")
+        wanted += brute_explosive([tuple(r) for r in track.collect()], config, physical.dt)
+    assert sorted((r["family"], r["target"], round(r["onset_timestamp"], 6), round(r["target_timestamp"], 6)) for r in found) == sorted(wanted)
+    assert len({w[:2] for w in wanted}) == 4 and all(0 <= r["bip_share"] <= 1 for r in found)
