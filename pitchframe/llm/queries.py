@@ -7,6 +7,7 @@ from pitchframe.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from pitchframe.llm.line_dedup import OP5_SQL, op5_line_dedup
 from pitchframe.llm.media_columns import op9_media_columns
 from pitchframe.llm.ngram_jaccard import op1_ngram_jaccard
+from pitchframe.llm.packing import op11_packing
 from pitchframe.llm.secret_scan import op7_secret_scan
 from pitchframe.llm.source_mixing import OP10_SQL, op10_source_mixing
 from pitchframe.llm.token_counts import op6_token_counts
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_warc_derivatives": op8_warc_derivatives,
     "op9_media_columns": op9_media_columns,
     "op10_source_mixing": op10_source_mixing,
+    "op11_packing": op11_packing,
 }
 
 ORACLE_SQL = {
