@@ -6,6 +6,7 @@ from pitchframe.llm.byte_bpe import op4_byte_bpe
 from pitchframe.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from pitchframe.llm.line_dedup import OP5_SQL, op5_line_dedup
 from pitchframe.llm.media_columns import op9_media_columns
+from pitchframe.llm.merkle import OP12_SQL, op12_merkle
 from pitchframe.llm.ngram_jaccard import op1_ngram_jaccard
 from pitchframe.llm.packing import op11_packing
 from pitchframe.llm.secret_scan import op7_secret_scan
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_media_columns": op9_media_columns,
     "op10_source_mixing": op10_source_mixing,
     "op11_packing": op11_packing,
+    "op12_merkle": op12_merkle,
 }
 
 ORACLE_SQL = {
@@ -33,4 +35,5 @@ ORACLE_SQL = {
     "op5_line_dedup": OP5_SQL,
     "op8_warc_derivatives": OP8_SQL,
     "op10_source_mixing": OP10_SQL,
+    "op12_merkle": OP12_SQL,
 }
