@@ -19,7 +19,9 @@ columns are ignored. A text of any length is tokenised whole; its ids leave in b
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchframe.llm.byte_bpe import slices
 from pitchframe.llm.common import documents, landed, text_batches, text_of
 
 SEQUENCE = 4096
@@ -35,8 +36,9 @@ END_ID = 1
 OPEN = 1024  # sequences that a task keeps open
 PIECES_A_TASK = 1 << 17
 NEARLY_FULL = 99  # per cent: such a sequence isn't opened again
-CACHE_CUTS = 300_000  # distinct cuts that a worker remembers
+CACHE_CUTS = 600_000  # distinct cuts that a worker remembers
 BATCH_TOKENS = 1 << 22
+LONG_TEXT = 1 << 24  # bytes; a longer one is tokenised in blocks of about this size, cut at white space
 PIECE = "doc_id long, piece int, start long, length long, ids binary"
 
 BLANK, LETTER, MARK, OTHER = range(4)
@@ -44,6 +46,9 @@ KIND = np.full(256, OTHER, np.uint8)
 KIND[[0x20, *range(0x09, 0x0E)]] = BLANK
 KIND[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]] = LETTER
 KIND[list(b",.;:!?")] = MARK
+#: Letters of ASCII and Latin-1: whatever stands among them, they stay letters, and are what they are composed to.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+BLANKS = re.compile(rb"[\x20\x09-\x0d]")
 
 _made: dict = {}
 
@@ -62,6 +67,9 @@ class Cuts:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core already
         self.library = Tokenizer.from_file(path)
+        ids = self.library.get_vocab()
+        self.last = np.zeros(max(ids.values()) + 1, bool)  # tokens that end a word
+        self.last[[i for token, i in ids.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
     @classmethod
@@ -70,8 +78,36 @@ class Cuts:
             _made["cuts", path] = cls(path)
         return _made["cuts", path]
 
+    def learn(self, fresh: list[bytes]) -> None:
+        """Encodes cuts: those of plain letters only, a word each, all in one text, the others one by one."""
+        words = list(filter(LETTERS, fresh))
+        if words:
+            ids = np.array(self.library.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            flat = ids.tobytes()
+            self.known.update(zip(words, (flat[a:b] for a, b in zip([0, *ends], ends)), strict=True))
+        if rest := list(itertools.filterfalse(LETTERS, fresh)):
+            found = self.library.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False)
+            self.known.update(zip(rest, (np.array(e.ids, np.uint32).tobytes() for e in found)))
+
     def encode(self, data: bytes, offsets: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, each with end_id behind it, and how many ids come before each."""
+        if len(data) <= LONG_TEXT:
+            return self.encode_block(data, offsets, end_id)
+        found = [self.encode_text(data[a:b], end_id) for a, b in itertools.pairwise(offsets.tolist())]
+        return np.concatenate(found), np.append(0, np.cumsum(list(map(len, found))))
+
+    def encode_text(self, text: bytes, end_id: int | None) -> np.ndarray:
+        """A text of any length, in blocks that end before white space."""
+        found, a = [], 0
+        while a < len(text) or not found:
+            gap = BLANKS.search(text, min(a + LONG_TEXT, len(text)))
+            b = gap.start() if gap else len(text)
+            found.append(self.encode_block(text[a:b], np.array([0, b - a]), end_id if b == len(text) else None)[0])
+            a = b
+        return np.concatenate(found)
+
+    def encode_block(self, data: bytes, offsets: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         if b"<|" not in data:  # else a special token's name could come of it; lower case is what the library does anyway
             data = data.lower()
         raw = np.frombuffer(data, np.uint8)
@@ -90,11 +126,8 @@ class Cuts:
         if len(self.known) > CACHE_CUTS:
             self.known.clear()
         distinct = coded.dictionary.to_pylist()
-        fresh = [c for c in distinct if c not in self.known]
-        if fresh:
-            found = self.library.encode_batch_fast([c.decode() for c in fresh], add_special_tokens=False)
-            self.known.update(zip(fresh, (np.array(e.ids, np.uint32).tobytes() for e in found)))
-        parts = [self.known[c] for c in distinct]
+        self.learn([c for c in distinct if c not in self.known])
+        parts = list(map(self.known.__getitem__, distinct))
         which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         cut_before = np.searchsorted(starts, offsets)
         if end_id is not None:
@@ -119,26 +152,28 @@ def pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = Cuts.at(path)
         for batch in batches:
-            for i, data, offsets in slices(batch.column(1)):
-                ids, before = cuts.encode(data, offsets, end_id)
-                n = np.diff(before)
-                count = -(-n // length)
-                owner = np.repeat(np.arange(len(n)), count)
-                piece = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-                start = piece * length
-                size = np.minimum(n[owner] - start, length)
-                ends = np.append(0, np.cumsum(size))
-                doc_ids = batch.column(0).slice(i, len(n)).take(pa.array(owner))
-                a = 0
-                while a < len(owner):
-                    b = max(a + 1, int(np.searchsorted(ends, ends[a] + BATCH_TOKENS, "right")) - 1)
-                    own = pa.py_buffer(ids[ends[a] : ends[b]].astype("<u4").tobytes())
-                    bounds = pa.py_buffer(((ends[a : b + 1] - ends[a]) * 4).astype(np.int32))
-                    columns = [doc_ids.slice(a, b - a), pa.array(piece[a:b], pa.int32()), pa.array(start[a:b]), pa.array(size[a:b])]
-                    yield pa.RecordBatch.from_arrays(
-                        [*columns, pa.Array.from_buffers(pa.binary(), b - a, [None, bounds, own])], names=[x.split()[0] for x in PIECE.split(", ")]
-                    )
-                    a = b
+            texts = batch.column(1).cast(pa.large_string())
+            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            data = texts.buffers()[2].slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes() if offsets[-1] > offsets[0] else b""
+            ids, before = cuts.encode(data, offsets - offsets[0], end_id)
+            n = np.diff(before)
+            count = -(-n // length)
+            owner = np.repeat(np.arange(len(n)), count)
+            piece = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            start = piece * length
+            size = np.minimum(n[owner] - start, length)
+            ends = np.append(0, np.cumsum(size))
+            doc_ids = batch.column(0).take(pa.array(owner))
+            a = 0
+            while a < len(owner):
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] + BATCH_TOKENS, "right")) - 1)
+                own = pa.py_buffer(ids[ends[a] : ends[b]].astype("<u4").tobytes())
+                bounds = pa.py_buffer(((ends[a : b + 1] - ends[a]) * 4).astype(np.int32))
+                columns = [doc_ids.slice(a, b - a), pa.array(piece[a:b], pa.int32()), pa.array(start[a:b]), pa.array(size[a:b])]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.Array.from_buffers(pa.binary(), b - a, [None, bounds, own])], names=[x.split()[0] for x in PIECE.split(", ")]
+                )
+                a = b
 
     return given.mapInArrow(run, PIECE)
 

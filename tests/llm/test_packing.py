@@ -67,6 +67,14 @@ def test_cuts_encode_as_the_library_does(texts):
     assert [ids[a:b].tolist() for a, b in zip(before[:-1], before[1:])] == list(map(plain_ids, texts))
 
 
+def test_a_long_text_is_encoded_whole_in_blocks(monkeypatch):
+    monkeypatch.setattr("pitchframe.llm.packing.LONG_TEXT", 50)
+    texts = ["", "x" * 300 + " end", "the words, of a text é of " * 40 + "\n", "   " * 40]
+    data = [t.encode() for t in texts]
+    ids, before = Cuts.at(PATH).encode(b"".join(data), np.append(0, np.cumsum(list(map(len, data)))).astype(np.int64), 1)
+    assert [ids[a:b].tolist() for a, b in zip(before[:-1], before[1:])] == list(map(plain_ids, texts))
+
+
 def test_pieces_are_those_of_the_whole_text(spark):
     want = []
     for i, text, *_ in rows():
