@@ -15,11 +15,6 @@ from pitchframe.llm.common import landed
 ROW_BITS = 33  # monotonically_increasing_id holds the partition above them
 
 
-def same(names: list[str]):
-    """Equality of the names, where null equals null."""
-    return lambda a, b: [a[c].eqNullSafe(b[c]) for c in names]
-
-
 def ranked(df: DataFrame, group: list[str], order: list[str], groups: bool = False) -> DataFrame:
     """df, a narrow landed table, with place (from 0) and size of its group; nulls sort first.
 
@@ -31,14 +26,21 @@ def ranked(df: DataFrame, group: list[str], order: list[str], groups: bool = Fal
     runs = own.groupBy("part", *group).agg(F.min("row_at").alias("first"), F.count(F.lit(1)).alias("rows"))
     whole = W.partitionBy(*(group or [F.lit(0)]))
     before = whole.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    runs = runs.select("part", *group, "first", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"), F.sum("rows").over(whole).alias("size"))
+    of = [f"of_{c}" for c in group]
+    runs = runs.select(
+        F.col("part").alias("of_part"),
+        *[F.col(c).alias(o) for c, o in zip(group, of)],
+        "first",
+        F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"),
+        F.sum("rows").over(whole).alias("size"),
+    )
     more = []
     if groups:
         runs = landed(runs, "runs")
-        each = ranked(landed(runs.select(*group).distinct(), "groups"), [], group)
+        each = ranked(landed(runs.select(*[F.col(o).alias(c) for c, o in zip(group, of)]).distinct(), "groups"), [], group)
         each = each.select(*group, F.col("place").alias("group_place"), F.col("size").alias("n_groups"))
-        runs = runs.join(each, same(group)(runs, each)).select(*[runs[c] for c in runs.columns], "group_place", "n_groups")
+        runs = runs.join(each, [F.col(o).eqNullSafe(F.col(c)) for c, o in zip(group, of)]).drop(*group)
         more = ["group_place", "n_groups"]
-    found = own.join(runs, [own["part"] == runs["part"], *same(group)(own, runs)])
-    place = (own["row_at"] - runs["first"] + runs["before"]).alias("place")
-    return found.select(*[own[c] for c in df.columns], place, runs["size"], *more)
+    found = own.join(runs, [F.col("part") == F.col("of_part"), *[F.col(c).eqNullSafe(F.col(o)) for c, o in zip(group, of)]])
+    place = (F.col("row_at") - F.col("first") + F.col("before")).alias("place")
+    return found.select(*df.columns, place, "size", *more)
