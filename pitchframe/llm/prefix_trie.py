@@ -342,3 +342,39 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns, lengths = rebuilt(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     names = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
     return trie(turns, lengths).select(*names)
+
+
+OP13_SQL = r"""
+WITH b AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i,
+         md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w
+  FROM conversations WHERE conv_id IS NOT NULL),
+h AS (
+  SELECT c, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(c::VARCHAR, ''),
+           lambda x: list_transform(range(8), lambda b: (ascii(x)::BIGINT >> b) & 1)))),
+           lambda x, b: xor(x >> 1, CASE WHEN xor(x, b) & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END)), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT c FROM b)),
+t AS (
+  SELECT h.c, 0 AS part, b.i, b.k, b.w FROM h JOIN b ON b.c = h.c - h.c % 20 AND b.i < h.h
+  UNION ALL
+  SELECT h.c, 1, b.i, b.k, b.w FROM h JOIN b ON b.c = h.c AND b.i >= h.h),
+s AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, i) AS d, k, w FROM t),
+q AS MATERIALIZED (
+  SELECT c, d, w, md5(string_agg(k, '' ORDER BY d) OVER (PARTITION BY c ORDER BY d)) AS p FROM s
+  UNION ALL SELECT c, 0, 0, '' FROM h),
+n AS MATERIALIZED (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, max(w) AS w FROM q GROUP BY p, d),
+u AS MATERIALIZED (
+  SELECT n.p, n.d, n.conv_id, n.n_convs, n.w, o.p AS above, m.conv_id AS parent_conv_id
+  FROM n LEFT JOIN q o ON o.c = n.conv_id AND o.d = n.d - 1 LEFT JOIN n m ON m.p = o.p AND m.d = o.d),
+k AS (SELECT above AS p, d - 1 AS d, count(*) AS n FROM u WHERE d > 0 GROUP BY ALL),
+v AS (SELECT u.*, coalesce(k.n, 0) AS n_children FROM u LEFT JOIN k ON k.p = u.p AND k.d = u.d),
+sums AS (
+  SELECT q.p, q.d, sum(CASE WHEN v.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((v.n_convs - 1) * v.w) AS saved_tokens
+  FROM v JOIN q ON q.c = v.conv_id AND q.d <= v.d GROUP BY q.p, q.d),
+last AS (SELECT c, max(d) AS d FROM q GROUP BY c),
+ends AS (SELECT q.p, q.d, string_agg(q.c::VARCHAR, ',' ORDER BY q.c) AS ids FROM q JOIN last USING (c, d) GROUP BY q.p, q.d)
+SELECT v.conv_id, v.d::BIGINT AS depth, v.parent_conv_id, v.n_convs, v.n_children::BIGINT AS n_children, sums.n_leaves::BIGINT AS n_leaves,
+       sums.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ends.ids, '')) AS ends_sha256
+FROM v JOIN sums ON sums.p = v.p AND sums.d = v.d LEFT JOIN ends ON ends.p = v.p AND ends.d = v.d
+"""

@@ -9,7 +9,7 @@ from pitchframe.llm.media_columns import op9_media_columns
 from pitchframe.llm.merkle import OP12_SQL, op12_merkle
 from pitchframe.llm.ngram_jaccard import op1_ngram_jaccard
 from pitchframe.llm.packing import op11_packing
-from pitchframe.llm.prefix_trie import op13_prefix_trie
+from pitchframe.llm.prefix_trie import OP13_SQL, op13_prefix_trie
 from pitchframe.llm.secret_scan import op7_secret_scan
 from pitchframe.llm.source_mixing import OP10_SQL, op10_source_mixing
 from pitchframe.llm.token_counts import op6_token_counts
@@ -38,4 +38,5 @@ ORACLE_SQL = {
     "op8_warc_derivatives": OP8_SQL,
     "op10_source_mixing": OP10_SQL,
     "op12_merkle": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
