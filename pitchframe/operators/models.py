@@ -1,10 +1,12 @@
-"""Expectation and value models on pyspark.ml: features, logistic regression and boosted trees, splits, scores, surfaces.
+"""Expectation and value models: features, logistic regression and boosted trees, splits, scores, surfaces.
 
-Boosted trees are Spark's; they take the depth, rounds and rates of the models they stand for, not their exact trees."""
+Logistic regression and first-order trees are pyspark.ml's. Trees by second-order gains over histograms, with an L2 penalty
+on leaves, missing values of their own and early stopping, are in newton_trees; they take the settings of the models they
+stand for, not their exact trees."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 from pitchframe.functions.coerce import ratio
 from pitchframe.functions.pitch import GOAL_X, WIDTH
 from pitchframe.functions.stats import agreement, binary_scores, calibration, quantile_bin, quantile_edges
+from pitchframe.operators.newton_trees import NewtonTrees, TreesConfig
+from pitchframe.operators.newton_trees import fitted as newton_fitted
 from pitchframe.operators.shots_passes import SHOT_FLAGS, SHOT_LABELS, SHOT_NUMBERS, with_shot_features
 
 RARE = "infrequent"
@@ -24,7 +28,9 @@ RARE = "infrequent"
 
 @dataclass(frozen=True)
 class ModelConfig:
-    """kind: logistic or trees; inverse_penalty is that of a penalty on the summed loss."""
+    """kind: logistic, trees (first-order) or newton; inverse_penalty is that of a penalty on the summed loss.
+
+    newton has the settings of that kind; valid_share of its training rows, drawn by a hash, tell when to stop."""
 
     kind: str = "logistic"
     inverse_penalty: float = 0.5
@@ -35,12 +41,55 @@ class ModelConfig:
     subsample: float = 0.85
     centre: bool = True
     seed: int = 7
+    newton: TreesConfig = field(default_factory=TreesConfig)
+    valid_share: float = 0.0
 
 
 # Settings of the models.
 SHOT_MODELS = {"logistic": ModelConfig(), "trees": ModelConfig("trees", rounds=60)}
 PASS_MODELS = {"logistic": ModelConfig(inverse_penalty=0.7, min_frequency=30), "trees": ModelConfig("trees", min_frequency=30, rounds=60, depth=4)}
 ACTION_MODEL = ModelConfig(inverse_penalty=1.0, centre=False)
+SHOT_TREES = {
+    "depthwise": TreesConfig(rounds=450, depth=3, rate=0.035, l2=2.0, least_weight=8, row_share=0.85, column_share=0.85),
+    "leafwise": TreesConfig(rounds=500, depth=5, rate=0.03, l2=2.0, least_weight=1e-3, least_rows=40, column_share=0.85, leaves=24),
+}
+PASS_TREES = {
+    "depthwise": TreesConfig(rounds=500, depth=4, rate=0.035, l2=2.0, least_weight=10, row_share=0.85, column_share=0.85),
+    "leafwise": TreesConfig(rounds=550, depth=6, rate=0.03, l2=2.0, least_weight=1e-3, least_rows=80, column_share=0.85, leaves=31),
+}
+#: Action models by the number of training rows: below SMALL and from it on.
+SMALL = 50_000
+ACTION_TREES = {
+    "small": TreesConfig(rounds=200, depth=3, rate=0.05, l2=5.0, least_weight=10, row_share=0.8, column_share=0.8),
+    "large": TreesConfig(rounds=400, depth=5, rate=0.05, l2=2.0, least_weight=10, row_share=0.85, column_share=0.85),
+}
+
+
+def action_model(kind: str, n_train: int) -> ModelConfig:
+    """The estimator of action values by name and by the number of training rows: trees relax where there are few."""
+    name = kind.strip().lower()
+    if name in ("logistic", "logistic_regression"):
+        return ACTION_MODEL
+    if name in ("newton", "xgboost", "xgb"):
+        return ModelConfig("newton", newton=ACTION_TREES["small" if n_train < SMALL else "large"])
+    raise ValueError(f"no model is named {kind!r}")
+
+
+def shot_model(kind: str, min_frequency: int = 20) -> ModelConfig:
+    return _table_model(kind, SHOT_TREES, SHOT_MODELS["logistic"], min_frequency)
+
+
+def pass_model(kind: str, min_frequency: int = 30) -> ModelConfig:
+    return _table_model(kind, PASS_TREES, PASS_MODELS["logistic"], min_frequency)
+
+
+def _table_model(kind: str, trees: dict[str, TreesConfig], logistic: ModelConfig, min_frequency: int) -> ModelConfig:
+    name = {"xgboost": "depthwise", "xgb": "depthwise", "lightgbm": "leafwise", "lgbm": "leafwise"}.get(kind.strip().lower(), kind)
+    if name == "logistic":
+        return replace(logistic, min_frequency=min_frequency)
+    if name not in trees:
+        raise ValueError(f"no model is named {kind!r}")
+    return ModelConfig("newton", min_frequency=min_frequency, newton=trees[name])
 
 
 @dataclass
@@ -58,6 +107,43 @@ class Trained:
         return made.withColumn(out, vector_to_array("probability")[1]).select(*df.columns, out)
 
 
+@dataclass
+class TrainedTrees:
+    """Newton-boosted trees with the levels that they know. Missing numbers stay missing; a level is a column of 0 and 1."""
+
+    trees: NewtonTrees
+    numbers: list[str]
+    flags: list[str]
+    levels: dict[str, list[str]]
+    target: str
+
+    def scored(self, df: DataFrame, out: str) -> DataFrame:
+        made = tree_inputs(df, self.numbers, self.flags, self.levels)
+        return made.withColumn(out, self.trees.probability()).select(*df.columns, out)
+
+
+def tree_columns(numbers: list[str], flags: list[str], levels: dict[str, list[str]]) -> list[str]:
+    """Names of the inputs of trees."""
+    return [f"number_{c}" for c in numbers] + [f"flag_{c}" for c in flags] + [f"label_{c}={v}" for c, own in levels.items() for v in own]
+
+
+def tree_inputs(df: DataFrame, numbers: list[str], flags: list[str], levels: dict[str, list[str]]) -> DataFrame:
+    """df with the feature matrix of trees as columns."""
+    label = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("missing"))
+    values = [F.col(c).cast("double") for c in [*numbers, *flags]] + [(label(c) == v).cast("double") for c, own in levels.items() for v in own]
+    return df.withColumns(dict(zip(tree_columns(numbers, flags, levels), values)))
+
+
+def trained_trees(df: DataFrame, numbers: list[str], flags: list[str], labels: list[str], target: str, config: ModelConfig) -> TrainedTrees:
+    levels = common_levels(df, labels, config.min_frequency)
+    data = tree_inputs(df, numbers, flags, levels)
+    valid = None
+    if config.valid_share:
+        drawn = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in df.columns if c != target], F.lit(config.seed)), F.lit(1 << 20)) / float(1 << 20)
+        valid = drawn < config.valid_share
+    return TrainedTrees(newton_fitted(data, tree_columns(numbers, flags, levels), target, config.newton, valid), numbers, flags, levels, target)
+
+
 def common_levels(df: DataFrame, labels: list[str], least: int) -> dict[str, list[str]]:
     """The levels of each label with enough rows, all labels in one aggregation; names of levels reach the driver."""
     if not labels:
@@ -80,8 +166,10 @@ def ready(df: DataFrame, numbers: list[str], flags: list[str], levels: dict[str,
     )
 
 
-def trained(df: DataFrame, numbers: list[str], flags: list[str], labels: list[str], target: str, config: ModelConfig) -> Trained:
-    """Medians for missing numbers, one column a level, scaling and the estimator, fitted on df."""
+def trained(df: DataFrame, numbers: list[str], flags: list[str], labels: list[str], target: str, config: ModelConfig) -> Trained | TrainedTrees:
+    """Medians for missing numbers, one column a level, scaling and the estimator, fitted on df; trees of kind newton on the plain values."""
+    if config.kind == "newton":
+        return trained_trees(df, numbers, flags, labels, target, config)
     known = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(c).cast("double")).alias(c) for c in numbers]).first()
     numbers = [c for c in numbers if known[c]]  # a column without any value says nothing
     levels = common_levels(df, labels, config.min_frequency)
@@ -150,8 +238,11 @@ def compared(split: DataFrame, numbers: list[str], flags: list[str], labels: lis
     return best, models, rows
 
 
-def coefficients(model: Trained) -> DataFrame:
+def coefficients(model: Trained | TrainedTrees) -> DataFrame:
     """feature, weight of a linear model or importance of a tree model, the largest first."""
+    if isinstance(model, TrainedTrees):
+        df = SparkSession.active().createDataFrame(list(model.trees.importance().items()), "feature string, weight double")
+        return df.orderBy(F.desc("weight"), "feature")
     last = model.pipeline.stages[-1]
     names = [f"number_{c}" for c in model.numbers] + [f"flag_{c}" for c in model.flags]
     weights = (last.coefficients if hasattr(last, "coefficients") else last.featureImportances).toArray()

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from pitchframe.functions import stats as S
 from pitchframe.operators import models as M
 from pitchframe.operators import report as R
 from pitchframe.operators import shots_passes as P
+from pitchframe.operators.newton_trees import TreesConfig
+from pitchframe.operators.newton_trees import fitted as newton_fitted
 from pitchframe.plans.surrogates import Registry, passes, shots
 
 registry = Registry()
@@ -208,6 +212,38 @@ def shot_model_trees(spark, sf_dir):
     return M.evaluated(out, "goal", "xg").withColumnRenamed("rows", "rows_n")
 
 
+@query("shot_model_newton", "split rows_n positives", "expected log_loss brier auc")
+def shot_model_newton(spark, sf_dir):
+    own = P.with_shot_features(P.with_set_piece_flags(shots(spark, sf_dir)))
+    split = M.season_split(own, ["s0", "s1"], ["s2"])
+    numbers = ["shot_x", "abs_shot_y", "distance_to_goal", "shot_angle", "duration"]
+    config = replace(M.shot_model("xgboost"), newton=replace(M.SHOT_TREES["depthwise"], rounds=40, rate=0.1, patience=5), valid_share=0.2)
+    _, out = M.train_and_score(split, numbers, ["is_header", "in_box", "is_set_piece_start"], ["start_type"], "goal", config, "xg")
+    return M.evaluated(out, "goal", "xg").withColumnRenamed("rows", "rows_n")
+
+
+NEWTON_EDGES = list(range(0, 60))
+
+
+@query("newton_first_split", "feature", "threshold gain left_value right_value", "shots",
+       """f AS (SELECT floor(shot_x) AS sx, floor(abs(shot_y)) AS sy, coalesce(goal, false)::INT AS y FROM shots),
+       p AS (SELECT avg(y) AS p FROM f),
+       v AS (SELECT unnest([struct_pack(f := 'sx', x := sx), struct_pack(f := 'sy', x := sy)], recursive := true), p.p - y AS g, p.p * (1 - p.p) AS h FROM f, p),
+       t AS (SELECT f, sum(g) AS tg, sum(h) AS th FROM v GROUP BY f),
+       c AS (SELECT v.f, e.e, sum(g) AS lg, sum(h) AS lh FROM v, (SELECT unnest(range(0, 60)) AS e) e WHERE v.x <= e.e GROUP BY v.f, e.e),
+       s AS (SELECT c.f AS feature, e AS threshold, lg ** 2 / (lh + 2) + (tg - lg) ** 2 / (th - lh + 2) - tg ** 2 / (th + 2) AS gain,
+             -0.5 * lg / (lh + 2) AS left_value, -0.5 * (tg - lg) / (th - lh + 2) AS right_value
+             FROM c JOIN t ON t.f = c.f WHERE lh >= 8 AND th - lh >= 8)""",
+       "(SELECT * FROM s ORDER BY round(gain, 9) DESC, feature, threshold LIMIT 1)")
+def newton_first_split(spark, sf_dir):
+    own = shots(spark, sf_dir).select(F.floor("shot_x").alias("sx"), F.floor(F.abs("shot_y")).alias("sy"), F.coalesce("goal", F.lit(False)).alias("y"))
+    model = newton_fitted(own, ["sx", "sy"], "y", TreesConfig(rounds=1, depth=1, rate=0.5, l2=2.0, least_weight=8), edges=[NEWTON_EDGES, NEWTON_EDGES])
+    nodes = model.table(spark)
+    side = lambda n: F.max(F.when(F.col("node") == n, F.col("value")))
+    row = nodes.agg(F.max("feature").alias("feature"), F.max("threshold").alias("threshold"), F.max("gain").alias("gain"), side(1).alias("left_value"), side(2).alias("right_value"))
+    return row.filter("feature is not null")
+
+
 @query("shot_model_coefficients", "feature", "weight")
 def shot_model_coefficients(spark, sf_dir):
     model, _ = _shot_model(spark, sf_dir, "logistic")

@@ -31,7 +31,9 @@ class Run:
     def write(self, path: str, kind: str = "parquet") -> dict[str, int]:
         """All tables below path with a manifest of their rows; pipelines and surfaces beside them."""
         for name, model in self.models.items():
-            if isinstance(model, M.Trained):
+            if isinstance(model, M.TrainedTrees):
+                model.trees.table(next(iter(self.tables.values())).sparkSession).write.mode("overwrite").parquet(f"{path}/models/{name}")
+            elif isinstance(model, M.Trained):
                 model.pipeline.write().overwrite().save(f"{path}/models/{name}")
             elif isinstance(model, T.Surface):
                 sinks.save_surface(next(iter(self.tables.values())).sparkSession, model, f"{path}/models/{name}")
@@ -74,11 +76,15 @@ def pass_run(passes: DataFrame, train: list[str], test: list[str], configs: dict
     )
 
 
-def value_run(actions: DataFrame, tie: list[str], test_matches: int = 8, directory: DataFrame | None = None, config: M.ModelConfig = M.ACTION_MODEL, states: int = V.STATES) -> Run:
-    """Action values: score and labels, two heads fitted on all but the last matches, values and ratings of players."""
+def value_run(actions: DataFrame, tie: list[str], test_matches: int = 8, directory: DataFrame | None = None, config: M.ModelConfig | str = M.ACTION_MODEL, states: int = V.STATES) -> Run:
+    """Action values: score and labels, two heads fitted on all but the last matches, values and ratings of players.
+
+    config: a model, or the name of one that is then chosen by the number of training rows."""
     ordered = V.with_labels(V.with_score(actions, tie))
     split = M.last_matches_split(ordered, test_matches)
     keys = ["match_id", "action_id"]
+    if isinstance(config, str):
+        config = M.action_model(config, split.filter("split = 'train'").count())
     models, scored = M.two_heads(V.with_state_features(ordered, states), split.select(*keys, "scores", "concedes", "split"), keys, config)
     valued = V.with_values(ordered.drop("split", "scores", "concedes", "p_scores", "p_concedes").join(scored, keys))
     metrics = M.evaluated(scored, "scores", "p_scores").withColumn("head", F.lit("scores")).unionByName(M.evaluated(scored, "concedes", "p_concedes").withColumn("head", F.lit("concedes")))
