@@ -1,19 +1,20 @@
 """Tracking: canonical frames, live play, gap segments, resampling, velocity estimators and kinematics.
 
-All windows are by match, player and period. Estimators that need more than a window of rows (filters with memory) run
-in applyInPandas by segment group; the default one is a window sum."""
+All windows are by match, player and period. Estimators are window expressions too: the default one a sum, the polynomial
+fit a weighted sum whose weights depend on the distance to a segment's ends, filters with memory linear recurrences."""
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitchframe.functions.coerce import flag, has, number, number_or_null, ratio, renamed_by_alias
+from pitchframe.operators.recurrences import scanned
 
 EPS = 1e-9
 KMH = 1 / 3.6
@@ -204,20 +205,36 @@ def savgol_weights(window: int, order: int, at: int) -> np.ndarray:
     return np.linalg.pinv(np.vander(x, order + 1, increasing=True))[1]
 
 
-def savgol_velocity(values: np.ndarray, window: int, order: int, dt: float) -> np.ndarray:
-    """Derivative of the fitted polynomial; the first and last windows are fitted once and read at each of their samples."""
-    n = len(values)
-    window = min(window, n if n % 2 else n - 1)
-    if n < 2:
-        return np.full(n, np.nan)
-    if window <= order:
-        return np.gradient(values, dt)
-    half = window // 2
-    out = np.convolve(values, savgol_weights(window, order, half)[::-1], "same")
-    for i in [*range(half), *range(n - half, n)]:
-        start = 0 if i < half else n - window
-        out[i] = savgol_weights(window, order, i - start) @ values[start : start + window]
-    return out / dt
+def savgol_table(window: int, order: int) -> list[list[float]]:
+    """For each odd size of a window up to `window`, and each sample in it, the weights of the samples around: 2 * window - 1 of them.
+
+    Row (size - 1) / 2 * window + place; sizes that fit no polynomial have zeros."""
+    table = []
+    for size in range(1, window + 1, 2):
+        for place in range(window):
+            row = np.zeros(2 * window - 1)
+            if order < size and place < size:
+                row[window - 1 - place : window - 1 - place + size] = savgol_weights(size, order, place)
+            table.append(row.tolist())
+    return table
+
+
+def savgol_velocity(column: str, window: int, order: int, dt: float) -> Column:
+    """Derivative of the polynomial fitted to the window around a row; the first and last windows of a segment serve all their rows.
+
+    A segment shorter than the window is fitted by its longest odd part; one that fits no polynomial has centred differences."""
+    w = W.partitionBy(*SEGMENT).orderBy("timestamp")
+    n, at = F.count(F.lit(1)).over(W.partitionBy(*SEGMENT)), F.row_number().over(w) - 1
+    size = F.least(F.lit(window), n - 1 + n % 2)
+    half = F.floor(size / 2)
+    place = at - F.greatest(F.lit(0), F.least(at - half, n - size))
+    near = [F.lead(column, k).over(w) if k >= 0 else F.lag(column, -k).over(w) for k in range(1 - window, window)]
+    dot = lambda weights: sum((F.coalesce(v * c, F.lit(0.0)) for v, c in zip(near, weights)), F.lit(0.0))
+    inner = [F.lit(float(v)) for v in savgol_table(window, order)[(window - 1) // 2 * window + window // 2]]
+    row = F.element_at(F.from_json(F.lit(json.dumps(savgol_table(window, order))), "array<array<double>>"), ((size - 1) / 2 * window + place + 1).cast("int"))
+    edge = [F.element_at(row, k + 1) for k in range(2 * window - 1)]
+    middle = (size == window) & (place == window // 2)
+    return F.when(size <= order, central_gradient(column, dt)).when(middle, dot(inner) / dt).otherwise(dot(edge) / dt)
 
 
 def low_pass(order: int, cutoff: float, hz: float) -> tuple[np.ndarray, np.ndarray]:
@@ -230,24 +247,51 @@ def low_pass(order: int, cutoff: float, hz: float) -> tuple[np.ndarray, np.ndarr
     return b * a.sum() / b.sum(), a
 
 
-def _filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """One pass of the filter, begun in the steady state of its first value."""
-    n = len(a)
-    steady = np.linalg.solve(np.eye(n - 1) - np.column_stack([-a[1:], np.eye(n - 1)[:, :-1]]), b[1:] - a[1:] * b[0])
-    z, out = steady * x[0], np.empty_like(x)
-    for i, v in enumerate(x):
-        out[i] = b[0] * v + z[0]
-        z = np.append(z[1:], 0.0) + b[1:] * v - a[1:] * out[i]
-    return out
+def direct_form(b: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The filter's memory as a recurrence: its matrix, what an input adds, and the steady memory of a constant input 1."""
+    n = len(a) - 1
+    matrix = np.column_stack([-a[1:], np.eye(n)[:, : n - 1]])
+    added = b[1:] - a[1:] * b[0]
+    return matrix, added, np.linalg.solve(np.eye(n) - matrix, added)
 
 
-def zero_phase(values: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Forward and backward, over an odd reflection at both ends; series too short for it stay raw."""
+def _filtered(rows: DataFrame, b: np.ndarray, a: np.ndarray, columns: list[str], at: str) -> DataFrame:
+    """One pass of the filter over columns in the order of at (from 0), begun in the steady state of the first value."""
+    matrix, added, steady = direct_form(b, a)
+    first = matrix @ steady
+    inputs = {
+        f"__z_{c}": [F.col(c) * F.when(F.col(at) == 0, float(added[j] + first[j])).otherwise(float(added[j])) for j in range(len(added))] for c in columns
+    }
+    rows = scanned(rows, matrix, inputs, SEGMENT, at)
+    w = W.partitionBy(*SEGMENT).orderBy(at)
+    out = {c: float(b[0]) * F.col(c) + F.coalesce(F.lag(f"__z_{c}_0").over(w), float(steady[0]) * F.col(c)) for c in columns}
+    return rows.withColumns(out).drop(*[f"__z_{c}_{j}" for c in columns for j in range(len(added))])
+
+
+def zero_phase(frame: DataFrame, b: np.ndarray, a: np.ndarray) -> DataFrame:
+    """__sx and __sy: positions filtered forward and backward, over an odd reflection at both ends of a segment.
+
+    Segments too short for the reflection stay raw. Reflected rows are copies of the rows near an end."""
     pad = 3 * max(len(a), len(b))
-    if len(values) <= pad:
-        return values
-    wide = np.concatenate([2 * values[0] - values[pad:0:-1], values, 2 * values[-1] - values[-2 : -pad - 2 : -1]])
-    return _filtered(b, a, _filtered(b, a, wide)[::-1])[::-1][pad:-pad]
+    w, whole = W.partitionBy(*SEGMENT).orderBy("timestamp"), W.partitionBy(*SEGMENT)
+    ends = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = frame.withColumns({"__at": F.row_number().over(w) - 1, "__n": F.count(F.lit(1)).over(whole)})
+    rows = rows.withColumns({f"__{side}_{c}": f(c).over(ends) for c in "xy" for side, f in (("first", F.first), ("last", F.last))})
+    own = lambda place, side: F.struct(place.alias("place"), F.lit(side).alias("side"))
+    at, n = F.col("__at"), F.col("__n")
+    places = F.array(
+        own(at, "own"),
+        F.when((n > pad) & at.between(1, pad), own(-at, "first")),
+        F.when((n > pad) & at.between(n - 1 - pad, n - 2), own(2 * (n - 1) - at, "last")),
+    )
+    rows = rows.withColumn("__p", F.explode(F.filter(places, lambda p: p.isNotNull())))
+    mirrored = lambda c: F.when(F.col("__p.side") == "own", F.col(c)).when(F.col("__p.side") == "first", 2 * F.col(f"__first_{c}") - F.col(c)).otherwise(2 * F.col(f"__last_{c}") - F.col(c))
+    rows = rows.withColumns({"__sx": mirrored("x"), "__sy": mirrored("y"), "__ahead": F.col("__p.place") + F.when(n > pad, pad).otherwise(0)})
+    rows = rows.withColumn("__back", F.when(n > pad, n - 1 + 2 * pad).otherwise(n - 1) - F.col("__ahead"))
+    for order in ("__ahead", "__back"):
+        rows = _filtered(rows, b, a, ["__sx", "__sy"], order)
+    rows = rows.filter("__p.side = 'own'").withColumns({f"__s{c}": F.when(n > pad, F.col(f"__s{c}")).otherwise(F.col(c)) for c in "xy"})
+    return rows.drop("__at", "__n", "__p", "__ahead", "__back", *[f"__{side}_{c}" for c in "xy" for side in ("first", "last")])
 
 
 def steady_gains(dt: float, position_sigma: float, accel_sigma: float, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
@@ -263,44 +307,35 @@ def steady_gains(dt: float, position_sigma: float, accel_sigma: float, rounds: i
     return gain, spread @ move.T @ np.linalg.inv(move @ spread @ move.T + noise)
 
 
-def kalman_velocity(values: np.ndarray, dt: float, gain: np.ndarray, back: np.ndarray) -> np.ndarray:
-    """Filtered forward, smoothed backward; the velocities."""
-    if len(values) < 2:
-        return np.full(len(values), np.nan)
+def kalman_velocity(frame: DataFrame, dt: float, gain: np.ndarray, back: np.ndarray) -> DataFrame:
+    """vx and vy of a constant-velocity filter run forward and its smoother run backward over each segment; null alone."""
     move = np.array([[1.0, dt], [0.0, 1.0]])
-    states = np.zeros((len(values), 2))
-    states[0, 0] = values[0]
-    for i in range(1, len(values)):
-        ahead = move @ states[i - 1]
-        states[i] = ahead + gain * (values[i] - ahead[0])
-    for i in range(len(values) - 2, -1, -1):
-        states[i] += back @ (states[i + 1] - move @ states[i])
-    return states[:, 1]
+    w = W.partitionBy(*SEGMENT).orderBy("timestamp")
+    rows = frame.withColumns({"__ahead": F.row_number().over(w) - 1, "__n": F.count(F.lit(1)).over(W.partitionBy(*SEGMENT))})
+    rows = rows.withColumn("__back", F.col("__n") - 1 - F.col("__ahead"))
+    first, last = F.col("__ahead") == 0, F.col("__back") == 0
+    seen = {f"__f{c}": [F.when(first, F.col(c)).otherwise(F.col(c) * float(gain[0])), F.when(first, 0.0).otherwise(F.col(c) * float(gain[1]))] for c in "xy"}
+    rows = scanned(rows, move - np.outer(gain, move[0]), seen, SEGMENT, "__ahead")
+    keep = np.eye(2) - back @ move
+    state = lambda c, j: F.col(f"__f{c}_{j}")
+    kept = {f"__b{c}": [F.when(last, state(c, j)).otherwise(state(c, 0) * float(keep[j, 0]) + state(c, 1) * float(keep[j, 1])) for j in (0, 1)] for c in "xy"}
+    rows = scanned(rows, back, kept, SEGMENT, "__back")
+    rows = rows.withColumns({f"v{c}": F.when(F.col("__n") > 1, F.col(f"__b{c}_1")) for c in "xy"})
+    return rows.drop("__ahead", "__back", "__n", *[f"__{k}{c}_{j}" for k in "fb" for c in "xy" for j in (0, 1)])
 
 
 def _velocities(frame: DataFrame, config: TrackingConfig) -> DataFrame:
-    """vx and vy by an estimator that works on positions, a track at a time, its segments apart."""
-    b, a = low_pass(config.butter_order, config.butter_cutoff_hz, config.sample_hz)
-    gain, back = steady_gains(config.dt, config.kalman_position_sigma_m, config.kalman_accel_sigma_mps2)
-    dt, window, order, kind = config.dt, config.samples(config.savgol_window_seconds), config.savgol_polyorder, config.estimator
-
-    def of(values: np.ndarray) -> np.ndarray:
-        if kind == "savgol":
-            return savgol_velocity(values, window, order, dt)
-        if kind == "kalman":
-            return kalman_velocity(values, dt, gain, back)
-        if kind == "butter":
-            values = zero_phase(values, b, a)
-        return np.gradient(values, dt) if len(values) > 1 else np.full(len(values), np.nan)
-
-    def track(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("timestamp").reset_index(drop=True)
-        for axis in "xy":
-            rows[f"v{axis}"] = rows.groupby("segment_id")[axis].transform(lambda s: of(s.to_numpy(float)))
-        return rows
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
-    return frame.groupBy(*TRACK).applyInPandas(track, f"{kinds}, vx double, vy double")
+    """vx and vy by an estimator that works on positions, each segment by itself."""
+    dt, kind = config.dt, config.estimator
+    if kind == "savgol":
+        window = config.samples(config.savgol_window_seconds)
+        return frame.withColumns({f"v{c}": savgol_velocity(c, window, config.savgol_polyorder, dt) for c in "xy"})
+    if kind == "kalman":
+        return kalman_velocity(frame, dt, *steady_gains(dt, config.kalman_position_sigma_m, config.kalman_accel_sigma_mps2))
+    if kind == "butter":
+        rows = zero_phase(frame, *low_pass(config.butter_order, config.butter_cutoff_hz, config.sample_hz))
+        return rows.withColumns({f"v{c}": central_gradient(f"__s{c}", dt) for c in "xy"}).drop("__sx", "__sy")
+    return frame.withColumns({f"v{c}": central_gradient(c, dt) for c in "xy"})
 
 
 def with_kinematics(frame: DataFrame, config: TrackingConfig = TrackingConfig()) -> DataFrame:
@@ -318,7 +353,6 @@ def with_kinematics(frame: DataFrame, config: TrackingConfig = TrackingConfig())
         out = out.withColumns({"vx": null, "vy": null, "raw_speed_mps": trailing_speed(max(1, round(config.speed_window_seconds * config.sample_hz)))})
     else:
         out = _velocities(out, config).withColumn("raw_speed_mps", F.hypot("vx", "vy"))
-        out = out.withColumn("raw_speed_mps", F.when(~F.isnan("raw_speed_mps"), F.col("raw_speed_mps")))
     fast = F.coalesce(F.col("raw_speed_mps") > config.max_speed_kmh * KMH, F.lit(False))
     out = out.withColumns({"capped_speed": fast, "speed_mps": F.when(~fast, F.col("raw_speed_mps"))})
     out = out.withColumn("__smooth", moving_average("speed_mps", config.samples(config.accel_smooth_window_seconds)) if config.accel_smooth_window_seconds else F.col("speed_mps"))

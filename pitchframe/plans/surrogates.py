@@ -168,10 +168,10 @@ class Registry:
     queries: dict[str, Callable[[SparkSession, str], DataFrame]] = field(default_factory=dict)
     sql: dict[str, str] = field(default_factory=dict)
 
-    def add(self, name: str, plain: str, numbers: str = "", uses: str = "", ctes: str = "", rows: str | None = None):
+    def add(self, name: str, plain: str, numbers: str = "", uses: str = "", ctes: str = "", rows: str | None = None, recursive: bool = False):
         """plain and numbers: output columns; numbers are rounded to six places on both sides.
 
-        uses: surrogate tables of the SQL; ctes: further ones; rows: what follows FROM (None: no SQL)."""
+        uses: surrogate tables of the SQL; ctes: further ones; rows: what follows FROM (None: no SQL); recursive: whether a CTE reads itself."""
 
         def register(make: Callable[[SparkSession, str], DataFrame]):
             a, b = plain.split(), numbers.split()
@@ -188,7 +188,7 @@ class Registry:
                 needed = [f"{t} AS ({CTES[t]})" for t in uses.split()]
                 head = ",\n".join([*needed, *([ctes] if ctes else [])])
                 out = ", ".join([*a, *[f"round({c}::DOUBLE, 6) + 0e0 AS {c}" for c in b]])
-                self.sql[name] = (f"WITH {head}\n" if head else "") + f"SELECT {out} FROM {rows}"
+                self.sql[name] = (f"WITH {'RECURSIVE ' * recursive}{head}\n" if head else "") + f"SELECT {out} FROM {rows}"
             return make
 
         return register

@@ -135,6 +135,94 @@ def explosive_efforts(spark, sf_dir):
     return X.explosive_efforts(kinematics(spark, sf_dir, config), config)
 
 
+#: Rows of segments by their place i (from 1) of n.
+PLACED = SEGMENTS + """,
+r AS (SELECT match_id, player_id, segment_id, frame_id, x, y, row_number() OVER (PARTITION BY match_id, player_id, segment_id ORDER BY timestamp) AS i,
+count(*) OVER (PARTITION BY match_id, player_id, segment_id) AS n FROM g)"""
+SAME = "r.match_id = q.match_id AND r.player_id = q.player_id AND r.segment_id = q.segment_id"
+KEYS = "match_id, player_id, segment_id"
+
+
+def slope(c: str) -> str:
+    """SQL of the derivative of the parabola through the m = 2h + 1 values l (places -h to h) at place j; centred differences below three."""
+    k = "list_sum(list_transform(l{c}, lambda v, i: {f} * v))"
+    s1, s0, s2 = (k.format(c=c, f=f) for f in ("(i - 1 - h)", "1", "(i - 1 - h) ** 2"))
+    curve = f"(m * {s2} - q2 * {s0}) / (m * q4 - q2 * q2)"
+    return f"CASE WHEN m < 3 THEN d{c} ELSE ({s1} / q2 + 2 * j * {curve}) / 0.1e0 END AS v{c}"
+
+
+@query("track_velocity_savgol", "match_id player_id frame_id", "vx vy", "track_base track_step tracks", PLACED + f""",
+       z AS (SELECT {KEYS}, list(x ORDER BY i) AS xs, list(y ORDER BY i) AS ys FROM r GROUP BY ALL),
+       w AS (SELECT r.*, least(7, n - 1 + n % 2) AS m FROM r),
+       o AS (SELECT *, m // 2 AS h, least(greatest(i - 1 - m // 2, 0), n - m) AS first FROM w),
+       fit AS (SELECT o.*, i - 1 - first - h AS j, list_slice(xs, first + 1, first + m) AS lx, list_slice(ys, first + 1, first + m) AS ly,
+             h * (h + 1) * (2 * h + 1) / 3e0 AS q2, h * (h + 1) * (2 * h + 1) * (3 * h * h + 3 * h - 1) / 15e0 AS q4,
+             CASE WHEN n > 1 THEN (list_extract(xs, least(i + 1, n)) - list_extract(xs, greatest(i - 1, 1))) / (0.1e0 * (least(i + 1, n) - greatest(i - 1, 1))) END AS dx,
+             CASE WHEN n > 1 THEN (list_extract(ys, least(i + 1, n)) - list_extract(ys, greatest(i - 1, 1))) / (0.1e0 * (least(i + 1, n) - greatest(i - 1, 1))) END AS dy
+             FROM o JOIN z USING ({KEYS}))""",
+       f"(SELECT match_id, player_id, frame_id, {slope('x')}, {slope('y')} FROM fit)")
+def track_velocity_savgol(spark, sf_dir):
+    return kinematics(spark, sf_dir, replace(CONFIG, estimator="savgol"))
+
+
+def filtered(c: str, u: str) -> str:
+    """SQL of one step of the second-order low-pass with memory (z1, z2) on input u."""
+    y = f"(b0 * {u} + q.{c}1)"
+    return f"{y} AS {c}, b1 * {u} - a1 * {y} + q.{c}2 AS {c}1, b2 * {u} - a2 * {y} AS {c}2"
+
+
+def begun(c: str, u: str) -> str:
+    """The same at the first input: the filter rests at it."""
+    return f"{u} AS {c}, (b1 - a1 + b2 - a2) * {u} AS {c}1, (b2 - a2) * {u} AS {c}2"
+
+
+@query("track_velocity_butter", "match_id player_id frame_id", "vx vy", "track_base track_step tracks", PLACED + f""",
+       k AS (SELECT tan(pi() * 1.0e0 / 10) AS k), c AS (SELECT k * k / (1 + sqrt(2) * k + k * k) AS b0, 2 * k * k / (1 + sqrt(2) * k + k * k) AS b1, k * k / (1 + sqrt(2) * k + k * k) AS b2,
+             2 * (k * k - 1) / (1 + sqrt(2) * k + k * k) AS a1, (1 - sqrt(2) * k + k * k) / (1 + sqrt(2) * k + k * k) AS a2 FROM k),
+       z AS (SELECT {KEYS}, max(n) AS n, list(x ORDER BY i) AS xs, list(y ORDER BY i) AS ys FROM r WHERE n > 9 GROUP BY {KEYS}),
+       j AS (SELECT *, unnest(range(0, n + 18)) AS j FROM z),
+       e AS MATERIALIZED (SELECT {KEYS}, n, j,
+             CASE WHEN j < 9 THEN 2 * xs[1] - xs[10 - j] WHEN j < n + 9 THEN xs[j - 8] ELSE 2 * xs[n] - xs[2 * n + 8 - j] END AS x,
+             CASE WHEN j < 9 THEN 2 * ys[1] - ys[10 - j] WHEN j < n + 9 THEN ys[j - 8] ELSE 2 * ys[n] - ys[2 * n + 8 - j] END AS y FROM j),
+       f AS (SELECT {KEYS}, n, j, {begun('fx', 'x')}, {begun('fy', 'y')} FROM e, c WHERE j = 0
+             UNION ALL SELECT r.match_id, r.player_id, r.segment_id, r.n, r.j, {filtered('fx', 'r.x')}, {filtered('fy', 'r.y')} FROM f q JOIN e r ON {SAME} AND r.j = q.j + 1, c),
+       fm AS MATERIALIZED (SELECT * FROM f),
+       b AS (SELECT {KEYS}, n, j, {begun('bx', 'fx')}, {begun('by', 'fy')} FROM fm, c WHERE j = n + 17
+             UNION ALL SELECT r.match_id, r.player_id, r.segment_id, r.n, r.j, {filtered('bx', 'r.fx')}, {filtered('by', 'r.fy')} FROM b q JOIN fm r ON {SAME} AND r.j = q.j - 1, c),
+       s AS (SELECT r.*, coalesce(b.bx, r.x) AS sx, coalesce(b.by, r.y) AS sy FROM r LEFT JOIN b ON r.match_id = b.match_id AND r.player_id = b.player_id AND r.segment_id = b.segment_id AND b.j = r.i + 8),
+       v AS (SELECT *, 0.1e0 * (least(i + 1, n) - greatest(i - 1, 1)) AS t, coalesce(lead(sx) OVER w, sx) - coalesce(lag(sx) OVER w, sx) AS ex, coalesce(lead(sy) OVER w, sy) - coalesce(lag(sy) OVER w, sy) AS ey
+             FROM s WINDOW w AS (PARTITION BY {KEYS} ORDER BY i))""",
+       "(SELECT match_id, player_id, frame_id, CASE WHEN n > 1 THEN ex / t END AS vx, CASE WHEN n > 1 THEN ey / t END AS vy FROM v)", recursive=True)
+def track_velocity_butter(spark, sf_dir):
+    return kinematics(spark, sf_dir, replace(CONFIG, estimator="butter"))
+
+
+def corrected(c: str) -> str:
+    return f"q.p{c} + 0.1e0 * q.v{c} + g0 * (r.{c} - q.p{c} - 0.1e0 * q.v{c}) AS p{c}, q.v{c} + g1 * (r.{c} - q.p{c} - 0.1e0 * q.v{c}) AS v{c}"
+
+
+def smoothed(c: str) -> str:
+    p, v = f"(q.s{c} - r.p{c} - 0.1e0 * r.v{c})", f"(q.w{c} - r.v{c})"
+    return f"r.p{c} + r00 * {p} + r01 * {v} AS s{c}, r.v{c} + r10 * {p} + r11 * {v} AS w{c}"
+
+
+@query("track_velocity_kalman", "match_id player_id frame_id", "vx vy", "track_base track_step tracks", PLACED + f""",
+       p AS (SELECT 0 AS t, 1e0 AS p00, 0e0 AS p01, 1e0 AS p11, 0e0 AS g0, 0e0 AS g1
+             UNION ALL SELECT t + 1, a00 - h0 * a00, a01 - h0 * a01, a11 - h1 * a01, h0, h1 FROM (SELECT *, a00 / (a00 + 0.15e0 ** 2) AS h0, a01 / (a00 + 0.15e0 ** 2) AS h1
+             FROM (SELECT t, p00 + 0.2e0 * p01 + 0.01e0 * p11 + 9e0 * 0.0001e0 / 4 AS a00, p01 + 0.1e0 * p11 + 9e0 * 0.001e0 / 2 AS a01, p11 + 9e0 * 0.01e0 AS a11 FROM p WHERE t < 400))),
+       o AS (SELECT *, p00 + 0.2e0 * p01 + 0.01e0 * p11 + 9e0 * 0.0001e0 / 4 AS a00, p01 + 0.1e0 * p11 + 9e0 * 0.001e0 / 2 AS a01, p11 + 9e0 * 0.01e0 AS a11 FROM p WHERE t = 400),
+       c AS (SELECT g0, g1, ((p00 + 0.1e0 * p01) * a11 - p01 * a01) / (a00 * a11 - a01 * a01) AS r00, (-(p00 + 0.1e0 * p01) * a01 + p01 * a00) / (a00 * a11 - a01 * a01) AS r01,
+             ((p01 + 0.1e0 * p11) * a11 - p11 * a01) / (a00 * a11 - a01 * a01) AS r10, (-(p01 + 0.1e0 * p11) * a01 + p11 * a00) / (a00 * a11 - a01 * a01) AS r11 FROM o),
+       f AS (SELECT {KEYS}, frame_id, i, n, x AS px, 0e0 AS vx, y AS py, 0e0 AS vy FROM r WHERE i = 1
+             UNION ALL SELECT r.match_id, r.player_id, r.segment_id, r.frame_id, r.i, r.n, {corrected('x')}, {corrected('y')} FROM f q JOIN r ON {SAME} AND r.i = q.i + 1, c),
+       fm AS MATERIALIZED (SELECT * FROM f),
+       b AS (SELECT {KEYS}, frame_id, i, n, px AS sx, vx AS wx, py AS sy, vy AS wy FROM fm WHERE i = n
+             UNION ALL SELECT r.match_id, r.player_id, r.segment_id, r.frame_id, r.i, r.n, {smoothed('x')}, {smoothed('y')} FROM b q JOIN fm r ON {SAME} AND r.i = q.i - 1, c)""",
+       "(SELECT match_id, player_id, frame_id, CASE WHEN n > 1 THEN wx END AS vx, CASE WHEN n > 1 THEN wy END AS vy FROM b)", recursive=True)
+def track_velocity_kalman(spark, sf_dir):
+    return kinematics(spark, sf_dir, replace(CONFIG, estimator="kalman"))
+
+
 @query("estimator_sensitivity", "estimator n", "mean_speed mean_absolute_acceleration")
 def estimator_sensitivity(spark, sf_dir):
     out = None

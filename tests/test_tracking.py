@@ -166,9 +166,11 @@ def test_estimators_find_a_constant_speed(spark, estimator):
     assert len(middle) > 50 and np.allclose(middle, 5.0, atol=1e-2)
 
 
-def test_polynomial_derivative_is_exact_for_its_degree():
-    t = np.arange(20) * 0.1
-    assert np.allclose(T.savgol_velocity(3 * t**2 - t, 7, 2, 0.1), 6 * t - 1)
+def test_polynomial_derivative_is_exact_for_its_degree(spark):
+    rows = [("m", "a", 1, 1, float(i) / 10, 3 * (i / 10) ** 2 - i / 10, 0.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "match_id string, player_id string, period_id int, segment_id long, timestamp double, x double, y double")
+    found = [r["v"] for r in df.withColumn("v", T.savgol_velocity("x", 7, 2, 0.1)).orderBy("timestamp").collect()]
+    assert np.allclose(found, 6 * np.arange(20) * 0.1 - 1)
     b, a = T.low_pass(2, 1.0, 10.0)
     assert b.sum() / a.sum() == pytest.approx(1.0)
 
