@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pitchframe.functions.coerce import has, ratio, ratio_or_zero
 from pitchframe.functions.pitch import cell
+from pitchframe.functions.shared import landed
 
 COLUMNS, ROWS = 16, 12
 EPSILON, MOST_ROUNDS = 1e-5, 200
@@ -124,6 +125,50 @@ def fitted(actions: DataFrame, columns: int = COLUMNS, rows: int = ROWS, epsilon
     return Surface(columns, rows, values.tolist(), k, history=history)
 
 
+def model_grid(actions: DataFrame, columns: int = COLUMNS, rows: int = ROWS) -> DataFrame:
+    """One row: gain and stay of each cell, and the moves of each cell as (to, p). Its size is the grid's, whatever the actions'."""
+    n = columns * rows
+    cells = actions.sparkSession.range(n).select(F.col("id").cast("int").alias("cell"))
+    chances = cell_probabilities(actions, columns, rows)
+    moved = transitions(actions, columns, rows).groupBy("start_cell").agg(F.array_sort(F.collect_list(F.struct(F.col("end_cell").alias("to"), "p"))).alias("onward"))
+    own = cells.join(chances, "cell", "left").join(moved.withColumnRenamed("start_cell", "cell"), "cell", "left")
+    none = F.array().cast("array<struct<to:int,p:double>>")
+    row = F.struct(
+        "cell", F.coalesce(F.col("p_goal") * F.col("p_shot"), F.lit(0.0)).alias("gain"), F.coalesce("p_move", F.lit(0.0)).alias("stay"),
+        F.coalesce(F.col("onward").cast("array<struct<to:int,p:double>>"), none).alias("moves"),
+    )
+    return own.agg(F.array_sort(F.collect_list(row)).alias("cells"))
+
+
+def iterations(actions: DataFrame, columns: int = COLUMNS, rows: int = ROWS, epsilon: float = EPSILON, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """Every round of the value iteration: round (from 1), cell, value, change (the largest of the round).
+
+    A recursive query: a round is one row that holds all cells, and the recursion ends with the first round whose change
+    is epsilon or less. Nothing of it passes the driver."""
+    grid = landed(model_grid(actions, columns, rows), "threat-grid")  # else each round would count the actions again
+    steps = actions.sparkSession.sql(
+        f"""
+        WITH RECURSIVE steps(round, value, change) MAX RECURSION LEVEL {most_rounds + 1} AS (
+          SELECT 0, array_repeat(0D, {columns * rows}), CAST('Infinity' AS DOUBLE)
+          UNION ALL
+          SELECT round + 1, new, array_max(zip_with(new, value, (a, b) -> abs(a - b)))
+          FROM (SELECT round, value, transform(cells, c -> c.gain + c.stay * aggregate(c.moves, 0D, (sum, m) -> sum + m.p * value[m.to])) AS new
+                FROM steps CROSS JOIN {{grid}} WHERE change > {epsilon!r}D AND round < {most_rounds})
+        )
+        SELECT round, change, posexplode(value) AS (cell, value) FROM steps WHERE round > 0
+        """,
+        grid=grid,
+    )
+    return steps.select("round", "cell", "value", "change")
+
+
+def converged(actions: DataFrame, columns: int = COLUMNS, rows: int = ROWS, epsilon: float = EPSILON, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """The last round of the iteration: cell, rounds, value."""
+    steps = iterations(actions, columns, rows, epsilon, most_rounds)
+    last = F.max_by(F.struct("round", "value"), "round").alias("x")
+    return steps.groupBy("cell").agg(last).select("cell", F.col("x.round").alias("rounds"), F.col("x.value").alias("value"))
+
+
 def rated(actions: DataFrame, surface: Surface, unsuccessful: str = "nan", prefix: str = "xT") -> DataFrame:
     """<prefix>_start, _end and _added: the difference for successful moves; others null, 0 or what was lost."""
     if unsuccessful not in ("nan", "zero", "negative_start"):

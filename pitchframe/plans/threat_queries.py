@@ -91,10 +91,26 @@ def xt_surface_value_iteration(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(surface.values)), "cell int, value double")
 
 
-@query("xt_surface_converged", "cell rounds", "value")
+#: Rounds k of all cells until the largest change is 1e-5 or less.
+CONVERGED = """,
+       every_cell AS MATERIALIZED (SELECT c.cell, coalesce(g.p_goal * g.p_shot, 0) AS gain, coalesce(g.p_move, 0) AS stay FROM (SELECT unnest(range(0, 192)) AS cell) c LEFT JOIN g USING (cell)),
+       onward AS MATERIALIZED (SELECT start_cell, end_cell, p FROM t),
+       it AS (SELECT 0 AS k, cell, 0e0 AS value, 1e9 AS delta FROM every_cell
+              UNION ALL
+              SELECT k + 1, cell, new, abs(new - value) FROM (
+                SELECT q.k, q.cell, q.value, every_cell.gain + every_cell.stay * coalesce((SELECT sum(onward.p * o.value) FROM onward JOIN it o ON o.cell = onward.end_cell WHERE onward.start_cell = q.cell), 0) AS new
+                FROM it q JOIN every_cell ON every_cell.cell = q.cell WHERE (SELECT max(delta) FROM it) > 1e-5 AND q.k < 200))"""
+
+
+@query("xt_surface_converged", "cell rounds", "value", "actions", grid_sql(16, 12) + CONVERGED, "(SELECT cell, k AS rounds, value FROM it WHERE k = (SELECT max(k) FROM it))", recursive=True)
 def xt_surface_converged(spark, sf_dir):
-    surface = T.fitted(actions(spark, sf_dir))
-    return spark.createDataFrame([(i, surface.rounds, v) for i, v in enumerate(surface.values)], "cell int, rounds int, value double")
+    return T.converged(actions(spark, sf_dir))
+
+
+@query("xt_iterations", "round cell", "value change", "actions", grid_sql(16, 12) + CONVERGED,
+       "(SELECT k AS round, cell, value, max(delta) OVER (PARTITION BY k) AS change FROM it WHERE k > 0)", recursive=True)
+def xt_iterations(spark, sf_dir):
+    return T.iterations(actions(spark, sf_dir))
 
 
 @query("xt_cell_probabilities", "cell shots goals moves", "p_goal p_shot p_move", "actions", grid_sql(16, 12), "g")
