@@ -26,6 +26,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"  # the same matches as a run after AKIA that is 20
 HEX = r"[0-9a-f]{24,}"  # the same as whole runs of 24 or more
 KINDS = ["assign", "access", "hex", "owned"]
 LEAST_ASSIGN = 6
+BLOCK = 64  # parts of a text whose places are added up together
 #: Long tokens that aren't base candidates by themselves, and that must hold a small letter, a capital and a digit.
 WIDE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 
@@ -36,31 +37,45 @@ def found_spans(text: Column, pattern: str, kind: str, value: int = 0) -> Column
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value)) if value else hits
     lengths = F.transform(F.split(text, pattern, -1), F.length)
     hit = "struct<start:int,kind:int,end:int,value:string>"
-    walk = F.aggregate(
-        F.arrays_zip(lengths.alias("gap"), hits.alias("hit"), values.alias("value")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{hit}>").alias("out")),
-        lambda so_far, x: F.struct(
-            (so_far["at"] + x["gap"] + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"),
-            F.when(x["hit"].isNull(), so_far["out"])
-            .otherwise(
-                F.concat(
-                    so_far["out"],
-                    F.array(
-                        F.struct(
-                            (so_far["at"] + x["gap"]).alias("start"),
-                            F.lit(KINDS.index(kind)).alias("kind"),
-                            (so_far["at"] + x["gap"] + F.length(x["hit"])).alias("end"),
-                            x["value"].alias("value"),
-                        )
-                    ),
+    long = lambda x: x["gap"] + F.coalesce(F.length(x["hit"]), F.lit(0))
+
+    def walk(parts: Column, start: Column) -> Column:
+        """Spans of a block of parts that begins at start."""
+        return F.aggregate(
+            parts,
+            F.struct(start.alias("at"), F.array().cast(f"array<{hit}>").alias("out")),
+            lambda so_far, x: F.struct(
+                (so_far["at"] + long(x)).alias("at"),
+                F.when(x["hit"].isNull(), so_far["out"])
+                .otherwise(
+                    F.concat(
+                        so_far["out"],
+                        F.array(
+                            F.struct(
+                                (so_far["at"] + x["gap"]).alias("start"),
+                                F.lit(KINDS.index(kind)).alias("kind"),
+                                (so_far["at"] + long(x)).alias("end"),
+                                x["value"].alias("value"),
+                            )
+                        ),
+                    )
                 )
-            )
-            .alias("out"),
-        ),
-        lambda so_far: so_far["out"],
-    )
+                .alias("out"),
+            ),
+            lambda so_far: so_far["out"],
+        )
+
+    def placed(parts: Column) -> Column:
+        # arrays that grow are copied at each step: those of a block are short, and of blocks only the starts are added up
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), lambda b: F.slice(parts, b * BLOCK + 1, BLOCK))
+        sums = F.transform(blocks, lambda own: F.aggregate(own, F.lit(0), lambda n, x: n + long(x)))
+        starts = F.aggregate(sums, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+        return F.flatten(F.zip_with(blocks, F.slice(starts, 1, F.size(blocks)), walk))
+
+    parts = F.arrays_zip(lengths.alias("gap"), hits.alias("hit"), values.alias("value"))
+    spans = F.element_at(F.transform(F.array(parts), placed), 1)  # bound to a name, else each block would search the text again
     none = F.array().cast(f"array<{hit}>")
-    return F.when(text.rlike(pattern), walk).otherwise(none)
+    return F.when(text.rlike(pattern), spans).otherwise(none)
 
 
 def listed(spans: Column) -> Column:
