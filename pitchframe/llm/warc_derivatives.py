@@ -20,20 +20,37 @@ DATE = "2024-01-01T00:00:00Z"
 HIDDEN = ["script", "style", "template"]
 BREAKS = "p|div|br|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|table|article|section|header|footer|figure|blockquote|pre"
 NAMED = [("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
-#: Patterns in their order, each with what it leaves; read alike by Spark and by the SQL below.
+
+
+def region(tag: str, inside: str = "{}") -> str:
+    """From the last start of an element before its end to that end. Each part is read once, however many starts there are."""
+    return rf"<{tag}\b[^<>]*+>" + inside.format(rf"[^<]*+(?:<(?!/?{tag}\b)[^<]*+)*+") + f"</{tag}>"
+
+
+# in one pass; what isn't closed goes to the end of the page, so that no start is tried twice
+UNSEEN = [r"<!--.*?(?:-->|\z)", *[rf"<{tag}\b.*?(?:</{tag}>|\z)" for tag in HIDDEN]]
+TAG = rf"(?i)</?(?:{BREAKS})\b[^<>]*>"
+#: Patterns in their order, each with what it leaves. A tag ends before the next one, so that pages of < only stay cheap.
 TO_TEXT = [
-    # in one pass; what isn't closed goes to the end of the page, so that no start is tried twice
-    ("(?is)" + "|".join([r"<!--.*?(?:-->|\z)", *[rf"<{tag}\b.*?(?:</{tag}>|\z)" for tag in HIDDEN], r"<head\b.*?</head>"]), ""),
-    (r"(?is)<nav\b.*?</nav>", "\n"),
-    (rf"(?i)</?(?:{BREAKS})\b[^>]*>", "\n"),
-    (r"<[^>]*>", ""),
+    ("(?is)" + "|".join([*UNSEEN, region("head")]), ""),
+    ("(?is)" + region("nav"), "\n"),
+    (TAG, "\n"),
+    (r"<[^<>]*>", ""),
     (r"[ \t\r]+", " "),
     (r" ?\n[ \n]*", "\n"),
+    (r"\A\s++|(?<!\s)\s++\z", ""),
+]
+TITLE = "(?is)" + region("title", "({})")
+LANGUAGE = r"(?is)<html\b[^<>]*\blang=\"([^\"<>]*)\""
+LINK = r"(?i)<a\s[^<>]*href="
+#: The same for SQL, whose patterns know neither possession nor what stands around; they differ where starts are nested.
+SQL_TEXT = [
+    ("(?is)" + "|".join([*UNSEEN, r"<head\b[^<>]*>.*?</head>"]), ""),
+    (r"(?is)<nav\b[^<>]*>.*?</nav>", "\n"),
+    *TO_TEXT[2:6],
     (r"^\s+|\s+$", ""),
 ]
-TITLE = r"(?is)<title[^>]*>(.*?)</title>"
-LANGUAGE = r"(?is)<html[^>]*\blang=\"([^\"]*)\""
-LINK = r"(?i)<a\s[^>]*href="
+SQL_TITLE = r"(?is)<title\b[^<>]*>(.*?)</title>"
 
 
 def plain_text(html: Column) -> Column:
@@ -139,7 +156,7 @@ def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     text = "payload"
-    for pattern, left in TO_TEXT:
+    for pattern, left in SQL_TEXT:
         text = f"regexp_replace({text}, {quoted(pattern)}, {'chr(10)' if left == chr(10) else quoted(left)}, 'g')"
     for name, char in NAMED:
         text = f"replace({text}, {quoted(name)}, {quoted(char)})"
@@ -155,7 +172,7 @@ WITH p AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') A
 r AS (SELECT *, 'sha256:' || sha256(payload) AS payload_digest FROM p),
 q AS (SELECT *, {urn("'response'", "coalesce(page_id::VARCHAR, '')", "target_uri", "payload_digest")} AS refers_to FROM r),
 s AS (SELECT *, {urn("'metadata'", "refers_to")} AS m, {urn("'conversion'", "refers_to")} AS c, {text} AS text,
-      'title: ' || trim(regexp_extract(payload, {quoted(TITLE)}, 1)) || {end} || 'language: '
+      'title: ' || trim(regexp_extract(payload, {quoted(SQL_TITLE)}, 1)) || {end} || 'language: '
       || regexp_extract(payload, {quoted(LANGUAGE)}, 1) || {end} || 'links: '
       || len(regexp_extract_all(payload, {quoted(LINK)})) || {end} || 'source-status: 200' || {end}
       || 'source-content-type: text/html; charset=utf-8' || {end} || 'source-content-length: ' || strlen(payload) || {end} AS fields FROM q),
