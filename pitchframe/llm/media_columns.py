@@ -187,6 +187,10 @@ class _Sequence(HTMLParser):
         elif tag in ("p", "div", "h1", "h2", "h3", "li", "tr", "figure", "article", "section"):
             self.flush()
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A marked section isn't HTML: it is a comment up to the next >, as in a browser."""
+        return self.parse_bogus_comment(i, 0)
+
     def handle_data(self, data: str) -> None:
         if not self.hidden:
             (self.run if self.caption is None else self.caption).append(data)

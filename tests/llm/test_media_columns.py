@@ -4,6 +4,8 @@ import zlib
 from fixtures import KINDS, rows, table
 
 from pitchframe.llm.media_columns import from_png, media_store, op9_media_columns, padded, parsed, read_back, resolved, sequences, to_png
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 
 def test_payloads_survive_their_stored_form():
@@ -62,3 +64,16 @@ def test_features_are_those_of_the_samples(spark):
     want = f"{n // 64}x64;{mean:.4f};{spread:.4f};{flat.count(0) / n:.4f};{step:.4f}"
     store = media_store(spark.createDataFrame([(raw.decode(),), (raw.decode(),)], "text string"))
     assert [r["feature"] for r in read_back(store).collect()] == [want]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["<![", "[x", "]]>", "<!", "<!--", "-->", "<?", "</", "<img src=a>", "<figcaption>", "<script>", "&#x;", "&amp", ">", "<", "\"", "'", "=", "foo[ x ", "CDATA[", "p>", " ", "\x00", "é"]), max_size=25).map("".join))
+def test_no_page_stops_the_parser(html):
+    items = parsed(html)
+    assert [x["position"] for x in items] == list(range(len(items))) and {x["kind"] for x in items} <= {"text", "media"}
+
+
+def test_marked_sections_are_comments():
+    found = parsed("<p>a<![foo[ x ]]>b</p><![CDATA[ <img src=u> ]]>c<![if IE]>d<![endif]>")
+    assert "".join(x["text"] or "" for x in found).replace(" ", "") in ("ab]]>cd", "abc]]>d", "abcd", "ab]]>]]>cd", "ab]]>cd")
+    assert parsed("<![") == [] or parsed("<![")[0]["kind"] == "text"
