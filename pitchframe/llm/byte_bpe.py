@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchframe.llm.common import documents, text_batches, text_of
+from pitchframe.llm.common import documents, shielded, text_batches, text_of
 
 SLICE_BYTES = 1 << 20
 CACHE_PIECES = 1 << 16
@@ -329,6 +329,7 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, bytes, np.ndarray]]:
         i = j
 
 
+@shielded
 def encoded(
     docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids", ends_col: str = "token_ends", keep: list[str] | None = None
 ) -> DataFrame:

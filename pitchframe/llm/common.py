@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +55,30 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
 
+def shielded(call: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For calls that give back rows of their first argument: its columns may have any names.
+
+    Operators name what they need in between with two leading underscores. Columns of the caller that begin so have other
+    names during the call and their own ones again behind it; where a column that the call adds has such a name, it gets
+    `_1` behind it. Names of columns among the arguments are followed."""
+
+    @functools.wraps(call)
+    def shield(docs: DataFrame, *args, **more) -> DataFrame:
+        own = [c for c in docs.columns if c.startswith("__")]
+        if not own:
+            return call(docs, *args, **more)
+        head = "caller"
+        while any(c.startswith(head) for c in docs.columns):
+            head += "_"
+        away = {c: f"{head}{i}" for i, c in enumerate(own)}
+        follow = lambda x: away.get(x, x) if isinstance(x, str) else [follow(v) for v in x] if isinstance(x, list) else x
+        out = call(docs.withColumnsRenamed(away), *map(follow, args), **{k: follow(v) for k, v in more.items()})
+        out = out.withColumnsRenamed({c: f"{c}_1" for c in out.columns if c in away})
+        return out.withColumnsRenamed({new: c for c, new in away.items()})
+
+    return shield
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

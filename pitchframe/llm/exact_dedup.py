@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitchframe.llm.common import documents, in_bitmap, key_bitmap, landed, text_of, work_dir
+from pitchframe.llm.common import documents, in_bitmap, key_bitmap, landed, shielded, text_of, work_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_CONF = {
@@ -120,6 +120,7 @@ def exact_groups(
     return named.select("doc_id", "keep_id", "group_size", "kept", "digest")
 
 
+@shielded
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with their columns, that exact deduplication keeps. Rows without a copy aren't shuffled."""
     groups = exact_groups(docs, id_col, text_col)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchframe.llm.common import documents, in_bitmap, key_bitmap, landed, text_of
+from pitchframe.llm.common import documents, in_bitmap, key_bitmap, landed, shielded, text_of
 
 WINDOW = 3
 
@@ -58,6 +58,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return later.groupBy("doc_id", "mark").agg(F.array_sort(F.array_distinct(covered)).alias("removed"))
 
 
+@shielded
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with their texts without repeated windows, and __lines and __removed, the number of lines before and gone."""
     text, names = text_of(text_col), docs.columns

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchframe.llm.byte_bpe import slices
-from pitchframe.llm.common import documents, landed, text_batches, text_of
+from pitchframe.llm.common import documents, landed, shielded, text_batches, text_of
 from pitchframe.llm.components import components
 from pitchframe.llm.shingles import cells, shingle_hashes, shingle_sets
 
@@ -368,6 +368,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return worded.select("doc_id", "mark", "rid", "n", "component_id").union(empty).withColumnRenamed("n", "n_shingles")
 
 
+@shielded
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, with their columns, that are the least of their component, and all without an id."""
     found = similar_components(docs, id_col, text_col, width, percent)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchframe.llm.common import documents, landed, text_of
+from pitchframe.llm.common import documents, landed, shielded, text_of
 
 DIMS = ["source", "lang", "topic"]
 #: A share of tokens for each category, or the power to which observed shares are tempered.
@@ -149,6 +149,7 @@ def with_probability_of_cell(own: DataFrame, targets: dict = TARGETS, keep: floa
     return own.join(right, [f"__{d}" for d in DIMS]).withColumn("__taken", drawn(F.col(id_col)) < F.col("__p"))
 
 
+@shielded
 def mixed(docs: DataFrame, targets: dict = TARGETS, keep: float = KEEP) -> DataFrame:
     """The rows of docs, with their columns, that the sample takes."""
     return with_probability(docs, targets, keep).filter("__taken").select(*docs.columns)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchframe.llm.common import documents, in_bitmap, key_bitmap, landed, text_batches, text_of
+from pitchframe.llm.common import documents, in_bitmap, key_bitmap, landed, shielded, text_batches, text_of
 
 LABEL_ROWS = 200_000
 LEXICON_SIZE = 256
@@ -336,6 +336,7 @@ def score(features: Column, model: Model) -> Column:
     return 1 / (1 + F.exp(-line))
 
 
+@shielded
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with their columns, whose score is below THRESHOLD.
 
