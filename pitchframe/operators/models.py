@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from pitchframe.functions.coerce import ratio
 from pitchframe.functions.pitch import GOAL_X, WIDTH
+from pitchframe.functions.shared import landed
 from pitchframe.functions.stats import agreement, binary_scores, calibration, quantile_bin, quantile_edges
 from pitchframe.operators.newton_trees import NewtonTrees, TreesConfig
 from pitchframe.operators.newton_trees import fitted as newton_fitted
@@ -271,7 +272,7 @@ def compared_with_provider(scored: DataFrame, ours: str, theirs: str, by: list[s
 def two_heads(features: DataFrame, labels: DataFrame, keys: list[str], config: ModelConfig = ACTION_MODEL) -> tuple[dict[str, Trained], DataFrame]:
     """Models of scores and concedes on the same features; labels(keys, scores, concedes, split). Returns p_scores, p_concedes."""
     columns = [c for c in features.columns if c not in keys]
-    both = features.join(labels.select(*keys, "scores", "concedes", "split"), keys)
+    both = landed(features.join(labels.select(*keys, "scores", "concedes", "split"), keys), "value-features")  # read by every round of both models
     models = {t: trained(both.filter("split = 'train'"), columns, [], [], t, config) for t in ("scores", "concedes")}
     out = both
     for t, model in models.items():

@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from pitchframe.functions.shared import fresh_path
 from pitchframe.operators import animation as N
 from pitchframe.operators import efforts as E
 from pitchframe.operators import explosive as X
@@ -14,6 +15,7 @@ from pitchframe.operators import report as R
 from pitchframe.operators import tracking as T
 from pitchframe.plans import workflows as W
 from pitchframe.plans.surrogates import Registry, actions, performances, tracks
+from pitchframe.sources import archive
 
 registry = Registry()
 query = registry.add
@@ -223,6 +225,20 @@ def track_velocity_kalman(spark, sf_dir):
     return kinematics(spark, sf_dir, replace(CONFIG, estimator="kalman"))
 
 
+@query("archive_frames", "match_id frames players rejects", "sum_x", "track_base track_step tracks", "",
+       "(SELECT match_id, count(DISTINCT frame_id) AS frames, count(*) AS players, 0::BIGINT AS rejects, sum(x) AS sum_x FROM tracks WHERE match_id <> 'm1' GROUP BY 1)")
+def archive_frames(spark, sf_dir):
+    """Tracking written as one file a match below the shared folder, read back by the archive source without one match."""
+    root = fresh_path(spark, "archive")
+    player = F.struct("player_id", "x", "y", "is_detected")
+    frames = tracks(spark, sf_dir).groupBy("match_id", "frame_id").agg(F.collect_list(player).alias("player_data"))
+    line = F.to_json(F.struct(F.col("frame_id").alias("frame"), F.lit(1).alias("period"), "player_data"))
+    archive.written(frames.withColumn("line", line), root, "tracking.jsonl", order="frame_id").agg(F.sum("bytes")).collect()
+    own = archive.typed_frames(archive.archive(spark, root).filter("kind = 'tracking' and match_id <> 'm1'"))
+    own = own.select("match_id", "frame", "rejects", F.explode("player_data").alias("p"))
+    return own.groupBy("match_id").agg(F.countDistinct("frame").alias("frames"), F.count(F.lit(1)).alias("players"), F.sum("rejects").alias("rejects"), F.sum("p.x").alias("sum_x"))
+
+
 @query("estimator_sensitivity", "estimator n", "mean_speed mean_absolute_acceleration")
 def estimator_sensitivity(spark, sf_dir):
     out = None

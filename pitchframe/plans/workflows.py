@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitchframe.functions.shared import landed
 from pitchframe.functions.stats import agreement
 from pitchframe.operators import models as M
 from pitchframe.operators import physical as Y
@@ -23,13 +24,15 @@ CLIP = 1e-6
 
 @dataclass
 class Run:
-    """Fitted objects and result tables by name."""
+    """Fitted objects and result tables by name, figures of tables for the manifest, and what it tells about the run."""
 
     models: dict[str, object]
     tables: dict[str, DataFrame]
+    figures: dict[str, dict[str, Column]] = field(default_factory=dict)
+    about: dict = field(default_factory=dict)
 
     def write(self, path: str, kind: str = "parquet") -> dict[str, int]:
-        """All tables below path with a manifest of their rows; pipelines and surfaces beside them."""
+        """All tables below path with a manifest of what they hold; pipelines and surfaces beside them."""
         for name, model in self.models.items():
             if isinstance(model, M.TrainedTrees):
                 model.trees.table(next(iter(self.tables.values())).sparkSession).write.mode("overwrite").parquet(f"{path}/models/{name}")
@@ -37,7 +40,12 @@ class Run:
                 model.pipeline.write().overwrite().save(f"{path}/models/{name}")
             elif isinstance(model, T.Surface):
                 sinks.save_surface(next(iter(self.tables.values())).sparkSession, model, f"{path}/models/{name}")
-        return sinks.tables(self.tables, path, kind)
+        return sinks.tables(self.tables, path, kind, self.figures, self.about)
+
+
+def share(known: Column) -> Column:
+    """The share of rows for which it is true."""
+    return F.avg(F.coalesce(known, F.lit(False)).cast("double"))
 
 
 def threat_run(actions: DataFrame, columns: int = T.COLUMNS, rows: int = T.ROWS, unsuccessful: str = "nan", least_actions: int = 0, provider: str | None = None) -> Run:
@@ -51,7 +59,9 @@ def threat_run(actions: DataFrame, columns: int = T.COLUMNS, rows: int = T.ROWS,
     }
     if provider:
         tables["agreement"] = agreement(rated, "xT_added", provider, [])
-    return Run({"surface": surface}, tables)
+    figures = {f"n_{k}": F.count_if(F.col("action_type") == k) for k in kinds} | {"matches": F.approx_count_distinct("match_id"), "rated_share": share(F.col("xT_added").isNotNull())}
+    about = {"grid": [columns, rows], "rounds": surface.rounds, "unsuccessful": unsuccessful, "least_actions": least_actions}
+    return Run({"surface": surface}, tables, {"rated": figures}, about)
 
 
 def shot_run(shots: DataFrame, train: list[str], test: list[str], configs: dict[str, M.ModelConfig] = M.SHOT_MODELS, columns: tuple[list[str], list[str], list[str]] = (P.SHOT_NUMBERS, P.SHOT_FLAGS, P.SHOT_LABELS)) -> Run:
@@ -73,14 +83,21 @@ def pass_run(passes: DataFrame, train: list[str], test: list[str], configs: dict
             "scored": scored, "metrics": metrics, "teams": P.pax_summary(scored, ["team_shortname"]), "players": P.pax_summary(scored, ["player_name"]),
             "types": P.cluster_summary(scored), "weights": M.coefficients(models[best]),
         },
+        {"scored": {"model_share": share(F.col("model_xpass").isNotNull()), "completed": F.count_if(F.col("pass_completed")), **provider_coverage(passes)}},
+        {"train": train, "test": test, "best": best, "clip": CLIP},
     )
 
 
+def provider_coverage(passes: DataFrame, column: str = "xpass_completion") -> dict[str, Column]:
+    """The share of passes with the provider's own estimate, if its column is there."""
+    return {"provider_share": share(F.col(column).isNotNull())} if column in passes.columns else {}
+
+
 def value_run(actions: DataFrame, tie: list[str], test_matches: int = 8, directory: DataFrame | None = None, config: M.ModelConfig | str = M.ACTION_MODEL, states: int = V.STATES) -> Run:
     """Action values: score and labels, two heads fitted on all but the last matches, values and ratings of players.
 
     config: a model, or the name of one that is then chosen by the number of training rows."""
-    ordered = V.with_labels(V.with_score(actions, tie))
+    ordered = landed(V.with_labels(V.with_score(actions, tie)), "value-actions")
     split = M.last_matches_split(ordered, test_matches)
     keys = ["match_id", "action_id"]
     if isinstance(config, str):
@@ -97,8 +114,18 @@ def physical_run(frame: DataFrame, lineup: DataFrame | None = None, config: K.Tr
     rows = Y.player_matches(kinematics, config)
     if lineup is not None:
         rows = enriched(rows, lineup)
-    profiles = Y.profiles(Y.qualified_outfield(rows, least_minutes, least_matches))
-    return Run({}, {"player_matches": rows, "profiles": Y.group_percentiles(profiles, Y.PEAKS), "caps": K.cap_report(kinematics)})
+    qualified = Y.qualified_outfield(rows, least_minutes, least_matches)
+    figures = {
+        "player_matches": {"players": F.approx_count_distinct("player_id"), "matches": F.approx_count_distinct("match_id"), "bip_minutes": F.sum("bip_minutes")},
+        "qualified": {"players": F.approx_count_distinct("player_id")},
+    }
+    about = {
+        "definition": "efforts and distances in live play; p60 rates by minutes in which the ball is in play", "config": asdict(config),
+        "speed_thresholds_kmh": {"running": config.running_kmh, "hsr": config.hsr_kmh, "sprint": config.sprint_kmh},
+        "eligibility": {"least_minutes": least_minutes, "least_matches": least_matches, "population": "outfield", "coverage_is_a_filter": False},
+    }
+    tables = {"player_matches": rows, "qualified": qualified, "profiles": Y.group_percentiles(Y.profiles(qualified), Y.PEAKS), "caps": K.cap_report(kinematics)}
+    return Run({}, tables, figures, about)
 
 
 def enriched(rows: DataFrame, lineup: DataFrame) -> DataFrame:

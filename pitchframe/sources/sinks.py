@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pitchframe.operators.threat import Surface
@@ -28,15 +28,25 @@ def table_with_summary(df: DataFrame, path: str, summary: DataFrame, partition_b
     return json.loads(row["j"]) if row else {}
 
 
-def tables(parts: dict[str, DataFrame], path: str, kind: str = "parquet") -> dict[str, int]:
-    """Several tables below one path, with a manifest of their rows."""
-    counts = {}
-    for name, df in parts.items():
-        df.write.mode("overwrite").format(kind).options(**({"header": "true"} if kind == "csv" else {})).save(f"{path}/{name}")
-        counts[name] = df.sparkSession.read.format(kind).options(**({"header": "true"} if kind == "csv" else {})).load(f"{path}/{name}").count()
+def observed(df: DataFrame, path: str, figures: dict[str, Column], kind: str = "parquet", partition_by: list[str] | None = None) -> dict:
+    """df written to path, and its rows and figures (aggregates) as they were seen on the way: one job, nothing is read again."""
+    seen = Observation()
+    own = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(name) for name, c in figures.items()])
+    writer = own.write.mode("overwrite").format(kind).options(**({"header": "true"} if kind == "csv" else {}))
+    (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
+    return dict(seen.get)
+
+
+def tables(parts: dict[str, DataFrame], path: str, kind: str = "parquet", figures: dict[str, dict[str, Column]] = {}, about: dict | None = None) -> dict[str, int]:
+    """Several tables below one path, with a manifest: what is told about them, and the rows and figures of each."""
+    found = {name: observed(df, f"{path}/{name}", figures.get(name, {}), kind) for name, df in parts.items()}
     first = next(iter(parts.values()))
-    text_file(first.sparkSession, json.dumps(counts), f"{path}/manifest")
-    return counts
+    text_file(first.sparkSession, json.dumps({**(about or {}), "tables": found}, default=str), f"{path}/manifest")
+    return {name: own["rows"] for name, own in found.items()}
+
+
+def load_manifest(spark: SparkSession, path: str) -> dict:
+    return json.loads(read_text(spark, f"{path}/manifest"))
 
 
 def save_surface(spark: SparkSession, surface: Surface, path: str) -> None:
