@@ -20,7 +20,9 @@ VOLUMES = [
     "high_intensity_distance_m", "running_count", "hsr_count", "sprint_count", "high_intensity_count",
     "high_acceleration_count", "high_deceleration_count",
 ]
+# Names of volumes by phase.
 PHASE_VOLUMES = ["distance_{}_m", "high_intensity_distance_{}_m", "sprint_count_{}", "high_intensity_count_{}"]
+# Names of a profile's measures.
 PROFILE = [
     ("bip_minutes", 60.0, "_p60_bip", ["total_distance_m", "running_distance_m", "hsr_distance_m", "sprint_distance_m",
                                        "high_intensity_distance_m", "sprint_count", "high_intensity_count",
@@ -42,6 +44,7 @@ POSITIONS = {
                "wf", "lwm", "rwm", "widemidfield"],
     "Forward": ["st", "cf", "fw", "f", "ss", "forward", "striker", "centreforward", "centerforward"],
 }
+# Parts of a position's name and their groups.
 POSITION_PARTS = [
     ("goal.*keep", "Goalkeeper"), ("wing back|full back", "Full Back"), ("wing|wide midfield", "Winger"), ("midfield", "Midfield"),
     ("forward|striker", "Forward"), ("back|defender", "Central Defender"),
