@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchframe.llm.common import documents, shielded, text_batches, text_of
+from pitchframe.llm.common import documents, shielded, text_batches, text_of, tidied
 
 SLICE_BYTES = 1 << 20
 CACHE_PIECES = 1 << 16
@@ -351,7 +351,7 @@ def encoded(
                 lists = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (ids, ends)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, len(offsets) - 1).columns[:-1], *lists], names=[*kept, ids_col, ends_col])
 
-    return given.mapInArrow(run, kinds)
+    return given.mapInArrow(tidied(run), kinds)
 
 
 def runs_of(ids: pa.Array) -> Iterator[np.ndarray]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,24 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
 
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run over a task's batches, behind which the worker gives back to the machine what it no longer uses.
+
+    Workers outlive their tasks, and the allocators of Arrow and of the C library keep what is freed; the next stage would
+    find it taken."""
+
+    def own(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+        if trim is not None:
+            trim(0)
+
+    return own
+
+
 def shielded(call: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """For calls that give back rows of their first argument: its columns may have any names.
 

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchframe.llm.byte_bpe import slices
-from pitchframe.llm.common import documents, landed, shielded, text_batches, text_of
+from pitchframe.llm.common import documents, landed, shielded, text_batches, text_of, tidied
 from pitchframe.llm.components import components
 from pitchframe.llm.shingles import cells, shingle_hashes, shingle_sets
 
@@ -115,7 +115,7 @@ def ranked_cells(batches: Iterator[pa.RecordBatch], mean: float) -> Iterator[pa.
 def ranks(texts: DataFrame, width: int) -> np.ndarray:
     """The rank of every cell. CELLS bytes reach the driver."""
     kinds = "block int, counts binary"
-    parts = texts.mapInArrow(lambda batches: counted_cells(batches, width), kinds)
+    parts = texts.mapInArrow(tidied(lambda batches: counted_cells(batches, width)), kinds)
     sums = landed(parts.repartition("block").mapInArrow(summed_cells, f"{kinds}, total long"), "jaccard-cells")
     mean = (sums.agg(F.sum("total")).first()[0] or 0) / CELLS
     out = np.zeros(CELLS, np.uint8)
@@ -181,7 +181,7 @@ def marked(docs: DataFrame, rank_of, width: int, percent: int) -> DataFrame:
                 )
                 rid += n
 
-    return docs.select("doc_id", "mark", "text").mapInArrow(run, MARKED)
+    return docs.select("doc_id", "mark", "text").mapInArrow(tidied(run), MARKED)
 
 
 def may_differ(n: Column, m: Column, percent: int) -> Column:
@@ -280,7 +280,7 @@ class JaccardJoin:
             both = both.join(own.hint("merge"), side)
         columns = [f"{side}_{c}" for c in ("tokens", "places", "n", "last") for side in ("g", "h")]
         rank, percent = self.rank, self.percent
-        return both.select("u", "v", "g", "h", *columns).mapInArrow(lambda x: plausible(x, rank, percent), "u long, v long, g long, h long")
+        return both.select("u", "v", "g", "h", *columns).mapInArrow(tidied(lambda x: plausible(x, rank, percent)), "u long, v long, g long, h long")
 
     def first_pairs(self, buckets: DataFrame) -> DataFrame:
         """Pairs of classes (u < v): of each group with the leaders of its buckets, and of classes within a group."""
@@ -332,7 +332,7 @@ class JaccardJoin:
                 place = batch.column(1).to_numpy() % BITMAP_BITS
                 yield batch.filter(pa.array((bits[place >> 3] >> (place & 7) & 1).astype(bool)))
 
-        found = self.docs.mapInArrow(run, "doc_id long, mark long, text string")
+        found = self.docs.mapInArrow(tidied(run), "doc_id long, mark long, text string")
         key = wanted.withColumnsRenamed({"doc_id": "w_id", "mark": "w_mark"}).hint("merge")
         same = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark"))
         return landed(found.join(key, same).select("cid", "text").dropDuplicates(["cid"]), "jaccard-texts")
@@ -343,7 +343,7 @@ class JaccardJoin:
         both = pairs.join(texts.select(F.col("cid").alias("u"), F.col("text").alias("u_text")).hint("merge"), "u")
         both = both.join(texts.select(F.col("cid").alias("v"), F.col("text").alias("v_text")).hint("merge"), "v")
         width, percent = self.width, self.percent
-        return both.select("u", "v", "u_text", "v_text").mapInArrow(lambda x: intersections(x, width, percent), "u long, v long")
+        return both.select("u", "v", "u_text", "v_text").mapInArrow(tidied(lambda x: intersections(x, width, percent)), "u long, v long")
 
     def links(self) -> DataFrame:
         """Verified links between classes that join all components (not every link within one)."""

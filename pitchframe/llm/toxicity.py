@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchframe.llm.common import documents, in_bitmap, key_bitmap, landed, shielded, text_batches, text_of
+from pitchframe.llm.common import documents, in_bitmap, key_bitmap, landed, shielded, text_batches, text_of, tidied
 
 LABEL_ROWS = 200_000
 LEXICON_SIZE = 256
@@ -129,7 +129,7 @@ def mined_lexicon(labelled: DataFrame) -> list[str]:
     totals = labelled.agg(F.count_if("toxic").alias("pos"), F.count_if(~F.col("toxic")).alias("neg")).first()
     if not totals["pos"]:
         return []
-    parts = labelled.select("text", "toxic").mapInArrow(counted_entries, "entry string, pos long, neg long, pos2 long, neg2 long, slots long")
+    parts = labelled.select("text", "toxic").mapInArrow(tidied(counted_entries), "entry string, pos long, neg long, pos2 long, neg2 long, slots long")
     sums = [F.sum(c).alias(c) for c in ("pos", "neg", "pos2", "neg2")]
     counted = parts.groupBy("entry").agg(*sums, F.bit_count(F.bit_or("slots")).alias("slots"))
     share = totals["pos"] / (totals["pos"] + totals["neg"])
@@ -197,8 +197,7 @@ def features_udf(lexicon: list[str]):
                     found.add(i + size if i < size and i in found else i)
             return sorted(found)
 
-        for texts in batches:
-            yield texts.fillna("").map(of)
+        yield from tidied(lambda own: (texts.fillna("").map(of) for texts in own))(batches)
 
     return features
 
