@@ -83,11 +83,11 @@ class ArchiveReader(DataSourceReader):
         """Ranges of about so many bytes each. Of each kind a match has one file: the first of its layouts that is there."""
         files, root = store(self.root)
         kinds = [k for k in ENDINGS if self.lets("kind", k)]
+        seasons = self.matches(files, root)
         places = {
             (match, kind): [f"{root}/{folder.format(id=match)}/{match}_{end}".replace("//", "/") for folder in FOLDERS for end in ENDINGS[kind]]
-            for match in self.matches(files, root) for kind in kinds
+            for match in seasons for kind in kinds
         }
-        seasons = self.matches(files, root)
         known = {i.path: i.size for i in files.get_file_info([p for own in places.values() for p in own]) if i.type == fs.FileType.File}
         out, size = [Ranges([])], 0
         for (match, kind), own in places.items():
