@@ -92,7 +92,23 @@ def track_efforts(spark, sf_dir):
     return E.efforts(own, F.col("speed_mps") > 20 * T.KMH, CONFIG.dt, 0.7, shares={"live": F.col("is_bip")}, peak=F.col("speed_mps"))
 
 
-@query("track_effort_sensitivity", "match_id player_id rule efforts", "dip_seconds")
+#: Runs above 20 km/h and below it, with the dips that may be passed.
+SENSITIVITY = KINEMATICS + """,
+u AS (SELECT match_id, player_id, segment_id, i, coalesce(speed > 20 / 3.6e0, false) AS m FROM k),
+t AS (SELECT *, CASE WHEN lag(m) OVER w IS DISTINCT FROM m THEN 1 ELSE 0 END AS turn FROM u WINDOW w AS (PARTITION BY match_id, player_id, segment_id ORDER BY i)),
+o AS (SELECT *, sum(turn) OVER (PARTITION BY match_id, player_id, segment_id ORDER BY i) AS run FROM t),
+r AS (SELECT match_id, player_id, segment_id, run, m, count(*) AS len FROM o GROUP BY ALL),
+p AS (SELECT r.*, dip, lag(run) OVER w IS NOT NULL AND lead(run) OVER w IS NOT NULL AS between_runs FROM r, (SELECT unnest([0e0, 0.1e0, 0.2e0, 0.3e0]) AS dip)
+      WINDOW w AS (PARTITION BY match_id, player_id, segment_id, dip ORDER BY run)),
+h AS (SELECT *, m OR (between_runs AND dip > 0 AND len * 0.1e0 <= dip + 1e-9) AS held FROM p),
+e AS (SELECT *, CASE WHEN held AND NOT coalesce(lag(held) OVER (PARTITION BY match_id, player_id, segment_id, dip ORDER BY run), false) THEN 1 ELSE 0 END AS opened FROM h),
+n AS (SELECT *, sum(opened) OVER (PARTITION BY match_id, player_id, segment_id, dip ORDER BY run) AS effort FROM e),
+x AS (SELECT match_id, player_id, dip, sum(len) AS samples, sum(len) FILTER (m) * 0.1e0 AS above FROM n WHERE held GROUP BY match_id, player_id, segment_id, dip, effort)"""
+
+
+@query("track_effort_sensitivity", "match_id player_id rule efforts", "dip_seconds", "track_base track_step tracks", SENSITIVITY,
+       """(SELECT match_id, player_id, 'samples' AS rule, dip AS dip_seconds, count(*) AS efforts FROM x WHERE above >= 0.7e0 - 1e-9 GROUP BY ALL
+       UNION ALL SELECT match_id, player_id, 'span', dip, count(*) FROM x WHERE (samples - 1) * 0.1e0 >= 0.7e0 - 1e-9 GROUP BY ALL)""")
 def track_effort_sensitivity(spark, sf_dir):
     return E.sensitivity(kinematics(spark, sf_dir), F.col("speed_mps") > 20 * T.KMH, CONFIG)
 
@@ -109,7 +125,10 @@ def peak_speed_percentile(spark, sf_dir):
     return E.peak_percentile(kinematics(spark, sf_dir), CONFIG)
 
 
-@query("frame_speed_percentile", "match_id player_id", "psv99_frame_kmh")
+@query("frame_speed_percentile", "match_id player_id", "psv99_frame_kmh", "track_base track_step tracks", KINEMATICS + """,
+       q AS (SELECT match_id, player_id, raw AS s, dt FROM k WHERE dt > 0 AND raw > 15 / 3.6e0 AND raw <= 40 / 3.6e0),
+       c AS (SELECT *, sum(dt) OVER (PARTITION BY match_id, player_id ORDER BY s) AS run, sum(dt) OVER (PARTITION BY match_id, player_id) AS whole FROM q)""",
+       "(SELECT match_id, player_id, min(s) * 3.6e0 AS psv99_frame_kmh FROM c WHERE run >= whole * 0.99e0 - 1e-9 GROUP BY 1, 2)")
 def frame_speed_percentile(spark, sf_dir):
     return E.frame_percentile(kinematics(spark, sf_dir), CONFIG, ["match_id", "player_id"])
 
