@@ -52,6 +52,11 @@ def danger_cells(danger: DataFrame, columns: int = 16, rows: int = 12, team: str
     return out.withColumn("xT_per_100", ratio_or_zero(F.col("xT"), F.col("actions")) * 100)
 
 
+def _total(column: str) -> Column:
+    """The sum to nine places, so that equal sums tie however their terms were added up."""
+    return F.round(F.sum(column), 9)
+
+
 def _top(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     at = F.row_number().over(W.partitionBy(*by).orderBy(*order))
     return df.withColumn("place", at).filter(F.col("place") <= n)
@@ -59,16 +64,16 @@ def _top(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame
 
 def danger_players(danger: DataFrame, top: int = 5, team: str = "team_shortname", player: str = "player_name") -> DataFrame:
     """The leading players of each cell."""
-    sums = danger.groupBy(team, "x_cell", "y_cell", player).agg(F.count(F.lit(1)).alias("actions"), F.sum("value").alias("xT"), F.sum("net_value").alias("net_xT"))
+    sums = danger.groupBy(team, "x_cell", "y_cell", player).agg(F.count(F.lit(1)).alias("actions"), _total("value").alias("xT"), F.sum("net_value").alias("net_xT"))
     return _top(sums, [team, "x_cell", "y_cell"], [F.desc("xT"), F.asc(player)], top)
 
 
 def danger_destinations(danger: DataFrame, top: int = 24, positive_only: bool = True, team: str = "team_shortname") -> DataFrame:
     """Where the actions of each cell go."""
     sums = danger.groupBy(team, "x_cell", "y_cell", "end_x_cell", "end_y_cell").agg(
-        F.count(F.lit(1)).alias("actions"), F.sum("value").alias("xT"), F.sum("net_value").alias("net_xT"), F.avg("value").alias("avg_xT"), F.avg("progression").alias("avg_progression")
+        F.count(F.lit(1)).alias("actions"), _total("value").alias("xT"), F.sum("net_value").alias("net_xT"), F.avg("value").alias("avg_xT"), F.avg("progression").alias("avg_progression")
     )
-    sums = sums.filter("xT > 0") if positive_only else sums
+    sums = sums.filter("avg_xT > 0") if positive_only else sums  # least sums round to 0
     return _top(sums, [team, "x_cell", "y_cell"], [F.desc("xT"), F.asc("end_y_cell"), F.asc("end_x_cell")], top)
 
 

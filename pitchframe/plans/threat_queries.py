@@ -295,8 +295,7 @@ def danger_zone_cells(spark, sf_dir):
        s AS (SELECT team_shortname, x_cell, y_cell, player_name, count(*) AS actions, round(sum(v), 9) AS xT, sum(nv) AS net_xT FROM d GROUP BY 1, 2, 3, 4)""",
        """(SELECT *, row_number() OVER (PARTITION BY team_shortname, x_cell, y_cell ORDER BY xT DESC, player_name) AS place FROM s QUALIFY place <= 5)""")
 def danger_zone_players(spark, sf_dir):
-    own = danger(spark, sf_dir)
-    return R.danger_players(own.withColumn("value", F.round("value", 12)))
+    return R.danger_players(danger(spark, sf_dir))
 
 
 @query("danger_zone_payload", "team payload")
