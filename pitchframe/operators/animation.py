@@ -11,8 +11,11 @@ from pitchframe.functions.pitch import LENGTH, WIDTH
 
 
 def shift(df: DataFrame, side: str) -> Column:
-    """Distance between the given and the synchronised place; null if one is unknown."""
-    return F.hypot(number(f"{side}_x") - number(f"{side}_x_synced"), number(f"{side}_y") - number(f"{side}_y_synced"))
+    """Distance between the given and the synchronised place; null if one is unknown.
+
+    The root of the sum of squares: hypot's last bit is another one, and shifts that tie there would be ranked otherwise."""
+    dx, dy = (number(f"{side}_{a}") - number(f"{side}_{a}_synced") for a in "xy")
+    return F.sqrt(dx * dx + dy * dy)
 
 
 def ranked_shifts(synced: DataFrame, n: int = 20, tie: list[str] = ["original_event_id"]) -> DataFrame:

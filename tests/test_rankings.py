@@ -4,7 +4,7 @@ import duckdb
 from oracle import same_rows
 from pyspark.sql import functions as F
 
-from pitchframe.operators import report
+from pitchframe.operators import animation, report
 from pitchframe.plans.catalog import ORACLE_SQL, QUERIES
 
 
@@ -22,3 +22,15 @@ def test_leaders_of_zones_on_more_events(spark, tmp_path):
     source = "read_parquet('/root/testdata/sf0.1/events.parquet')"
     duckdb.sql(f"SELECT * EXCLUDE (k) REPLACE (event_id + k * 100000 AS event_id, user_id + k * 1500 AS user_id) FROM {source}, range(6) r(k)").write_parquet(str(tmp_path / "events.parquet"))
     same_rows(QUERIES["danger_zone_players"](spark, str(tmp_path)), ORACLE_SQL["danger_zone_players"], str(tmp_path))
+
+
+def test_shifts_that_tie_are_ranked_by_what_follows(spark):
+    # Distances whose sums of squares are equal; hypot gives those of the first two one bit more.
+    events = spark.createDataFrame([(i,) for i in (1591895, 5170550, 3419584, 4851046)], "original_event_id long")
+    at = lambda factor, size, half: F.expr(f"original_event_id * {factor} % {size} / 10D - {half}D")
+    x0, y0, x1, y1 = at(37, 1051, 52.5), at(53, 681, 34), at(71, 1051, 52.5), at(89, 681, 34)
+    synced = events.select(
+        "original_event_id", x0.alias("start_x"), y0.alias("start_y"), x1.alias("start_x_synced"), y1.alias("start_y_synced"),
+        F.lit(0.0).alias("end_x"), y1.alias("end_y"), F.expr("CASE WHEN original_event_id % 5 <> 0 THEN 0D END").alias("end_x_synced"), y0.alias("end_y_synced"),
+    )
+    assert [r["original_event_id"] for r in animation.ranked_shifts(synced, 2).collect()] == [3419584, 4851046]
