@@ -215,13 +215,14 @@ class ByteBpe:
         self.lengths = np.zeros(max(self.parts) + 1, np.int64)
         for rank, part in self.parts.items():
             self.lengths[rank] = len(part)
-        pairs = {}
+        pairs, of = array("q"), array("q")
         for part, rank in self.ranks.items():
             for i in range(1, len(part)):
                 if (a := self.ranks.get(part[:i])) is not None and (b := self.ranks.get(part[i:])) is not None:
-                    pairs[a << 32 | b] = rank
-        self.pairs = np.sort(np.fromiter(pairs, np.int64, len(pairs)))
-        self.pair_ranks = np.fromiter((pairs[k] for k in self.pairs.tolist()), np.int64, len(pairs))
+                    pairs.append(a << 32 | b)
+                    of.append(rank)
+        order = np.argsort(np.frombuffer(pairs, np.int64))
+        self.pairs, self.pair_ranks = np.frombuffer(pairs, np.int64)[order], np.frombuffer(of, np.int64)[order]
         self.bytes = np.fromiter((self.ranks[bytes([i])] for i in range(256)), np.int64, 256)
         self.cache: dict[bytes, bytes] = {}
 
@@ -329,6 +330,16 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, bytes, np.ndarray]]:
         i = j
 
 
+def coded(bpe: ByteBpe, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[pa.Array]]]:
+    """For each slice its first row, the ids of all tokens, how many come before each document, and both as lists with the ends."""
+    for i, data, offsets in slices(texts):
+        ids, before = bpe.encode(data, offsets)
+        ends = bpe.token_ends(ids)
+        ends = ends - np.repeat(np.append(0, ends)[before[:-1]], np.diff(before))
+        bounds = pa.array(before, pa.int32())
+        yield i, ids, before, [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (ids, ends)]
+
+
 @shielded
 def encoded(
     docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids", ends_col: str = "token_ends", keep: list[str] | None = None
@@ -343,13 +354,8 @@ def encoded(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe.at(path, runs)
         for batch in batches:
-            for i, data, offsets in slices(batch.column(batch.num_columns - 1)):
-                ids, before = bpe.encode(data, offsets)
-                ends = bpe.token_ends(ids)
-                ends = ends - np.repeat(np.append(0, ends)[before[:-1]], np.diff(before))
-                bounds = pa.array(before, pa.int32())
-                lists = [pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (ids, ends)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, len(offsets) - 1).columns[:-1], *lists], names=[*kept, ids_col, ends_col])
+            for i, _, before, lists in coded(bpe, batch.column(batch.num_columns - 1)):
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, len(before) - 1).columns[:-1], *lists], names=[*kept, ids_col, ends_col])
 
     return given.mapInArrow(tidied(run), kinds)
 
@@ -374,28 +380,42 @@ def decoded(ids: Column, path: str) -> Column:
     return bytes_of(ids)
 
 
-def id_digests(ids: Column) -> Column:
+def id_digest(ids: np.ndarray) -> str:
     """SHA-256 (lowercase hex) of ids as little-endian unsigned 32-bit numbers."""
+    return hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()
+
+
+def id_digests(ids: Column) -> Column:
+    """id_digest of each row."""
 
     @F.arrow_udf("string")
     def digest(ids: pa.Array) -> pa.Array:
-        return pa.array((hashlib.sha256(own.astype("<u4").tobytes()).hexdigest() for own in runs_of(ids)), pa.string())
+        return pa.array(map(id_digest, runs_of(ids)), pa.string())
 
     return digest(ids)
 
 
 def token_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document encoded and decoded again: doc_id, n_tokens, ids_sha256, decoded_sha256, token_ids, token_ends."""
-    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    found = encoded(own, path, keep=["doc_id"])
-    return found.select(
-        "doc_id",
-        F.size("token_ids").cast("long").alias("n_tokens"),
-        id_digests(F.col("token_ids")).alias("ids_sha256"),
-        F.sha2(decoded(F.col("token_ids"), path), 256).alias("decoded_sha256"),
-        "token_ids",
-        "token_ends",
-    )
+    """Every document encoded and decoded again: doc_id, n_tokens, ids_sha256, decoded_sha256, token_ids, token_ends.
+
+    One worker a task does it all: digests as expressions behind the encoding would take a second one with a vocabulary of
+    its own."""
+    text_batches(docs.sparkSession)
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs[text_col]).alias("text"))
+    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, token_ids array<int>, token_ends array<int>"
+    names = [c.split()[0] for c in kinds.split(", ")]
+    runs = class_runs()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = ByteBpe.at(path, runs)
+        for batch in batches:
+            for i, ids, before, lists in coded(bpe, batch.column(1)):
+                each = [ids[a:b] for a, b in zip(before[:-1], before[1:])]
+                of_ids = pa.array((id_digest(x) for x in each), pa.string())
+                of_bytes = pa.array((hashlib.sha256(bpe.decode(x)).hexdigest() for x in each), pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(each)), pa.array(np.diff(before)), of_ids, of_bytes, *lists], names=names)
+
+    return own.mapInArrow(tidied(run), kinds)
 
 
 def vocabulary() -> str:

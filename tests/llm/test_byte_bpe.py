@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tiktoken.load import load_tiktoken_bpe
 
-from pitchframe.llm.byte_bpe import ByteBpe, decoded, encoded, op4_byte_bpe, token_rows, vocabulary
+from pitchframe.llm.byte_bpe import ByteBpe, decoded, encoded, id_digests, op4_byte_bpe, token_rows, vocabulary
 
 
 @pytest.fixture(scope="module")
@@ -78,3 +78,11 @@ def test_tokens_decode_to_their_text_and_ends_are_offsets(spark):
 
 def test_an_empty_table_gives_an_empty_table(spark):
     assert token_rows(spark.createDataFrame([], KINDS), vocabulary()).count() == 0
+
+
+def test_one_worker_a_task_encodes_and_digests(spark):
+    found = token_rows(table(spark), vocabulary())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    again = encoded(table(spark), vocabulary(), keep=["doc_id"]).select("doc_id", id_digests(F.col("token_ids")).alias("ids"), F.sha2(decoded(F.col("token_ids"), vocabulary()), 256).alias("bytes"))
+    assert sorted(map(tuple, found.select("doc_id", "ids_sha256", "decoded_sha256").collect()), key=str) == sorted(map(tuple, again.collect()), key=str)
