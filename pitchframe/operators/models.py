@@ -167,8 +167,11 @@ def ready(df: DataFrame, numbers: list[str], flags: list[str], levels: dict[str,
     )
 
 
-def trained(df: DataFrame, numbers: list[str], flags: list[str], labels: list[str], target: str, config: ModelConfig) -> Trained | TrainedTrees:
-    """Medians for missing numbers, one column a level, scaling and the estimator, fitted on df; trees of kind newton on the plain values."""
+def trained(df: DataFrame, numbers: list[str], flags: list[str], labels: list[str], target: str, config: ModelConfig, complete: list[str] = []) -> Trained | TrainedTrees:
+    """Medians for missing numbers, one column a level, scaling and the estimator, fitted on df; trees of kind newton on the plain values.
+
+    complete: numbers that no row lacks, neither here nor where it is scored (one that does is refused). They get no median:
+    sketches of a column from all tasks meet in one."""
     if config.kind == "newton":
         return trained_trees(df, numbers, flags, labels, target, config)
     known = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(c).cast("double")).alias(c) for c in numbers]).first()
@@ -177,13 +180,14 @@ def trained(df: DataFrame, numbers: list[str], flags: list[str], labels: list[st
     many = [c for c, own in levels.items() if len(own) > 1]
     data = ready(df, numbers, flags, levels).withColumn("__y", F.col(target).cast("double"))
     steps = []
-    if numbers:
-        steps.append(Imputer(strategy="median", inputCols=[f"__n_{c}" for c in numbers], outputCols=[f"__i_{c}" for c in numbers]))
+    gaps = [c for c in numbers if c not in complete]
+    if gaps:
+        steps.append(Imputer(strategy="median", inputCols=[f"__n_{c}" for c in gaps], outputCols=[f"__i_{c}" for c in gaps]))
     if many:
         steps.append(StringIndexer(inputCols=[f"__l_{c}" for c in many], outputCols=[f"__x_{c}" for c in many], handleInvalid="keep", stringOrderType="alphabetAsc"))
         steps.append(OneHotEncoder(inputCols=[f"__x_{c}" for c in many], outputCols=[f"__o_{c}" for c in many], dropLast=False, handleInvalid="keep"))
     if numbers:
-        steps.append(VectorAssembler(inputCols=[f"__i_{c}" for c in numbers], outputCol="__numbers"))
+        steps.append(VectorAssembler(inputCols=[f"__i_{c}" if c in gaps else f"__n_{c}" for c in numbers], outputCol="__numbers"))
         steps.append(StandardScaler(inputCol="__numbers", outputCol="__scaled", withMean=config.centre, withStd=True))
     parts = ["__scaled"] * bool(numbers) + [f"__f_{c}" for c in flags] + [f"__o_{c}" for c in many]
     steps.append(VectorAssembler(inputCols=parts, outputCol="features"))
@@ -271,9 +275,16 @@ def compared_with_provider(scored: DataFrame, ours: str, theirs: str, by: list[s
 
 def two_heads(features: DataFrame, labels: DataFrame, keys: list[str], config: ModelConfig = ACTION_MODEL) -> tuple[dict[str, Trained], DataFrame]:
     """Models of scores and concedes on the same features; labels(keys, scores, concedes, split). Returns p_scores, p_concedes."""
-    columns = [c for c in features.columns if c not in keys]
-    both = landed(features.join(labels.select(*keys, "scores", "concedes", "split"), keys), "value-features")  # read by every round of both models
-    models = {t: trained(both.filter("split = 'train'"), columns, [], [], t, config) for t in ("scores", "concedes")}
+    return two_heads_of(features.join(labels.select(*keys, "scores", "concedes", "split"), keys), keys, config)
+
+
+def two_heads_of(labelled: DataFrame, keys: list[str], config: ModelConfig = ACTION_MODEL) -> tuple[dict[str, Trained], DataFrame]:
+    """two_heads where one table has keys, features and labels: nothing wide has to be shuffled for a join. Rows without a key are left out."""
+    columns = [c for c in labelled.columns if c not in [*keys, "scores", "concedes", "split"]]
+    both = landed(labelled.dropna(subset=keys), "value-features")  # read by every round of both models
+    gaps = both.agg(*[F.bool_or(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(c) for c in columns]).first()
+    complete = [c for c in columns if gaps[c] is False]
+    models = {t: trained(both.filter("split = 'train'"), columns, [], [], t, config, complete) for t in ("scores", "concedes")}
     out = both
     for t, model in models.items():
         out = model.scored(out, f"p_{t}")

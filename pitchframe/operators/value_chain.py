@@ -126,8 +126,8 @@ def player_ratings(valued: DataFrame, directory: DataFrame | None = None) -> Dat
     return out.join(first, "player_id", "left").withColumn("player_name", F.coalesce("player_name", "player_id"))
 
 
-def with_state_features(actions: DataFrame, states: int = STATES) -> DataFrame:
-    """match_id, action_id and the features of this action and of those before it, seen from the actor's side.
+def with_state_features(actions: DataFrame, states: int = STATES, keep: list[str] = []) -> DataFrame:
+    """match_id, action_id, the columns keep and the features of this action and of those before it, seen from the actor's side.
 
     A missing earlier value takes the present one. Nothing is null or infinite."""
     w = W.partitionBy("match_id").orderBy("action_id")
@@ -152,4 +152,4 @@ def with_state_features(actions: DataFrame, states: int = STATES) -> DataFrame:
         dx = (F.col("__start_x_0") - F.col(f"__end_x_{s}")) * F.col("__flip")
         dy = (F.col("__start_y_0") - F.col(f"__end_y_{s}")) * F.col("__flip")
         own |= {f"time_delta_a0a{s}": F.col("__time_seconds_0") - F.col(f"__time_seconds_{s}"), f"space_dx_a0a{s}": dx, f"space_dy_a0a{s}": dy, f"space_dist_a0a{s}": F.hypot(dx, dy)}
-    return back.select("match_id", "action_id", *[F.coalesce(c, F.lit(0.0)).cast("float").alias(n) for n, c in own.items()])
+    return back.select("match_id", "action_id", *keep, *[F.coalesce(c, F.lit(0.0)).cast("float").alias(n) for n, c in own.items()])

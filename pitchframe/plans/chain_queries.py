@@ -90,9 +90,8 @@ def canonical_actions(spark, sf_dir):
 @query("value_model_two_heads", "split", "rows_n scores_rate p_scores_mean p_concedes_mean")
 def value_model_two_heads(spark, sf_dir):
     own = V.with_labels(scored(spark, sf_dir))
-    features = V.with_state_features(scored(spark, sf_dir), states=2)
-    labels = M.last_matches_split(own, 2).select("match_id", "action_id", "scores", "concedes", "split")
-    _, out = M.two_heads(features, labels, ["match_id", "action_id"])
+    labelled = M.last_matches_split(V.with_state_features(own, states=2, keep=["scores", "concedes"]), 2)
+    _, out = M.two_heads_of(labelled, ["match_id", "action_id"])
     return out.groupBy("split").agg(
         F.count(F.lit(1)).alias("rows_n"), F.avg(F.col("scores").cast("double")).alias("scores_rate"), F.avg("p_scores").alias("p_scores_mean"), F.avg("p_concedes").alias("p_concedes_mean")
     )

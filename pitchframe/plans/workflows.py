@@ -102,7 +102,8 @@ def value_run(actions: DataFrame, tie: list[str], test_matches: int = 8, directo
     keys = ["match_id", "action_id"]
     if isinstance(config, str):
         config = M.action_model(config, split.filter("split = 'train'").count())
-    models, scored = M.two_heads(V.with_state_features(ordered, states), split.select(*keys, "scores", "concedes", "split"), keys, config)
+    labelled = M.last_matches_split(V.with_state_features(ordered, states, ["scores", "concedes"]), test_matches)
+    models, scored = M.two_heads_of(labelled, keys, config)
     valued = V.with_values(ordered.drop("split", "scores", "concedes", "p_scores", "p_concedes").join(scored, keys))
     metrics = M.evaluated(scored, "scores", "p_scores").withColumn("head", F.lit("scores")).unionByName(M.evaluated(scored, "concedes", "p_concedes").withColumn("head", F.lit("concedes")))
     return Run(dict(models), {"valued": valued, "ratings": V.player_ratings(valued, directory), "metrics": metrics})
